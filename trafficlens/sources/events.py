@@ -28,8 +28,8 @@ def _text(c: Column) -> Column:
     return c.cast("string")
 
 
-def requests_from_events(events: DataFrame) -> DataFrame:
-    """``event_id``, ``split`` and the log line ``value``."""
+def requests_from_events(events: DataFrame, *keep: str) -> DataFrame:
+    """``event_id``, ``split``, the log line ``value`` and further kept columns."""
     event, user, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
     named = F.concat(F.lit("u"), _text(user))
     hosts = {0: F.concat(F.lit("10.0."), _text(user), F.lit(".1"))}
@@ -62,4 +62,5 @@ def requests_from_events(events: DataFrame) -> DataFrame:
         F.when(F.col("ts") < F.lit(TEST_FROM).cast("timestamp_ntz"), F.lit("train"))
         .otherwise(F.lit("test")).alias("split"),
         F.when(event % 101 == 0, F.lit(DAMAGED_LINE)).otherwise(line).alias("value"),
+        *keep,
     )

@@ -44,10 +44,16 @@ def write_parquet(df: DataFrame, path: str) -> None:
 
 
 def write_tables(df: DataFrame, path: str) -> None:
-    """One folder per split and frequency; the rows of a folder are put together
-    first, in parts by day so that no long table ends in a single task."""
+    """One folder per frequency and split. The rows of a folder are brought together
+    by day first: whole files, but no long table in a single task."""
     day = F.to_date("timestamp")
-    df.repartition("split", "freq", day).write.partitionBy("split", "freq").parquet(path)
+    df.repartition("freq", "split", day).write.partitionBy("freq", "split").parquet(path)
+
+
+def write_features(df: DataFrame, path: str, freq: str) -> None:
+    """A feature table into the folder of its frequency, which has its own columns."""
+    day = F.to_date("timestamp")
+    df.repartition("split", day).write.partitionBy("split").parquet(f"{path}/freq={freq}")
 
 
 def read_table(
@@ -55,11 +61,11 @@ def read_table(
     made_by: str = "the traffic-table step",
 ) -> DataFrame:
     """The table of one frequency (and split); only its folders are read."""
+    folder = f"{path}/freq={freq}"
     try:
-        tables = spark.read.parquet(path)
+        found = spark.read.option("basePath", path).parquet(folder)
     except AnalysisException as error:
-        raise FileNotFoundError(f"no tables at {path}: run {made_by} first") from error
-    found = tables.where(F.col("freq") == freq)
+        raise FileNotFoundError(f"no table at {folder}: run {made_by} first") from error
     return found if split is None else found.where(F.col("split") == split)
 
 
