@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from trafficlens import fixed_values as V
 from trafficlens.operators import buckets, combine, enrich, features, parse
 from trafficlens.plans.traffic import rows_of
-from trafficlens.session import use_utc, written
+from trafficlens.session import spread, use_utc, written
 from trafficlens.sources import events as E
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,7 +71,7 @@ def table(spark, sf_dir, name) -> DataFrame:
 
 
 def lines(spark, sf_dir) -> DataFrame:
-    return E.requests_from_events(table(spark, sf_dir, "events"))
+    return E.requests_from_events(spread(table(spark, sf_dir, "events")))
 
 
 def parsed(spark, sf_dir) -> DataFrame:
@@ -106,7 +106,7 @@ def ml(spark, sf_dir, freq="15m", complete=False) -> DataFrame:
 
 def service_rows(spark, sf_dir) -> DataFrame:
     """Rows of several services: the event type names the service."""
-    source = E.requests_from_events(table(spark, sf_dir, "events"), "event_type")
+    source = E.requests_from_events(spread(table(spark, sf_dir, "events")), "event_type")
     return rows_of(source.withColumnRenamed("event_type", "series"))
 
 

@@ -150,7 +150,7 @@ def _(spark, d):
     return peaks.join(C.unit_capacity(joined), "series")
 
 
-@query("c2_server_needs", "series:s timestamp:t step:l need:l stable_need:l", (B.CAPACITY, "SELECT * FROM needs"))
+@query("c2_server_needs", "series:s timestamp:t step:l need:l stable_need:d", (B.CAPACITY, "SELECT * FROM needs"))
 def _(spark, d):
     joined = B.joined_forecasts(spark, d)
     return C.server_needs(joined, C.unit_capacity(joined))

@@ -33,7 +33,7 @@ q AS (SELECT event_id AS "index", reqmethod, reqdirectory, reqpathdepth FROM row
 z AS (SELECT event_id AS "index", bytes FROM rows_ WHERE bytes IS NOT NULL)"""
 
 
-@query("j1_outer_join", "index:l visitor_category:s is_commercial:i timestamp:t hour:i month:i reqmethod:s reqdirectory:s reqpathdepth:i bytes:d",
+@query("j1_outer_join", "index:l visitor_category:s is_commercial:i timestamp:t hour:i month:i reqmethod:s reqdirectory:s reqpathdepth:d bytes:d",
        (SETS, 'SELECT * FROM h FULL JOIN t USING ("index") FULL JOIN q USING ("index") FULL JOIN z USING ("index")'))
 def _(spark, d):
     return combine.join_sets(_feature_sets(spark, d))
@@ -87,7 +87,7 @@ def _(spark, d):
     return profile.counts_by(rows, "response", "response_status")
 
 
-@query("u1_stacked_sets", "index:l visitor_category:s hour:i reqmethod:s bytes:d",
+@query("u1_stacked_sets", "index:l visitor_category:s hour:d reqmethod:s bytes:d",
        (SETS, 'SELECT "index", visitor_category, NULL AS hour, NULL AS reqmethod, NULL AS bytes FROM h UNION ALL '
         'SELECT "index", NULL, hour, NULL, NULL FROM t UNION ALL SELECT "index", NULL, NULL, reqmethod, NULL FROM q '
         'UNION ALL SELECT "index", NULL, NULL, NULL, bytes FROM z'))
@@ -127,7 +127,7 @@ def _(spark, d):
 DATES = [f"2024-01-{day:02d}" for day in range(1, 31)]
 
 
-@query("d17_hour_by_date", "hour:i " + " ".join(f"{date}:l" for date in DATES),
+@query("d17_hour_by_date", "hour:i " + " ".join(f"{date}:d" for date in DATES),
        (_DAY_HOUR, "SELECT hour, " + ", ".join(f"sum(req) FILTER (date = DATE '{x}') AS \"{x}\"" for x in DATES) + " FROM per GROUP BY hour"))
 def _(spark, d):
     return profile.hour_by_date(profile.counts_by_day_hour(B.typed(spark, d)), DATES)
@@ -139,13 +139,15 @@ def _(spark, d):
 
 
 _SIZED = FENCE + """, sized AS (SELECT t.*, fence FROM typed t JOIN fences USING (split) WHERE bytes > 0),
-modes AS (SELECT split, part, min(bytes) AS mode FROM (SELECT split, bytes <= fence AS part, bytes, count(*) AS n,
-    max(count(*)) OVER (PARTITION BY split, bytes <= fence) AS most FROM sized GROUP BY ALL) WHERE n = most GROUP BY ALL)"""
+parted AS (SELECT *, bytes <= fence AS part FROM sized),
+counted AS (SELECT split, part, bytes, count(*) AS n FROM parted GROUP BY split, part, bytes),
+modes AS (SELECT split, part, min(bytes) AS mode FROM (SELECT *, max(n) OVER (PARTITION BY split, part) AS most FROM counted)
+  WHERE n = most GROUP BY split, part)"""
 
 
 @query("d19_size_summary", "split:s normal:b mean:d median:d mode:d max:d",
-       (_SIZED, "SELECT s.split, bytes <= fence AS normal, avg(bytes) AS mean, median(bytes) AS median, any_value(m.mode) AS mode, max(bytes) AS max "
-        "FROM sized s JOIN modes m ON m.split = s.split AND m.part = (bytes <= fence) GROUP BY ALL"))
+       (_SIZED, "SELECT split, part AS normal, avg(bytes) AS mean, median(bytes) AS median, any_value(mode) AS mode, max(bytes) AS max "
+        "FROM parted JOIN modes USING (split, part) GROUP BY split, part"))
 def _(spark, d):
     sized = profile.with_fence(B.typed(spark, d)).where(F.col("bytes") > 0)
     return profile.summary(sized.withColumn("normal", F.col("bytes") <= F.col("fence")), keys=("split", "normal"))
@@ -250,7 +252,7 @@ _STATUS = B.ROWS + f""", s AS (SELECT CASE WHEN response_class = 'client error'
 
 
 @query("d27_status_by_subset", "subset:s response_status:s count:l share:d",
-       (_STATUS, "SELECT subset, response_status, count(*) AS count, count(*) / sum(count(*)) OVER (PARTITION BY subset) AS share FROM s GROUP BY ALL"))
+       (_STATUS, "SELECT *, count / sum(count) OVER (PARTITION BY subset) AS share FROM (SELECT subset, response_status, count(*) AS count FROM s GROUP BY 1, 2)"))
 def _(spark, d):
     rows = B.rows(spark, d).withColumns({
         "response_status": P.response_status(F.col("response")),

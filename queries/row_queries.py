@@ -14,7 +14,7 @@ from trafficlens.schemas import require_columns
 ROW = "event_id:l split:s "
 
 
-@query("p1_parse_lines", ROW + "host:s timestamp:s request:s response:s bytes:l",
+@query("p1_parse_lines", ROW + "host:s timestamp:s request:s response:s bytes:d",
        (B.PARSED, "SELECT * FROM parsed"))
 def _(spark, d):
     return B.parsed(spark, d)
@@ -111,7 +111,7 @@ def _(spark, d):
 _ALL_KNOWN = " AND ".join(f"{c} IS NOT NULL" for c in B.history_names("15m"))
 
 
-@query("p13_complete_rows", "split:s timestamp:t y_req:l y_req_lag3:l",
+@query("p13_complete_rows", "split:s timestamp:t y_req:l y_req_lag3:d",
        (B.ml_sql(), f"SELECT * FROM ml WHERE {_ALL_KNOWN}"))
 def _(spark, d):
     return B.ml(spark, d, complete=True)

@@ -47,7 +47,7 @@ def _parsed_csv(spark, d):
     return path
 
 
-@query("s3_csv_scan", "host:s timestamp:t request:s response:s bytes:l",
+@query("s3_csv_scan", "host:s timestamp:t request:s response:s bytes:d",
        (B.PARSED, f"SELECT * REPLACE (try_strptime(regexp_extract(\"timestamp\", '{V.LOG_TIME_PATTERN}', 1), "
         "'%d/%b/%Y:%H:%M:%S') AS \"timestamp\") FROM parsed"))
 def _(spark, d):

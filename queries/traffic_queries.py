@@ -96,14 +96,14 @@ _prepared_query("t3_filled_depth", "avg_path_depth:d flag_data_gap:i",
 _prepared_query("t5_cyclical_time", "sin_hour:d cos_hour:d sin_weekday:d cos_weekday:d", features.add_cyclical_time)
 _prepared_query("t6_next_targets", "y_req:l y_req_t1:l y_bytes_imp_t1:d",
                 lambda t: features.add_targets(t, "15m"), "SELECT * FROM prepared WHERE y_req_t1 IS NOT NULL")
-_prepared_query("t7_gap_mask", "y_req:l y_bytes_imp:d bytes_missing_rate:d error_rate:d top_country_share:d endpoint_entropy:d",
+_prepared_query("t7_gap_mask", "y_req:d y_bytes_imp:d bytes_missing_rate:d error_rate:d top_country_share:d endpoint_entropy:d",
                 lambda t: features.mask_gaps(features.flag_gaps(t)), "SELECT * FROM masked")
 _prepared_query("t8_payload", "avg_payload:d", features.add_payload)
 
 
 def _history_query(name, names, freq="15m"):
     """Some history columns of one frequency; the rest is never computed."""
-    types = " ".join(f"{n}:{'l' if n.startswith('y_req_lag') or n in ('y_req_vel', 'y_req_acc') else 'd'}" for n in names)
+    types = " ".join(f"{n}:d" for n in names)
 
     @query(name, AT + types, (B.ml_sql(freq), "SELECT * FROM ml"))
     def _(spark, d):
@@ -124,7 +124,7 @@ ML_HEAD = AT + "y_req_t1:l y_bytes_imp_t1:d y_req:l y_bytes_imp:d avg_payload:d
 
 
 def _ml_query(name, freq):
-    types = " ".join(f"{n}:{'l' if n.startswith('y_req_lag') or n in ('y_req_vel', 'y_req_acc') else 'd'}" for n in B.history_names(freq))
+    types = " ".join(f"{n}:d" for n in B.history_names(freq))
 
     @query(name, ML_HEAD + types, (B.ml_sql(freq), "SELECT * FROM ml"))
     def _(spark, d):

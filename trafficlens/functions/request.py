@@ -21,7 +21,16 @@ def request_url(request: Column) -> Column:
 
 
 def _clean(url: Column) -> Column:
-    return F.trim(F.replace(url, F.lit(V.PROTOCOL_TEXT), F.lit("")), F.lit(BLANKS))
+    """Without the protocol text and outer white space. The full trim looks at every
+    character, so it runs only if an end of the text is no visible ASCII character."""
+    bare = F.replace(url, F.lit(V.PROTOCOL_TEXT), F.lit(""))
+
+    def visible(text):
+        return F.ascii(text).between(33, 126)
+
+    return F.when(visible(bare) & visible(F.right(bare, F.lit(1))), bare).otherwise(
+        F.trim(bare, F.lit(BLANKS))
+    )
 
 
 def url_resource(url: Column) -> Column:

@@ -6,11 +6,13 @@ from pyspark.sql import Column, functions as F
 
 from trafficlens import fixed_values as V
 
-EPOCH = "1970-01-01 00:00:00"
+# Buckets are counted from here: a midnight before any log, since differences of
+# times round towards zero.
+ORIGIN = "0001-01-01 00:00:00"
 
 
-def epoch() -> Column:
-    return F.lit(EPOCH).cast("timestamp_ntz")
+def origin() -> Column:
+    return F.lit(ORIGIN).cast("timestamp_ntz")
 
 
 def parse_log_time(text: Column) -> Column:
@@ -24,15 +26,15 @@ def parse_iso_time(text: Column) -> Column:
 
 
 def bucket_number(ts: Column, minutes) -> Column:
-    """Number of whole buckets since the epoch; ``minutes`` may be a column."""
-    passed = F.timestamp_diff("MINUTE", epoch(), ts)
+    """Number of whole buckets since the origin; ``minutes`` may be a column."""
+    passed = F.timestamp_diff("MINUTE", origin(), ts)
     step = minutes if isinstance(minutes, Column) else F.lit(minutes)
     return F.floor(passed / step).cast("long")
 
 
 def bucket_time(number: Column, minutes) -> Column:
     step = minutes if isinstance(minutes, Column) else F.lit(minutes)
-    return F.timestamp_add("MINUTE", (number * step).cast("int"), epoch())
+    return F.timestamp_add("MINUTE", (number * step).cast("int"), origin())
 
 
 def bucket_start(ts: Column, minutes: int) -> Column:

@@ -143,13 +143,17 @@ def correlations(df: DataFrame, columns) -> DataFrame:
     """Pearson correlation of every pair, over the rows where both are known, in one pass."""
     pairs = list(combinations(columns, 2))
     number = {c: F.col(c).cast("double") for c in columns}
-    one = df.agg(*(F.corr(number[a], number[b]).alias(f"c{i}") for i, (a, b) in enumerate(pairs)))
+
+    def pearson(a: Column, b: Column) -> Column:
+        # A constant column has no correlation; the ready-made function would fail.
+        return F.try_divide(F.regr_sxy(a, b), F.sqrt(F.regr_sxx(a, b) * F.regr_syy(a, b)))
+
+    one = df.agg(*(pearson(number[a], number[b]).alias(f"c{i}") for i, (a, b) in enumerate(pairs)))
     items = F.array(*(
         F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"c{i}").alias("corr"))
         for i, (a, b) in enumerate(pairs)
     ))
-    value = F.when(~F.isnan("corr"), F.col("corr")).alias("corr")
-    return one.select(F.inline(items)).select("col_a", "col_b", value)
+    return one.select(F.inline(items))
 
 
 def box_summary(df: DataFrame, category: str, value: str) -> DataFrame:

@@ -50,6 +50,13 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/trafficlens/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df):
+    """A scan of few files over all cores. Text work is heavy per row, so a scan with
+    fewer tasks than cores is dealt out first; a large scan stays as it is."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
 def written(df, name: str):
     """Write a frame below the shared folder and read it back.
 
