@@ -23,13 +23,19 @@ def _pairs(types: str) -> list[tuple[str, str]]:
     return [tuple(item.rsplit(":", 1)) for item in types.split()]
 
 
+# A mean of a few short decimals often lies exactly between two six-place numbers;
+# its last bit, which depends on the order of the sum, would then decide the
+# rounding. Both engines therefore round from slightly above the value.
+NUDGE = 1.3e-7
+
+
 def shown(df: DataFrame, types: str) -> DataFrame:
     """The named columns in fixed types; doubles to six places, no negative zero."""
     out = []
     for name, kind in _pairs(types):
         c = F.col(f"`{name}`")
         if kind == "d":
-            out.append((F.round(c.cast("double"), 6) + F.lit(0.0)).alias(name))
+            out.append((F.round(c.cast("double") + F.lit(NUDGE), 6) + F.lit(0.0)).alias(name))
         else:
             out.append(c.cast(SPARK_TYPES[kind]).alias(name))
     return df.select(*out)
@@ -39,7 +45,7 @@ def shown_sql(types: str) -> str:
     out = []
     for name, kind in _pairs(types):
         if kind == "d":
-            out.append(f'round(CAST("{name}" AS DOUBLE), 6) + 0.0 AS "{name}"')
+            out.append(f'round(CAST("{name}" AS DOUBLE) + {NUDGE}, 6) + 0.0 AS "{name}"')
         else:
             out.append(f'CAST("{name}" AS {SQL_TYPES[kind]}) AS "{name}"')
     return ", ".join(out)

@@ -17,6 +17,8 @@ def get_spark(app: str = "trafficlens", cores: str = "*", **conf: str) -> SparkS
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
+        # Call sites in error messages cost a lookup for every column expression.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
