@@ -62,7 +62,7 @@ def _(spark, d):
        (B.ROWS, f"SELECT event_id, {_TYPE} AS visitor_type, count(*) OVER (PARTITION BY {_TYPE}) / count(*) OVER () AS visitor_type_freq FROM rows_"))
 def _(spark, d):
     rows = B.rows(spark, d).withColumn("visitor_type", H.visitor_type(F.col("visitor_category")))
-    return profile.add_frequency(rows, "visitor_type", "visitor_type_freq", few=True)
+    return profile.add_frequency(rows, "visitor_type", "visitor_type_freq")
 
 
 _NAMED = B.ROWS + """, named AS (SELECT event_id, CASE WHEN visitor_category = 'country' THEN tld ELSE 'non_country' END AS c FROM rows_),
@@ -77,7 +77,7 @@ def _(spark, d):
     named = H.visitor_country(F.col("visitor_category"), F.col("tld"), V.NON_COUNTRY)
     rows = B.rows(spark, d).withColumn("visitor_country", named).select("event_id", "visitor_country")
     topped = written(profile.add_top_country(rows), "topped")
-    return profile.add_frequency(topped, "visitor_country", "country_freq", few=True)
+    return profile.add_frequency(topped, "visitor_country", "country_freq")
 
 
 @query("j6_status_phrase", "response:i response_status:s count:l",

@@ -52,7 +52,7 @@ def test_top_countries_and_frequency(spark):
     topped = profile.add_top_country(df, 2)
     got = {(r.visitor_country, r.is_top_country): r["count"] for r in topped.groupBy("visitor_country", "is_top_country").count().collect()}
     assert got == {("uk", 1): 5, ("ca", 1): 3, ("other_country", 0): 12}
-    shares = pairs(profile.add_frequency(topped, "visitor_country", "f", few=True).select("visitor_country", "f").distinct())
+    shares = pairs(profile.add_frequency(topped, "visitor_country", "f").select("visitor_country", "f").distinct())
     assert shares == {"uk": 0.25, "ca": 0.15, "other_country": 0.6}
 
 

@@ -14,7 +14,7 @@ from trafficlens import fixed_values as V
 from trafficlens.functions import times
 from trafficlens.functions.sizes import fillable
 from trafficlens.operators.quantiles import quantiles_of_counts
-from trafficlens.session import written
+from trafficlens.session import lookup, written
 
 # Dimension name and the row column it counts.
 DIMENSIONS = {
@@ -111,8 +111,6 @@ def bucket_stats(cells: DataFrame, medians: DataFrame, keys=("split",)) -> DataF
     third of all rows ends as a short list.
     """
     group = [*keys, "minutes", "bucket"]
-    if set(keys) <= {"split"}:
-        medians = F.broadcast(medians)  # at most a thousand codes per split
     # Cells without a code get codes that no line has, so they spread over tasks.
     spare = -1 - F.pmod(F.xxhash64("value", "bucket"), F.lit(1009)).cast("int")
     filled = (
@@ -240,7 +238,7 @@ def bucket_table(rows: DataFrame, freq: str, keys=("split",)) -> DataFrame:
     """The traffic table of one frequency."""
     cells = stored_cells(rows, V.FREQ_MINUTES[freq], keys)
     hits = cells.where(F.col("dim") != "size")
-    stats = bucket_stats(hits, medians_of_cells(cells, keys), keys)
+    stats = bucket_stats(hits, lookup(medians_of_cells(cells, keys), "medians"), keys)
     return fill_grid(dense_grid(hits, keys), stats, keys)
 
 
@@ -249,7 +247,7 @@ def bucket_tables(rows: DataFrame, freqs=tuple(V.FREQ_MINUTES), keys=("split",))
     cells = stored_cells(rows, 1, keys)
     lengths = [V.FREQ_MINUTES[f] for f in freqs]
     hits = at_lengths(cells.where(F.col("dim") != "size"), lengths)
-    stats = bucket_stats(summed_cells(hits, keys), medians_of_cells(cells, keys), keys)
+    stats = bucket_stats(summed_cells(hits, keys), lookup(medians_of_cells(cells, keys), "medians"), keys)
     return fill_grid(dense_grid(hits, keys), stats, keys)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from trafficlens.functions import host as H, request as R, response as P, sizes as S
 from trafficlens.operators.quantiles import exact_quantiles
+from trafficlens.session import lookup
 
 
 def add_host_features(df: DataFrame) -> DataFrame:
@@ -63,10 +64,7 @@ def code_medians(rows: DataFrame, keys=("split",)) -> DataFrame:
 
 def add_bytes_imputed(rows: DataFrame, keys=("split",), keep_null: bool = False) -> DataFrame:
     """Fill missing sizes by the median of their code."""
-    medians = code_medians(rows, keys)
-    if set(keys) <= {"split"}:
-        # A code has three digits: at most a thousand rows per split.
-        medians = F.broadcast(medians)
+    medians = lookup(code_medians(rows, keys), "medians")
     filled = S.imputed(F.col("bytes"), F.col("response"), F.col("median_bytes"), keep_null)
     return (
         rows.join(medians, [*keys, "response"], "left")

@@ -7,8 +7,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trafficlens import fixed_values as V
-from trafficlens.operators.quantiles import quantiles_of_counts, value_counts
-from trafficlens.session import written
+from trafficlens.operators.quantiles import exact_quantiles, quantiles_of_counts, value_counts
+from trafficlens.session import lookup, written
 
 
 def counts_by(df: DataFrame, *columns: str) -> DataFrame:
@@ -67,11 +67,10 @@ def add_top_country(rows: DataFrame, n: int = V.TOP_COUNTRIES) -> DataFrame:
     }).drop("_top")
 
 
-def add_frequency(rows: DataFrame, column: str, name: str, few: bool = False) -> DataFrame:
-    """Each row's relative frequency of its category. ``few`` states that the column
-    has a fixed small set of values, whose table is broadcast; else Spark chooses."""
-    table = shares(counts_by(rows, column), name).drop("count")
-    return rows.join(F.broadcast(table) if few else table, column, "left")
+def add_frequency(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """Each row's relative frequency of its category."""
+    table = lookup(shares(written(counts_by(rows, column), "counts"), name).drop("count"), "shares")
+    return rows.join(table, column, "left")
 
 
 def counts_by_day_hour(rows: DataFrame, ts: str = "timestamp") -> DataFrame:
@@ -93,18 +92,14 @@ def hour_by_date(counts: DataFrame, dates=None) -> DataFrame:
 
 def outlier_fence(df: DataFrame, value: str = "bytes", keys=("split",)) -> DataFrame:
     """Upper fence q3 + 1.5 (q3 - q1) over the positive values, per split."""
-    q = quantiles_of_counts(
-        value_counts(df.where(F.col(value) > 0), value, keys), keys, {"q1": 0.25, "q3": 0.75}
-    )
+    q = exact_quantiles(df.where(F.col(value) > 0), value, {"q1": 0.25, "q3": 0.75}, keys)
     fence = F.col("q3") + F.lit(V.FENCE_FACTOR) * (F.col("q3") - F.col("q1"))
     return q.select(*keys, "q1", "q3", fence.alias("fence"))
 
 
 def with_fence(df: DataFrame, value: str = "bytes", keys=("split",)) -> DataFrame:
-    """Each row with its split's fence; there is one fence per split."""
-    fences = outlier_fence(df, value, keys).select(*keys, "fence")
-    if set(keys) <= {"split"}:
-        fences = F.broadcast(fences)
+    """Each row with its split's fence."""
+    fences = lookup(outlier_fence(df, value, keys).select(*keys, "fence"), "fences")
     return df.join(fences, list(keys), "left")
 
 
@@ -114,7 +109,7 @@ def summary(df: DataFrame, value: str = "bytes", keys=("split",)) -> DataFrame:
     All four follow from the value counts; the mode is the largest pair of count
     and negative value, so no group is brought together.
     """
-    counts = value_counts(df, value, keys)
+    counts = written(value_counts(df, value, keys), "value-counts")
     middle = quantiles_of_counts(counts, keys, {"median": 0.5}).drop("n")
     best = F.max(F.struct(F.col("n"), (-F.col("value")).alias("low"), F.col("value")))
     rest = counts.groupBy(*keys).agg(
@@ -129,10 +124,9 @@ def summary(df: DataFrame, value: str = "bytes", keys=("split",)) -> DataFrame:
 def histogram(df: DataFrame, value: str = "bytes", keys=("split",), bins: int = V.HISTOGRAM_BINS) -> DataFrame:
     """Rows per equal-width bin between the smallest and largest value; the largest
     value belongs to the last bin. Equal values are counted once."""
-    counts = value_counts(df, value, keys)
+    counts = written(value_counts(df, value, keys), "value-counts")
     ends = counts.groupBy(*keys).agg(F.min("value").alias("_low"), F.max("value").alias("_high"))
-    if set(keys) <= {"split"}:
-        ends = F.broadcast(ends)
+    ends = lookup(ends, "ends")
     width = F.col("_high") - F.col("_low")
     at = F.when(width > 0, F.floor((F.col("value") - F.col("_low")) * bins / width)).otherwise(F.lit(0))
     bin_ = F.least(at, F.lit(bins - 1)).cast("int")
@@ -159,9 +153,9 @@ def correlations(df: DataFrame, columns) -> DataFrame:
 def box_summary(df: DataFrame, category: str, value: str) -> DataFrame:
     """Quartiles and whiskers per category. A whisker is the outermost value within
     1.5 quartile distances of the box."""
-    counts = value_counts(df, value, [category])
+    counts = written(value_counts(df, value, [category]), "value-counts")
     probs = {"q1": 0.25, "median": 0.5, "q3": 0.75}
-    boxes = quantiles_of_counts(counts, [category], probs)
+    boxes = lookup(quantiles_of_counts(counts, [category], probs), "boxes")
     reach = F.lit(V.FENCE_FACTOR) * (F.col("q3") - F.col("q1"))
     inside = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
     ends = (

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from trafficlens.session import written
+
 # Value bins per doubling. Bins follow the order of the values and there are at
 # most a few thousand per key, however many rows the key has.
 BINS_PER_DOUBLING = 1024
@@ -13,10 +15,7 @@ def _bin(value: Column) -> Column:
     def steps(v):
         return F.floor(F.log2(v) * BINS_PER_DOUBLING).cast("int") + F.lit(2_000_000)
 
-    out = F.when(value > 0, steps(value)).when(value < 0, -steps(-value))
-    # Never null, so that the join on it adds no filter and both reads of the
-    # counts share one exchange.
-    return F.coalesce(out, F.lit(0))
+    return F.when(value > 0, steps(value)).when(value < 0, -steps(-value)).otherwise(F.lit(0))
 
 
 def value_counts(df: DataFrame, value: str, keys=(), weight: str | None = None) -> DataFrame:
@@ -89,5 +88,6 @@ def exact_quantiles(
     df: DataFrame, value: str, probs: dict[str, float], keys=(), weight: str | None = None
 ) -> DataFrame:
     """``keys``, the row count ``n`` and one column per named quantile. Nulls in the
-    value or a key are left out."""
-    return quantiles_of_counts(value_counts(df, value, keys, weight), keys, probs)
+    value or a key are left out. The value counts are written, so ``df`` is read once."""
+    counts = written(value_counts(df, value, keys, weight), "value-counts")
+    return quantiles_of_counts(counts, keys, probs)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, functions as F
 
 
 def get_spark(app: str = "trafficlens", cores: str = "*", **conf: str) -> SparkSession:
@@ -68,3 +68,15 @@ def written(df, name: str):
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# Rows up to which a lookup table goes to every executor: some tens of megabytes.
+BROADCAST_ROWS = 500_000
+
+
+def lookup(df, name: str):
+    """A table to join to much larger ones. It is written first, so it is made only
+    once and its size is known: a small one is broadcast, and a join with a larger one
+    is left to Spark, which shuffles both sides and splits skewed keys."""
+    table = written(df, name)
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from trafficlens.session import lookup
+
 # Besides line feed and carriage return, the characters that end a line of text.
 EXTRA_LINE_BREAKS = "[\u000b\u000c\u001c\u001d\u001e\u0085  ]"
 
@@ -49,10 +51,10 @@ def dense_index(df: DataFrame, name: str = "index") -> DataFrame:
         F.min("_id").alias("_first"), F.count("*").alias("_n")
     )
     order = W.partitionBy(*keys).orderBy("_file", "_block")
-    starts = blocks.select(
+    starts = lookup(blocks.select(
         *keys, "_file", "_block", "_first",
         (F.sum("_n").over(order) - F.col("_n")).alias("_start"),
-    )
+    ), "block-starts")
     joined = placed.join(starts, [*keys, "_file", "_block"])
     number = (F.col("_start") + F.col("_id") - F.col("_first")).alias(name)
     kept = [c for c in df.columns if c not in ("_file", "_block")]

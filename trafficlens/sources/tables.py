@@ -45,15 +45,13 @@ def write_parquet(df: DataFrame, path: str) -> None:
 
 def write_tables(df: DataFrame, path: str) -> None:
     """One folder per frequency and split. The rows of a folder are brought together
-    by day first: whole files, but no long table in a single task."""
-    day = F.to_date("timestamp")
-    df.repartition("freq", "split", day).write.partitionBy("freq", "split").parquet(path)
+    first; a folder with many rows is split again over several tasks and files."""
+    df.hint("rebalance", "freq", "split").write.partitionBy("freq", "split").parquet(path)
 
 
 def write_features(df: DataFrame, path: str, freq: str) -> None:
     """A feature table into the folder of its frequency, which has its own columns."""
-    day = F.to_date("timestamp")
-    df.repartition("split", day).write.partitionBy("split").parquet(f"{path}/freq={freq}")
+    df.hint("rebalance", "split").write.partitionBy("split").parquet(f"{path}/freq={freq}")
 
 
 def read_table(
