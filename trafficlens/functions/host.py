@@ -6,11 +6,16 @@ from trafficlens import fixed_values as V
 
 
 def choose(key: Column, table: dict, default: Column) -> Column:
-    """CASE over a small fixed table."""
-    out = None
-    for k, v in table.items():
-        out = (F if out is None else out).when(key == F.lit(k), F.lit(v))
-    return out.otherwise(default)
+    """Look a key up in a small fixed table.
+
+    The key is named once: filters on the result are pushed to the scan with their
+    expressions written out, and a key named per entry would multiply there.
+    """
+    def literal(v):
+        return "'" + v.replace("'", "\\'") + "'" if isinstance(v, str) else str(v)
+
+    entries = ", ".join(f"{literal(k)}, {literal(v)}" for k, v in table.items())
+    return F.coalesce(F.try_element_at(F.expr(f"map({entries})"), key), default)
 
 
 def _last_label(host: Column) -> Column:

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, functions as F
 
 from trafficlens import fixed_values as V
-from trafficlens.functions.host import flag
+from trafficlens.functions.host import choose, flag
 
 # Everything Python and DuckDB users would call white space.
 BLANKS = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
@@ -21,22 +21,12 @@ def request_url(request: Column) -> Column:
 
 
 def _clean(url: Column) -> Column:
-    """Without the protocol text and outer white space. The full trim looks at every
-    character, so it runs only if an end of the text is no visible ASCII character."""
-    bare = F.replace(url, F.lit(V.PROTOCOL_TEXT), F.lit(""))
-
-    def visible(text):
-        return F.ascii(text).between(33, 126)
-
-    return F.when(visible(bare) & visible(F.right(bare, F.lit(1))), bare).otherwise(
-        F.trim(bare, F.lit(BLANKS))
-    )
+    return F.btrim(F.replace(url, F.lit(V.PROTOCOL_TEXT), F.lit("")), F.lit(BLANKS))
 
 
 def url_resource(url: Column) -> Column:
     """Text after the last slash; empty without a slash."""
-    clean = _clean(url)
-    return F.when(F.instr(clean, "/") > 0, F.substring_index(clean, "/", -1)).otherwise(F.lit(""))
+    return F.regexp_extract(_clean(url), "/([^/]*)\\z", 1)
 
 
 def url_directory(url: Column) -> Column:
@@ -47,16 +37,21 @@ def url_directory(url: Column) -> Column:
     return F.when(F.instr(clean, "/") > 0, head).otherwise(url)
 
 
+# Extension to kind of resource.
+RESOURCE_TYPES = {
+    ext: kind
+    for kind, exts in (
+        ("Image", V.IMAGE_TYPES), ("Audio/Video", V.AV_TYPES),
+        ("File", V.FILE_TYPES), ("Page", V.PAGE_TYPES),
+    )
+    for ext in exts
+}
+
+
 def resource_type(resource: Column) -> Column:
     ext = F.lower(F.substring_index(resource, ".", -1))
-    return (
-        F.when(F.instr(resource, ".") == 0, F.lit("Directory"))
-        .when(ext.isin(V.IMAGE_TYPES), F.lit("Image"))
-        .when(ext.isin(V.AV_TYPES), F.lit("Audio/Video"))
-        .when(ext.isin(V.FILE_TYPES), F.lit("File"))
-        .when(ext.isin(V.PAGE_TYPES), F.lit("Page"))
-        .otherwise(F.lit(V.UNKNOWN))
-    )
+    kind = choose(ext, RESOURCE_TYPES, F.lit(V.UNKNOWN))
+    return F.when(F.instr(resource, ".") == 0, F.lit("Directory")).otherwise(kind)
 
 
 def path_depth(directory: Column) -> Column:
@@ -65,11 +60,7 @@ def path_depth(directory: Column) -> Column:
 
 
 def is_dynamic(resource: Column) -> Column:
-    low = F.lower(resource)
-    found = F.lit(False)
-    for ending in V.DYNAMIC_ENDINGS:
-        found = found | F.endswith(low, F.lit(ending))
-    return flag(found)
+    return flag(F.lower(resource).rlike(f"({'|'.join(V.DYNAMIC_ENDINGS)})\\z"))
 
 
 def url_length(url: Column) -> Column:

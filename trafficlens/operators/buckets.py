@@ -8,7 +8,7 @@ finer cells and the rows are never read again.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from trafficlens import fixed_values as V
 from trafficlens.functions import times
@@ -108,7 +108,7 @@ def bucket_stats(cells: DataFrame, medians: DataFrame, keys=("split",)) -> DataF
     missing rows times the code's median. Directories are first counted by their
     number of hits: the entropy needs only how many directories have n hits, and
     a bucket of N rows has at most sqrt(2N) different n, so even a bucket with a
-    third of all rows ends as a short list.
+    third of all rows comes together as few rows.
     """
     group = [*keys, "minutes", "bucket"]
     # Cells without a code get codes that no line has, so they spread over tasks.
@@ -133,24 +133,20 @@ def bucket_stats(cells: DataFrame, medians: DataFrame, keys=("split",)) -> DataF
         F.count("*").alias("values"), F.max("n_top").alias("n_top"),
         *(F.sum(F.col(c)).alias(c) for c in totals),
     )
-    merged = by_hits.groupBy(*group).agg(
+    # The bucket's rows are needed for each share; the window and the last sum use
+    # the same partitioning.
+    rows = F.sum(_of("response", F.col("n"))).over(W.partitionBy(*group))
+    share = F.col("hits") / F.col("rows")
+    bits = F.col("values") * share * F.log2(share + F.lit(V.ENTROPY_EPSILON))
+    merged = by_hits.withColumn("rows", rows).groupBy(*group).agg(
         *(F.sum(_of("response", F.col(c))).alias(c) for c in totals),
         *(F.sum(_of(d, F.col("values"))).alias(f"{d}_values") for d in ("country", "directory", "method")),
-        F.max("n_top").alias("n_top"),
-        F.array_sort(F.collect_list(F.when(
-            F.col("dim") == "directory", F.struct("hits", "values")
-        ))).alias("hit_list"),
+        F.max("n_top").alias("n_top"), (-F.sum(bits)).alias("entropy"),
     )
 
     def rate(name: str) -> Column:
         return F.col(name) / F.col("n")
 
-    share = lambda item: item["hits"] / F.col("n")
-    entropy = F.aggregate(
-        "hit_list", F.lit(0.0),
-        lambda acc, item: acc - item["values"] * share(item)
-        * F.log2(share(item) + F.lit(V.ENTROPY_EPSILON)),
-    )
     zero = F.lit(0)
     return merged.select(
         *group,
@@ -169,7 +165,7 @@ def bucket_stats(cells: DataFrame, medians: DataFrame, keys=("split",)) -> DataF
         F.col("directory_values").alias("dir_nunique"),
         F.col("method_values").alias("method_nunique"),
         F.coalesce(rate("n_top"), F.lit(0.0)).alias("top_country_share"),
-        entropy.alias("endpoint_entropy"),
+        F.col("entropy").alias("endpoint_entropy"),
         rate("n_heavy").alias("ratio_heavy"),
         rate("n_image").alias("ratio_image"),
         rate("n_get").alias("ratio_get"),
