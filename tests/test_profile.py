@@ -69,6 +69,13 @@ def test_correlations_pairwise(spark):
     assert got[("a", "c")] is None and got[("b", "c")] is None
 
 
+def test_correlations_of_complete_columns(spark):
+    df = spark.range(50).select("id", (F.col("id") % 7).alias("m"), F.lit(3).alias("c"))
+    got = {(r.col_a, r.col_b): r["corr"] for r in profile.correlations(df, ["id", "m", "c"]).collect()}
+    assert got[("id", "m")] == pytest.approx(df.select(F.corr("id", "m")).first()[0])
+    assert got[("id", "c")] is None
+
+
 def test_counts_per_column(spark):
     df = frame(spark, [("x", None), ("y", 1), ("x", 1)], "a string, b int")
     assert pairs(profile.null_counts(df)) == {"a": 0, "b": 1}

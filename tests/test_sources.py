@@ -38,7 +38,7 @@ def test_parse_equals_the_pattern(spark):
 def test_pattern_is_evaluated_once(spark):
     df = spark.createDataFrame([(LINES[0],)], "value string")
     plan = parse.apply_types(parse.parse_lines(df))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("regexp_extract_all") == 1 and "WholeStageCodegen" not in plan.split("Generate")[0][:0]
+    assert plan.count("regexp_extract_all") == 1
 
 
 def test_apply_types_and_guard(spark):
@@ -71,7 +71,7 @@ def test_dense_index_in_file_order(spark, tmp_path, block):
         got = logs.dense_index(parse.parse_lines(scan)).orderBy("index").select("index", "host").collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    assert [r.index for r in got] == list(range(len(text))) or [r[0] for r in got] == list(range(len(text)))
+    assert [r["index"] for r in got] == list(range(len(text)))
     assert [r.host for r in got] == [line.split(" ")[0] for line in text]
 
 
@@ -101,7 +101,8 @@ def test_tables_by_frequency(spark, tmp_path):
     tables.write_tables(df, path)
     got = tables.read_table(spark, path, "5m", "train")
     assert got.count() == 48 and {r.freq for r in got.collect()} == {"5m"}
-    assert "PartitionFilters: [isnotnull(split" in got._jdf.queryExecution().toString().replace("#", " #").replace(" #", "#") or True
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "freq=5m" in plan and "(split" in plan.split("PartitionFilters:")[1].split("PushedFilters")[0]
     with pytest.raises(FileNotFoundError, match="traffic-table step"):
         tables.read_table(spark, path, "15m")
     assert len(tables.read_parquet_sets(spark, [path, path])) == 2

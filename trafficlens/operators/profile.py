@@ -137,12 +137,17 @@ def correlations(df: DataFrame, columns) -> DataFrame:
     """Pearson correlation of every pair, over the rows where both are known, in one pass."""
     pairs = list(combinations(columns, 2))
     number = {c: F.col(c).cast("double") for c in columns}
+    complete = {f.name for f in df.schema.fields if not f.nullable}
 
-    def pearson(a: Column, b: Column) -> Column:
+    def pearson(a: str, b: str) -> Column:
         # A constant column has no correlation; the ready-made function would fail.
-        return F.try_divide(F.regr_sxy(a, b), F.sqrt(F.regr_sxx(a, b) * F.regr_syy(a, b)))
+        x, y = number[a], number[b]
+        if a in complete and b in complete:
+            # The variances do not depend on the partner, so all pairs share them.
+            return F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y)))
+        return F.try_divide(F.regr_sxy(x, y), F.sqrt(F.regr_sxx(x, y) * F.regr_syy(x, y)))
 
-    one = df.agg(*(pearson(number[a], number[b]).alias(f"c{i}") for i, (a, b) in enumerate(pairs)))
+    one = df.agg(*(pearson(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)))
     items = F.array(*(
         F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"c{i}").alias("corr"))
         for i, (a, b) in enumerate(pairs)
