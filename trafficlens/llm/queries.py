@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trafficlens.llm import mixing, sharding
+from trafficlens.llm import mixing, order_minhash, sharding
 from trafficlens.llm.tables import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+@query("op9_order_minhash")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.compare_neighbours(documents(spark, sf_dir))
+
+
 @query("op10_mixing", mixing.ORACLE_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies(documents(spark, sf_dir)).select(
