@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ KEPT_PIECES, KEPT_BYTES = 200_000, 64
 #: States and neighbour verdicts kept; beyond that they are made anew.
 KEPT_STATES, KEPT_VERDICTS = 60_000, 500_000
 #: Ids that the decoder takes at once.
-DECODE_IDS = 1 << 16
+DECODE_IDS = 1 << 14
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -235,15 +235,12 @@ class Decoder:
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
-    def decode(self, ids: Iterable[int]) -> Iterator[str]:
+    def decode(self, ids: Sequence[int]) -> Iterator[str]:
         """The text of the ids in pieces, as they come."""
-        machine, chunk = Utf8(), []
-        for token in ids:
-            chunk.append(token)
-            if len(chunk) >= DECODE_IDS:
-                yield machine.feed(self.decode_bytes(chunk))
-                chunk = []
-        yield machine.feed(self.decode_bytes(chunk), last=True)
+        machine = Utf8()
+        for i in range(0, len(ids), DECODE_IDS):
+            yield machine.feed(self.decode_bytes(ids[i:i + DECODE_IDS]))
+        yield machine.feed(b"", last=True)
 
 
 _made: dict[tuple, object] = {}
@@ -307,7 +304,10 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     ids = encoder.encode(text.as_py())
                     counts.append(len(ids))
                     sums.append(hashlib.sha256(" ".join(map(words.__getitem__, ids)).encode()).hexdigest())
-                    back.append(hashlib.sha256(decoder.decode_bytes(ids)).hexdigest())
+                    decoded = hashlib.sha256()
+                    for piece in decoder.decode(ids):
+                        decoded.update(piece.encode("utf-8"))
+                    back.append(decoded.hexdigest())
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(sums), pa.array(back)],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

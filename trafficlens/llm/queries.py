@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trafficlens.llm import byte_bpe, mixing, order_minhash, sharding
+from trafficlens.llm import byte_bpe, mixing, order_minhash, sharding, token_files
 from trafficlens.llm.tables import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+@query("op5_token_files")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return token_files.round_trip(spark, documents(spark, sf_dir), path, vocabulary=49408)
+
+
 @query("op9_order_minhash")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.compare_neighbours(documents(spark, sf_dir))
