@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trafficlens.llm import byte_bpe, mixing, order_minhash, sharding, token_files
+from trafficlens.llm import byte_bpe, mixing, order_minhash, sharding, token_files, toxicity
 from trafficlens.llm.tables import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,16 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(spark, documents(spark, sf_dir), path, vocabulary=49408)
 
 
+@query("op6_toxicity")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= toxicity.TOXIC).cast("int").alias("predicted"))
+
+
 @query("op9_order_minhash")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.compare_neighbours(documents(spark, sf_dir))
