@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trafficlens.llm import byte_bpe, mixing, ngram_jaccard, order_minhash, sharding, token_files, toxicity
+from trafficlens.llm import byte_bpe, lm_scoring, mixing, ngram_jaccard, order_minhash, sharding, token_files, toxicity
 from trafficlens.llm.tables import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +57,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.link(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+@query("op8_lm_scoring")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 @query("op9_order_minhash")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.compare_neighbours(documents(spark, sf_dir))
