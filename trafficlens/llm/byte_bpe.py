@@ -20,6 +20,7 @@ to replacement characters, while ``decode_bytes`` gives the bytes themselves.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator, Sequence
 
@@ -30,9 +31,9 @@ from pyspark.sql import DataFrame
 
 #: Pieces whose result is kept in a worker (twice as many, as those that came up again
 #: stay), and bytes of a piece that is kept. Results do not depend on it.
-KEPT_PIECES, KEPT_BYTES = 200_000, 64
+KEPT_PIECES, KEPT_BYTES = 400_000, 64
 #: States and neighbour verdicts kept; beyond that they are made anew.
-KEPT_STATES, KEPT_VERDICTS = 60_000, 500_000
+KEPT_STATES, KEPT_VERDICTS = 120_000, 500_000
 #: Ids that the decoder takes at once.
 DECODE_IDS = 1 << 14
 
@@ -48,24 +49,22 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        # The prefix tree: node 0 is its root; step[node] maps a byte to a node, and
-        # ends[node] is the token that ends there, or -1.
-        self.step: list[dict[int, int]] = [{}]
-        self.ends: list[int] = [-1]
+        # The prefix tree: an edge is (node + byte) to (node below, token that ends there
+        # or -1, whether longer tokens go on); nodes are multiples of 256, the root is 0.
+        below: dict[int, int] = {}
+        ends: dict[int, int] = {}
+        inner = set()
         # Only tokens that the merges can make of their own bytes are ever read.
         for token, rank in ranks.items():
             if self.merged(token) != [rank]:
                 continue
             node = 0
             for byte in token:
-                after = self.step[node].get(byte)
-                if after is None:
-                    after = self.step[node][byte] = len(self.step)
-                    self.step.append({})
-                    self.ends.append(-1)
-                node = after
-            self.ends[node] = rank
-        self.verdicts: dict[tuple[int, int], bool] = {}
+                inner.add(node)
+                node = below.setdefault(node + byte, (len(below) + 1) << 8)
+            ends[node] = rank
+        self.tree = {edge: (node, ends.get(node, -1), node in inner) for edge, node in below.items()}
+        self.verdicts: dict[int, bool] = {}
         self.parts: dict[int, tuple[int, int] | None] = {}
         self.ends_of: dict[int, list[tuple[bytes, int]]] = {}
         self.starts_of: dict[int, list[tuple[bytes, int]]] = {}
@@ -115,42 +114,50 @@ class Transducer:
         """Whether the merges leave these two tokens as neighbours: no stage of the left
         one's right end and of the right one's left end merge before either is merged
         inside its own token. Of equal ranks the pair further left comes first."""
-        verdict = self.verdicts.get((left, right))
-        if verdict is None:
-            if len(self.verdicts) >= KEPT_VERDICTS:
-                self.verdicts.clear()
-            if left not in self.ends_of:
-                self.ends_of[left] = self._edge(left, 1)
-            if right not in self.starts_of:
-                self.starts_of[right] = self._edge(right, 0)
-            verdict, rank = True, self.ranks.get
-            for a, a_until in self.ends_of[left]:
-                for b, b_until in self.starts_of[right]:
-                    joined = rank(a + b)
-                    if joined is not None and joined < a_until and joined <= b_until:
-                        verdict = False
-            self.verdicts[left, right] = verdict
+        if len(self.verdicts) >= KEPT_VERDICTS:
+            self.verdicts.clear()
+        if left not in self.ends_of:
+            self.ends_of[left] = self._edge(left, 1)
+        if right not in self.starts_of:
+            self.starts_of[right] = self._edge(right, 0)
+        verdict, rank = True, self.ranks.get
+        for a, a_until in self.ends_of[left]:
+            for b, b_until in self.starts_of[right]:
+                joined = rank(a + b)
+                if joined is not None and joined < a_until and joined <= b_until:
+                    verdict = False
+        self.verdicts[left << 32 | right] = verdict
         return verdict
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         # Alternatives stand in the order of where their growing token starts. Of the
         # tokens that end here, exactly one goes with what stands before it.
-        grown, whole, step = [], None, self.step
+        grown, whole, tree, known = [], None, self.tree.get, self.verdicts.get
         for node, pending in self.states[state]:
-            node = step[node].get(byte)
-            if node is None:
+            edge = tree(node + byte)
+            if edge is None:
                 continue
-            if whole is None:
-                token = self.ends[node]
-                if token >= 0 and (not pending or self.stand(pending[-1], token)):
-                    whole = pending + (token,)
-            if step[node]:
+            node, token, longer = edge
+            if whole is None and token >= 0:
+                if pending:
+                    verdict = known(pending[-1] << 32 | token)
+                    if verdict is None:
+                        verdict = self.stand(pending[-1], token)
+                    if verdict:
+                        whole = pending + (token,)
+                else:
+                    whole = (token,)
+            if longer:
                 grown.append((node, pending))
-        grown.append((0, whole))
         # All alternatives may share a beginning; but for its last token it can leave.
-        done = min([len(pending) for _, pending in grown]) - 1
-        while done > 0 and any(pending[:done + 1] != whole[:done + 1] for _, pending in grown):
-            done -= 1
+        done = len(whole) - 1
+        for _, pending in grown:
+            if done < 1:
+                break
+            done = min(done, len(pending) - 1)
+            while done > 0 and pending[:done + 1] != whole[:done + 1]:
+                done -= 1
+        grown.append((0, whole))
         if done > 0:
             grown = [(node, pending[done:]) for node, pending in grown]
         made = tuple(grown)
@@ -248,6 +255,8 @@ _made: dict[tuple, object] = {}
 
 def _once(kind, *args):
     """One encoder or decoder per worker process and its settings."""
+    # The kept tables have no cycles, and the collector would walk them again and again.
+    gc.set_threshold(1_000_000, 100, 100)
     if (kind, *args) not in _made:
         _made[kind, *args] = kind(*args)
     return _made[kind, *args]
