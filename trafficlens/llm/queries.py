@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trafficlens.llm import byte_bpe, lm_scoring, mixing, ngram_jaccard, order_minhash, sharding, token_files, toxicity
+from trafficlens.llm import byte_bpe, embedding_near_dedup, lm_scoring, mixing, ngram_jaccard, order_minhash, sharding, token_files, toxicity
 from trafficlens.llm.tables import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,11 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op1_embedding_near_dedup", embedding_near_dedup.ORACLE_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_near_dedup.near_dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 @query("op2_byte_bpe")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
