@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trafficlens.llm import byte_bpe, embedding_near_dedup, lm_scoring, mixing, ngram_jaccard, order_minhash, sharding, token_files, toxicity
+from trafficlens.llm import byte_bpe, embedding_near_dedup, lm_scoring, mixing, ngram_jaccard, order_minhash, pii, sharding, token_files, toxicity
 from trafficlens.llm.tables import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,15 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
 
 
+@query("op3_pii")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(documents(spark, sf_dir))
+    return found.select(
+        "doc_id", *[pii.count_of(F.col("base_spans"), k).alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(pii.written_form(F.col("base_spans")), 256).alias("base_sha256"),
+        pii.written_form(F.col("spans")).alias("spans"))
+
+
 @query("op4_sharding")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir)).select(
