@@ -18,10 +18,12 @@ first; rows of one doc_id follow each other by text; an empty table makes no fil
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,12 +36,24 @@ from trafficlens.session import work_path, written
 #: UTF-8 bytes of text that go to one part file.
 PART_BYTES = 32 << 20
 #: Words whose ids a worker keeps (twice as many, as those that came up again stay).
-KEPT_WORDS, KEPT_CHARS = 200_000, 64
+KEPT_WORDS, KEPT_CHARS = 400_000, 64
 _NULL = -2**63
 #: No token of the vocabulary reaches over white space, so words are encoded alone.
 _words = re.compile(r"[^ \t\n\x0b\x0c\r]+").findall
 
 
+#: Signs that no token joins with letters or digits; an apostrophe may begin an ending.
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_PLAIN = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+
+
+def _parts(word: str) -> tuple[str, ...]:
+    """A word, or what stands before its closing signs and those; case does not count."""
+    stem = word.rstrip(_SIGNS)
+    parts = (stem, word[len(stem):]) if stem and len(stem) < len(word) and stem[-1] in _PLAIN else (word,)
+    return tuple(p.lower() if p.isascii() else p for p in parts)
+
+
 class Encoder:
     """The ids of whole texts as bytes of the file format."""
 
@@ -50,22 +64,51 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.type = id_type(self.tokenizer.get_vocab_size(with_added_tokens=True))
+        self.code = "H" if self.type == "<u2" else "I"
+        self.parts: dict[str, bytes] = {}
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def _learn(self, parts: set[str]) -> None:
+        if len(self.parts) > KEPT_WORDS:
+            self.parts = {p: self.parts[p] for p in parts if p in self.parts}
+        parts = list(parts.difference(self.parts))
+        for part, encoding in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)):
+            self.parts[part] = array(self.code, encoding.ids).tobytes()
+
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
-        kept, older, texts = self.kept, self.older, [_words(t or "") for t in texts]
-        wanted = set().union(*texts).difference(kept)
-        made = {w: older[w] for w in wanted if w in older}
+        texts = [_words(t or "") for t in texts]
+        every = set().union(*texts)
+        wanted = every.difference(self.kept)
+        made = {w: self.older[w] for w in wanted if w in self.older}
         new = [w for w in wanted if w not in made]
-        for word, encoding in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            made[word] = np.array(encoding.ids, self.type).tobytes()
-        if len(kept) + len(made) > KEPT_WORDS:
-            self.older, self.kept = kept, {}
-        self.kept.update((w, x) for w, x in made.items() if len(w) <= KEPT_CHARS)
-        last = np.array([end], self.type).tobytes()
-        made = [b"".join([made[w] if w in made else kept[w] for w in words]) + last for words in texts]
-        return made
+        split = [_parts(w) for w in new]
+        self._learn(set().union(*split))
+        for word, parts in zip(new, split):
+            made[word] = b"".join([self.parts[p] for p in parts])
+        if len(self.kept) + len(made) > KEPT_WORDS:
+            # The words of these texts go over to the new table.
+            made.update((w, self.kept[w]) for w in every.difference(wanted))
+            self.older, self.kept = self.kept, {}
+        self.kept.update(made)
+        last, ids = np.array([end], self.type).tobytes(), self.kept.__getitem__
+        out = [b"".join(map(ids, words)) + last for words in texts]
+        for word in made:
+            if len(word) > KEPT_CHARS:
+                del self.kept[word]
+        return out
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """One encoder, with its kept words, per worker process."""
+    if path not in _encoders:
+        # The kept tables have no cycles, and the collector would walk them again and again.
+        gc.set_threshold(1_000_000, 100, 100)
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def id_type(vocabulary: int) -> str:
@@ -91,7 +134,7 @@ def write(docs: DataFrame, folder: str, path: str, end: int) -> DataFrame:
 
         task = TaskContext.get()
         part, attempt = task.partitionId(), task.taskAttemptId()
-        encoder, (fs, root) = Encoder(path), _place(folder)
+        encoder, (fs, root) = encoder_of(path), _place(folder)
         width = np.dtype(encoder.type).itemsize
         starts, at, files = [0], 0, {}
         name = {kind: f"{root}/part-{part:05d}.{kind}" for kind in ("ids", "idx", "doc")}
