@@ -70,6 +70,32 @@ def written(df, name: str):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables below the shared folder that are deleted once nothing reads them any more."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+        self.spark: SparkSession | None = None
+
+    def written(self, df, name: str):
+        self.spark = df.sparkSession
+        self.paths.append(work_path(self.spark, name))
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def clear(self) -> None:
+        for path in self.paths:
+            delete(self.spark, path)
+        self.paths = []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder, in whatever file system it lies."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 # Rows up to which a lookup table goes to every executor: some tens of megabytes.
 BROADCAST_ROWS = 500_000
 
