@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType
 
 #: Pieces whose result is kept in a worker (twice as many, as those that came up again
 #: stay), and bytes of a piece that is kept. Results do not depend on it.
@@ -262,20 +263,34 @@ def _once(kind, *args):
     return _made[kind, *args]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", text: str = "text") -> DataFrame:
-    """The documents without their text, with an array of ids instead."""
-    kept = [c for c in docs.columns if c not in (ids, text)]
-    schema = docs.select(*kept).schema.add(ids, "array<int>")
+def _arrays(made: list[list[int]]) -> pa.Array:
+    bounds = np.concatenate(([0], np.cumsum([len(x) for x in made])))
+    values = np.concatenate([np.zeros(0, np.int32), *(np.array(x, np.int32) for x in made)])
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, pa.int32()))
+
+
+def _decoded_sha256(decoder: Decoder, ids: Sequence[int]) -> str:
+    out = hashlib.sha256()
+    for piece in decoder.decode(ids):
+        out.update(piece.encode("utf-8"))
+    return out.hexdigest()
+
+
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """The documents without their text, with ids, n_tokens, and the sha256 of what the
+    ids decode to; columns of these names are replaced."""
+    new = ("ids", "n_tokens", "decoded_sha256")
+    kept = [c for c in docs.columns if c not in (text, *new)]
+    schema = docs.select(*kept).schema.add("ids", ArrayType(IntegerType())).add("n_tokens", "long").add("decoded_sha256", "string")
 
     def run(batches):
-        encoder = _once(Encoder, path, pattern)
+        encoder, decoder = _once(Encoder, path, pattern), _once(Decoder, path)
         for batch in batches:
             for part in _slices(batch):
-                made = [np.array(encoder.encode(t.as_py()), np.int32) for t in part.column(text)]
-                bounds = np.concatenate(([0], np.cumsum([len(x) for x in made])))
-                column = pa.ListArray.from_arrays(
-                    pa.array(bounds, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *made]), pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), column], [*kept, ids])
+                made = [encoder.encode(t.as_py()) for t in part.column(text)]
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in kept), _arrays(made), pa.array([len(x) for x in made], pa.int64()),
+                     pa.array([_decoded_sha256(decoder, x) for x in made], pa.string())], [*kept, *new])
 
     return docs.select(*kept, text).mapInArrow(run, schema)
 
@@ -313,10 +328,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     ids = encoder.encode(text.as_py())
                     counts.append(len(ids))
                     sums.append(hashlib.sha256(" ".join(map(words.__getitem__, ids)).encode()).hexdigest())
-                    decoded = hashlib.sha256()
-                    for piece in decoder.decode(ids):
-                        decoded.update(piece.encode("utf-8"))
-                    back.append(decoded.hexdigest())
+                    back.append(_decoded_sha256(decoder, ids))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(sums), pa.array(back)],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

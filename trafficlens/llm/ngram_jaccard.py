@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from trafficlens.llm import words as W
 from trafficlens.llm.components import components
-from trafficlens.session import written
+from trafficlens.session import Scratch, written
 
 U64 = np.uint64
 #: Words of a shingle; similarity as a fraction.
@@ -253,22 +253,25 @@ def _pairs(found: list[tuple]) -> pa.RecordBatch:
 
 def _links(pairs: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs of classes, those that are alike enough."""
-    pairs = written(pairs.select("a", "b"), "jaccard-pairs")
+    scratch = Scratch()
+    pairs = scratch.written(pairs.select("a", "b"), "jaccard-pairs")
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    one = written(sets.join(wanted, "class").groupBy("class").agg(F.min("row").alias("row")), "jaccard-rows")
+    one = scratch.written(sets.join(wanted, "class").groupBy("class").agg(F.min("row").alias("row")), "jaccard-rows")
     if one.count() <= BROADCAST_ROWS:
         one = F.broadcast(one)
     chosen = texts.join(one, "row").select("class", "text")
     rows = chosen.mapInArrow(_class_rows, "class long, size long, bits binary, shingles binary")
-    rows = written(rows.dropDuplicates(["class"]), "jaccard-classes")
+    rows = scratch.written(rows.dropDuplicates(["class"]), "jaccard-classes")
 
     def side(name: str, *columns: str) -> DataFrame:
         return rows.select(F.col("class").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
 
     near = pairs.join(side("a", "size", "bits"), "a").join(side("b", "size", "bits"), "b")
-    near = written(near.mapInArrow(_bounded, "a long, b long"), "jaccard-near")
+    near = scratch.written(near.mapInArrow(_bounded, "a long, b long"), "jaccard-near")
     near = near.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b")
-    return written(near.mapInArrow(_verified, "a long, b long"), "jaccard-links")
+    links = written(near.mapInArrow(_verified, "a long, b long"), "jaccard-links")
+    scratch.clear()
+    return links
 
 
 def _compatible(a: str, b: str):
@@ -344,9 +347,8 @@ def classes_joined(texts: DataFrame, sets: DataFrame, repeated: DataFrame) -> Da
     return components(links).select(F.col("id").alias("class"), F.col("component").alias("joined"))
 
 
-def link(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row; component_id is the smallest
-    doc_id that is reached over links, its own included."""
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id, n_shingles, joined) of every row, by classes; texts with row names."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # A row is named by its content, so null and repeated doc_ids do no harm.
     texts = texts.withColumn("row", F.xxhash64("doc_id", "text"))
@@ -354,14 +356,42 @@ def link(docs: DataFrame) -> DataFrame:
         _summaries, "row long, doc_id long, n_shingles long, class long, shingle long, times long"), "jaccard-sets")
     sets = found.where("class is not null").select("row", "doc_id", "n_shingles", "class")
     linked = classes_joined(texts, sets, found.where("shingle is not null").select("shingle", "times"))
-    groups = sets.where("n_shingles > 0").join(linked, "class", "left")
-    groups = groups.select("doc_id", "n_shingles", F.coalesce("joined", "class").alias("joined"))
+    groups = sets.join(linked, "class", "left")
+    return groups.select("row", "doc_id", "n_shingles", F.coalesce("joined", "class").alias("joined"))
+
+
+def link(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row; component_id is the smallest
+    doc_id that is reached over links, its own included."""
+    rows = _grouped(docs)
+    groups = rows.where("n_shingles > 0")
     smallest = groups.groupBy("joined").agg(F.min("doc_id").alias("component_id"))
     out = groups.join(smallest, "joined").select("doc_id", "n_shingles", "component_id")
-    empty = sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    empty = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.unionByName(empty)
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents with the smallest doc_id of each component, and those without words.
+
+    Of rows that are alike in doc_id and text one stays.
+    """
+    rows = written(_grouped(docs).where("n_shingles > 0").select("row", "doc_id", "joined"), "jaccard-rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))
+    kept = rows.groupBy("joined").agg(first.alias("first"))
+    gone = rows.join(kept, "joined").where(F.col("row") != F.col("first.row")).select(F.col("row").alias("__row")).distinct()
+    gone = written(gone, "jaccard-gone")
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    named = docs.withColumn("__row", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    left = named.join(gone, "__row", "left_anti")
+    again = written(rows.groupBy(F.col("row").alias("__row")).count().where("count > 1").select("__row"), "jaccard-again")
+    if not again.isEmpty():
+        single = left.join(again, "__row", "left_semi").dropDuplicates(["__row"])
+        left = left.join(again, "__row", "left_anti").unionByName(single)
+    return left.select(*docs.columns)
+
+
 ORACLE_SQL = f"""
 WITH RECURSIVE worded AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
   'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0B\f\r]+') AS w FROM documents),
