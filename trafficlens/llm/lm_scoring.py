@@ -45,6 +45,8 @@ ENTRY_BITS, MOST_BITS, PROBES = 8, 1 << 29, 4
 TOP = 1 << 20
 #: UTF-8 bytes of text for each range of hashes.
 RANGE_BYTES = 16 << 20
+#: Tokens whose counts a task holds before it hands them on.
+TASK_TOKENS = 1_500_000
 PRIORS = (1.0, 5.0, 20.0, 100.0, 500.0, 2000.0, 10000.0, 100000.0)
 TUNE_DOCS = 500
 
@@ -108,7 +110,6 @@ class Model:
     texts: int
     top: np.ndarray
     top_counts: np.ndarray
-    prior: float = 100.0
 
     def levels(self, grams: np.ndarray) -> np.ndarray:
         """The level of each n-gram, 0 if it is not there."""
@@ -184,7 +185,7 @@ def _counts(ranges: int):
                     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
                     parts.append((keys[first], np.diff(np.concatenate((first, [len(keys)]))).astype(np.int64)))
                 held += len(stream)
-                if held > 4_000_000:
+                if held > TASK_TOKENS:
                     yield from packed(single, double)
                     single, double, held = [], [], 0
         if held:
@@ -270,13 +271,16 @@ def learn(docs: DataFrame) -> tuple[Model, DataFrame]:
         least += 1
     parts = sums.groupBy("range").applyInArrow(_filter_parts(least, ranges), "range int, bits long, part binary")
     # At most MOST_BITS together.
-    parts = parts.orderBy("range").toArrow()
+    parts = parts.toArrow()
     sizes, start = np.zeros(ranges, np.int64), np.zeros(ranges, np.int64)
-    at, found = 0, []
-    for row in parts.to_pylist():
-        sizes[row["range"]], start[row["range"]] = row["bits"], at
-        at += len(row["part"]) * 8
-        found.append(row["part"])
+    bits = np.zeros(max(1, sum(parts.column("bits").to_pylist()) // 8), np.uint8)
+    at = 0
+    for number, n, part in zip(*(parts.column(c) for c in ("range", "bits", "part"))):
+        sizes[number.as_py()], start[number.as_py()] = n.as_py(), at * 8
+        part = np.frombuffer(part.as_buffer(), np.uint8)
+        bits[at:at + len(part)] = part
+        at += len(part)
+    del parts
     # The most frequent words: those from the smallest count on that leaves TOP at most.
     by_count = words.groupBy(F.floor(F.log("count") / np.log(1.1)).alias("step")).count().collect()
     least_step, n = 0, 0
@@ -287,10 +291,9 @@ def learn(docs: DataFrame) -> tuple[Model, DataFrame]:
             break
     top = words.where(F.floor(F.log("count") / np.log(1.1)) >= least_step).toArrow()
     order = np.argsort(np.asarray(top.column("word")).astype(U64))
-    model = Model(
-        np.frombuffer(b"".join(found) or b"\0", np.uint8), start, sizes, total, distinct, texts,
-        np.asarray(top.column("word")).astype(U64)[order], np.asarray(top.column("count"))[order])
-    return dataclasses.replace(model, prior=_prior(known, model)), words
+    return Model(
+        bits, start, sizes, total, distinct, texts, np.asarray(top.column("word")).astype(U64)[order],
+        np.asarray(top.column("count"))[order]), words
 
 
 # --- scoring ------------------------------------------------------------------
@@ -308,11 +311,9 @@ def _terms(model: Model, stream: np.ndarray, bounds: np.ndarray, distinct: tuple
     return np.minimum(VALUES[model.levels(once)][at], before), before, single
 
 
-def _prior(known: DataFrame, model: Model) -> float:
+def _prior(docs: DataFrame, held) -> float:
     """The prior under which training texts are likeliest, each pair left out once."""
-    if not model.total:
-        return 100.0
-    held = known.sparkSession.sparkContext.broadcast(model)
+    known = docs.where(~held_out(F.col("doc_id"))).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(len(PRIORS))
@@ -325,7 +326,7 @@ def _prior(known: DataFrame, model: Model) -> float:
 
     sample = known.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(TUNE_DOCS).select("text")
     sums = sample.mapInArrow(run, ", ".join(f"m{i} double" for i in range(len(PRIORS))))
-    best = sums.agg(*[F.sum(c).alias(c) for c in sums.columns]).first()
+    best = sums.agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in sums.columns]).first()
     return PRIORS[int(np.argmax(list(best)))]
 
 
@@ -333,7 +334,7 @@ _SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long,
 _SCORED_NAMES = [c.split()[0] for c in _SCORED.split(", ")]
 
 
-def _scored(held):
+def _scored(held, prior: float):
     """A row for each text, and rows (row, word, times) for words outside the top."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -346,7 +347,7 @@ def _scored(held):
                 part, start = batch.slice(first, n), bounds[:-1]
                 once, at = np.unique(stream, return_inverse=True)
                 both, before, single = _terms(model, stream, bounds, (once, at))
-                score = np.add.reduceat(np.log10((both + model.prior * single) / (before + model.prior)), start)
+                score = np.add.reduceat(np.log10((both + prior * single) / (before + prior)), start)
                 known, counts = np.zeros(len(once), bool), np.zeros(len(once))
                 if len(model.top):
                     place = np.minimum(np.searchsorted(model.top, once), len(model.top) - 1)
@@ -378,8 +379,9 @@ def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, distinct_tokens."""
     model, words = learn(docs)
     held = docs.sparkSession.sparkContext.broadcast(model)
+    prior = _prior(docs, held)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out(F.col("doc_id")).alias("held_out"))
-    rows = written(texts.mapInArrow(_scored(held), _SCORED), "lm-scored")
+    rows = written(texts.mapInArrow(_scored(held, prior), _SCORED), "lm-scored")
     rare = rows.where("word is not null").select("row", "word", "times").join(words, "word", "left")
     count = F.coalesce("count", F.lit(0))
     whole = float(np.log10(model.total + model.distinct + 1.0))
