@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from trafficlens import fixed_values as V
 from trafficlens.operators import buckets, combine, enrich, features, parse
 from trafficlens.plans.traffic import rows_of
-from trafficlens.session import spread, use_utc, written
+from trafficlens.session import spread, written
 from trafficlens.sources import events as E
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,10 +23,10 @@ def _pairs(types: str) -> list[tuple[str, str]]:
     return [tuple(item.rsplit(":", 1)) for item in types.split()]
 
 
-# A mean of a few short decimals often lies exactly between two six-place numbers;
-# its last bit, which depends on the order of the sum, would then decide the
-# rounding. Both engines therefore round from slightly above the value.
-NUDGE = 1.3e-7
+# Doubles are shown to six places (d). The mean of a few short decimals often lies exactly
+# between two such numbers, and the last bit of the sum, which depends on the order of
+# its terms, would decide; such columns are shown to 20 binary places instead (f).
+GRID = float(2**20)
 
 
 def shown(df: DataFrame, types: str) -> DataFrame:
@@ -35,7 +35,9 @@ def shown(df: DataFrame, types: str) -> DataFrame:
     for name, kind in _pairs(types):
         c = F.col(f"`{name}`")
         if kind == "d":
-            out.append((F.round(c.cast("double") + F.lit(NUDGE), 6) + F.lit(0.0)).alias(name))
+            out.append((F.round(c.cast("double"), 6) + F.lit(0.0)).alias(name))
+        elif kind == "f":
+            out.append((F.round(c.cast("double") * GRID, 0) / GRID + F.lit(0.0)).alias(name))
         else:
             out.append(c.cast(SPARK_TYPES[kind]).alias(name))
     return df.select(*out)
@@ -44,8 +46,10 @@ def shown(df: DataFrame, types: str) -> DataFrame:
 def shown_sql(types: str) -> str:
     out = []
     for name, kind in _pairs(types):
-        if kind == "d":
-            out.append(f'round(CAST("{name}" AS DOUBLE) + {NUDGE}, 6) + 0.0 AS "{name}"')
+        if kind == "f":
+            out.append(f'round(CAST("{name}" AS DOUBLE) * {GRID}, 0) / {GRID} + 0.0 AS "{name}"')
+        elif kind == "d":
+            out.append(f'round(CAST("{name}" AS DOUBLE), 6) + 0.0 AS "{name}"')
         else:
             out.append(f'CAST("{name}" AS {SQL_TYPES[kind]}) AS "{name}"')
     return ", ".join(out)
@@ -55,7 +59,6 @@ def query(name: str, types: str, sql: tuple[str, str] | None = None):
     """Register a query; ``sql`` is (common table expressions, select)."""
     def wrap(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            use_utc(spark)
             return shown(fn(spark, sf_dir), types)
 
         QUERIES[name] = run
@@ -162,11 +165,10 @@ drawn AS (SELECT *,
   CASE user_id % 10 WHEN 0 THEN '10.0.' || user_id || '.1'
     WHEN 1 THEN 'u' || user_id || '.example.com' WHEN 2 THEN 'u' || user_id || '.example.COM'
     WHEN 3 THEN 'u' || user_id || '.edu' WHEN 4 THEN 'u' || user_id || '.net'
-    WHEN 5 THEN 'u' || user_id || '.uk' WHEN 6 THEN 'u' || user_id || '.ca'
-    WHEN 7 THEN 'u' || user_id || '.de' WHEN 8 THEN 'u' || user_id || '.info'
-    ELSE 'localhost' || user_id END AS host,
+    WHEN 8 THEN 'u' || user_id || '.info' WHEN 9 THEN 'localhost' || user_id
+    ELSE 'u' || user_id || '.' || {list(E.COUNTRIES)!r}[((user_id // 10) * (user_id // 10) + user_id % 10) % {len(E.COUNTRIES)} + 1] END AS host,
   CASE event_type WHEN 'purchase' THEN 'POST' WHEN 'signup' THEN 'PUT' WHEN 'error' THEN 'BREW' ELSE 'GET' END AS method,
-  '/' || event_type || '/d' || (event_id % 7) || '/r' || (event_id % 13) ||
+  '/' || event_type || repeat('/s', event_id % 4) || '/d' || (event_id % 7) || '/r' || (event_id % 13) ||
     CASE event_id % 8 WHEN 0 THEN '.gif' WHEN 1 THEN '.html' WHEN 2 THEN '.pl' WHEN 3 THEN '.mpg'
       WHEN 4 THEN '.txt' WHEN 5 THEN '.xyz' WHEN 7 THEN '.JPG' ELSE '' END AS url,
   CASE WHEN event_type = 'error' THEN CASE event_id % 3 WHEN 0 THEN '404' WHEN 1 THEN '500' ELSE '403' END

@@ -112,7 +112,7 @@ _count_query("d14_count_by_response_class", "response_class", "response_class",
        (B.ROWS, f"SELECT {_RESULT} AS response_result, count(*) AS count, count(*) / sum(count(*)) OVER () AS share FROM rows_ GROUP BY 1"))
 def _(spark, d):
     rows = B.rows(spark, d).withColumn("response_result", P.response_result(F.col("response")))
-    return profile.shares(profile.counts_by(rows, "response_result"))
+    return profile.shares(written(profile.counts_by(rows, "response_result"), "counts"))
 
 
 _DAY_HOUR = B.TYPED + """, per AS (SELECT CAST("timestamp" AS DATE) AS date, hour("timestamp") AS hour, count(*) AS req
@@ -124,13 +124,14 @@ def _(spark, d):
     return profile.counts_by_day_hour(B.typed(spark, d))
 
 
-DATES = [f"2024-01-{day:02d}" for day in range(1, 31)]
-
-
-@query("d17_hour_by_date", "hour:i " + " ".join(f"{date}:d" for date in DATES),
-       (_DAY_HOUR, "SELECT hour, " + ", ".join(f"sum(req) FILTER (date = DATE '{x}') AS \"{x}\"" for x in DATES) + " FROM per GROUP BY hour"))
+@query("d17_hour_by_date", "hour:i date:s req:l",
+       (_DAY_HOUR + ", days AS (SELECT DISTINCT date FROM per), hours AS (SELECT DISTINCT hour FROM per)",
+        "SELECT h.hour, strftime(y.date, '%Y-%m-%d') AS date, req FROM hours h CROSS JOIN days y "
+        "LEFT JOIN per p ON p.hour = h.hour AND p.date = y.date"))
 def _(spark, d):
-    return profile.hour_by_date(profile.counts_by_day_hour(B.typed(spark, d)), DATES)
+    # The table's columns are the dates of the data; its cells are shown one a row.
+    table = profile.hour_by_date(written(profile.counts_by_day_hour(B.typed(spark, d)), "counts"))
+    return table.unpivot("hour", [c for c in table.columns if c != "hour"], "date", "req")
 
 
 @query("d18_outlier_fence", "split:s q1:d q3:d fence:d", (FENCE, "SELECT * FROM fences"))
@@ -173,20 +174,27 @@ def _corr_sql(source, columns):
     parts = []
     for i, a in enumerate(columns):
         for b in columns[i + 1:]:
-            parts.append(f"SELECT '{a}' AS col_a, '{b}' AS col_b, CASE WHEN var_pop({a}) FILTER ({b} IS NOT NULL) > 1e-18 "
-                         f"AND var_pop({b}) FILTER ({a} IS NOT NULL) > 1e-18 THEN corr({a}, {b}) END AS corr FROM {source}")
+            parts.append(f"SELECT '{a}' AS col_a, '{b}' AS col_b, CASE WHEN min({a}) FILTER ({b} IS NOT NULL) < max({a}) FILTER ({b} IS NOT NULL) "
+                         f"AND min({b}) FILTER ({a} IS NOT NULL) < max({b}) FILTER ({a} IS NOT NULL) THEN corr({a}, {b}) END AS corr FROM {source}")
     return " UNION ALL ".join(parts)
 
 
-ROW_CORR = [c for c in V.ROW_CORRELATION_COLUMNS if not c.endswith("_freq")]
-
-
 @query("d22_row_correlations", "col_a:s col_b:s corr:d",
-       (B.FILLED + """, dated AS MATERIALIZED (SELECT *, hour("timestamp") AS hour, CAST(isodow("timestamp") >= 6 AS INTEGER) AS is_weekend FROM filled)""",
-        _corr_sql("dated", ROW_CORR)))
+       (B.FILLED + f""", named AS (SELECT *, {_TYPE} AS visitor_type, CASE WHEN visitor_category = 'country' THEN tld ELSE 'non_country' END AS c FROM filled),
+kept AS (SELECT c FROM named WHERE c <> 'non_country' GROUP BY c ORDER BY count(*) DESC, c LIMIT 15),
+topped AS (SELECT *, CASE WHEN c IN (SELECT c FROM kept) THEN c ELSE 'other_country' END AS country FROM named),
+dated AS MATERIALIZED (SELECT *, hour("timestamp") AS hour, CAST(isodow("timestamp") >= 6 AS INTEGER) AS is_weekend,
+  count(*) OVER (PARTITION BY visitor_type) / count(*) OVER () AS visitor_type_freq,
+  count(*) OVER (PARTITION BY country) / count(*) OVER () AS country_freq FROM topped)""",
+        _corr_sql("dated", V.ROW_CORRELATION_COLUMNS)))
 def _(spark, d):
-    rows = B.filled(spark, d).withColumns(times.calendar(F.col("timestamp")))
-    return profile.correlations(rows, ROW_CORR)
+    rows = B.filled(spark, d).withColumns(times.calendar(F.col("timestamp")) | {
+        "visitor_type": H.visitor_type(F.col("visitor_category")),
+        "visitor_country": H.visitor_country(F.col("visitor_category"), F.col("tld"), V.NON_COUNTRY),
+    })
+    rows = profile.add_frequency(profile.add_top_country(rows), "visitor_country", "country_freq")
+    rows = profile.add_frequency(rows, "visitor_type", "visitor_type_freq")
+    return profile.correlations(rows, V.ROW_CORRELATION_COLUMNS)
 
 
 @query("d22_bucket_correlations", "col_a:s col_b:s corr:d",
@@ -240,10 +248,10 @@ def _(spark, d):
 
 
 @query("d26_trend_on_sample", "slope:d intercept:d n:l",
-       (B.FILLED, f"SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, count(*) AS n FROM (SELECT CAST(requrllength AS DOUBLE) AS x, bytes_imputed AS y "
+       (B.FILLED, f"SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, count(*) AS n FROM (SELECT CAST(reqpathdepth AS DOUBLE) AS x, bytes_imputed AS y "
         f"FROM filled ORDER BY md5(event_id || ':{V.SAMPLE_SEED}'), event_id LIMIT {V.SAMPLE_ROWS})"))
 def _(spark, d):
-    return profile.trend(profile.fixed_sample(B.filled(spark, d), "event_id"), "requrllength", "bytes_imputed")
+    return profile.trend(profile.fixed_sample(B.filled(spark, d), "event_id"), "reqpathdepth", "bytes_imputed")
 
 
 _STATUS = B.ROWS + f""", s AS (SELECT CASE WHEN response_class = 'client error' THEN 'client error'
@@ -258,15 +266,9 @@ def _(spark, d):
         "response_status": P.response_status(F.col("response")),
         "response_result": P.response_result(F.col("response")),
     })
-    subsets = {
-        "success": F.col("response_result") == "success",
-        "client error": F.col("response_class") == "client error",
-        "server error": F.col("response_class") == "server error",
-    }
-    return combine.stack_sets([
-        profile.shares(profile.counts_by(rows.where(chosen), "response_status")).withColumn("subset", F.lit(name))
-        for name, chosen in subsets.items()
-    ])
+    subset = F.when(F.col("response_class").isin("client error", "server error"), F.col("response_class")).when(
+        F.col("response_result") == "success", F.lit("success"))
+    return profile.shares(profile.counts_by(rows.withColumn("subset", subset), "subset", "response_status"), keys=["subset"])
 
 
 # --- top lists --------------------------------------------------------------

@@ -126,7 +126,7 @@ ML_HEAD = AT + "y_req_t1:l y_bytes_imp_t1:d y_req:l y_bytes_imp:d avg_payload:d
 def _ml_query(name, freq):
     types = " ".join(f"{n}:d" for n in B.history_names(freq))
 
-    @query(name, ML_HEAD + types, (B.ml_sql(freq), "SELECT * FROM ml"))
+    @query(name, ML_HEAD + types.replace(":d", ":f"), (B.ml_sql(freq), "SELECT * FROM ml"))
     def _(spark, d):
         return B.ml(spark, d, freq)
 

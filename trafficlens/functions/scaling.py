@@ -18,8 +18,9 @@ def required_servers(
     requests: Column, size: Column, cap_requests: Column, cap_bytes: Column,
     utilisation: float = V.POLICY_UTILISATION,
 ) -> Column:
-    by_requests = F.ceil(requests / (cap_requests * F.lit(utilisation)))
-    by_bytes = F.ceil(size / (cap_bytes * F.lit(utilisation)))
+    """A load without capacity (a peak of 0) asks for no server; one runs at least."""
+    by_requests = F.ceil(F.try_divide(requests, cap_requests * F.lit(utilisation)))
+    by_bytes = F.ceil(F.try_divide(size, cap_bytes * F.lit(utilisation)))
     return F.greatest(by_requests, by_bytes, F.lit(1).cast("long"))
 
 

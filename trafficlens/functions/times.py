@@ -11,6 +11,10 @@ from trafficlens import fixed_values as V
 ORIGIN = "0001-01-01 00:00:00"
 
 
+MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
+ISO_TIME = r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}$"
+
+
 def origin() -> Column:
     return F.lit(ORIGIN).cast("timestamp_ntz")
 
@@ -18,11 +22,17 @@ def origin() -> Column:
 def parse_log_time(text: Column) -> Column:
     """Local wall-clock time of the line; the zone offset is dropped, bad text is null."""
     found = F.regexp_extract(text, V.LOG_TIME_PATTERN, 1)
-    return F.try_to_timestamp(found, F.lit(V.LOG_TIME_FORMAT)).cast("timestamp_ntz")
+    # An ISO text becomes a zone-free time directly, whatever the session's zone.
+    months = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS) for x in (m, f"{i + 1:02d}")])
+    iso = F.concat(
+        F.substring(found, 8, 4), F.lit("-"), months[F.substring(found, 4, 3)], F.lit("-"),
+        F.substring(found, 1, 2), F.lit(" "), F.substring(found, 13, 8))
+    return iso.try_cast("timestamp_ntz")
 
 
 def parse_iso_time(text: Column) -> Column:
-    return F.try_to_timestamp(text, F.lit(V.ISO_TIME_FORMAT)).cast("timestamp_ntz")
+    """``yyyy-MM-dd HH:mm:ss`` and nothing else."""
+    return F.when(text.rlike(ISO_TIME), text.try_cast("timestamp_ntz"))
 
 
 def bucket_number(ts: Column, minutes) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from trafficlens import fixed_values as V
 
@@ -23,8 +23,12 @@ def join_sets(sets: list[DataFrame], key: str = "index", how: str = "outer") ->
         raise ValueError(f"unknown join type {how!r}")
     if how != "outer":
         return reduce(lambda a, b: a.join(b, key, how), sets)
-    keys = reduce(lambda a, b: a.union(b), [df.select(key) for df in sets]).distinct()
-    return reduce(lambda a, b: a.join(b, key, "left"), sets, keys)
+    known = [df.where(F.col(key).isNotNull()) for df in sets]
+    keys = reduce(lambda a, b: a.union(b), [df.select(key) for df in known]).distinct()
+    joined = reduce(lambda a, b: a.join(b, key, "left"), known, keys)
+    # A null key equals no other, so such rows stand alone, as in a full outer join.
+    lone = [df.where(F.col(key).isNull()) for df in sets]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), lone, joined)
 
 
 def stack_sets(sets: list[DataFrame], drop: str | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from trafficlens import fixed_values as V
 from trafficlens.operators.quantiles import exact_quantiles, quantiles_of_counts, value_counts
@@ -29,8 +29,11 @@ def top(counts: DataFrame, n: int) -> DataFrame:
     return largest_first(counts).limit(n)
 
 
-def shares(counts: DataFrame, name: str = "share") -> DataFrame:
-    """Each count over the sum of all counts."""
+def shares(counts: DataFrame, name: str = "share", keys=()) -> DataFrame:
+    """Each count over the sum of all counts, or of those with the same keys (each with
+    few values). Store counts that are dear to make: without keys they are read twice."""
+    if keys:
+        return counts.withColumn(name, F.col("count") / F.sum("count").over(W.partitionBy(*keys)))
     total = counts.agg(F.sum("count")).scalar()
     return counts.withColumn(name, F.col("count") / total)
 
@@ -81,12 +84,18 @@ def counts_by_day_hour(rows: DataFrame, ts: str = "timestamp") -> DataFrame:
     )
 
 
+# Columns of a pivoted table at most.
+MOST_DATES = 4000
+
+
 def hour_by_date(counts: DataFrame, dates=None) -> DataFrame:
     """Hours down, dates across. The dates are the columns, so they must be few;
     without a list they are read from the counts."""
     text = counts.withColumn("date", F.date_format("date", "yyyy-MM-dd"))
     if dates is None:
-        dates = [r["date"] for r in text.select("date").distinct().orderBy("date").collect()]
+        dates = [r["date"] for r in text.select("date").distinct().orderBy("date").limit(MOST_DATES + 1).collect()]
+        if len(dates) > MOST_DATES:
+            raise ValueError(f"more than {MOST_DATES} dates do not fit one table; name the wanted ones")
     return text.groupBy("hour").pivot("date", list(dates)).agg(F.sum("req"))
 
 
@@ -140,12 +149,16 @@ def correlations(df: DataFrame, columns) -> DataFrame:
     complete = {f.name for f in df.schema.fields if not f.nullable}
 
     def pearson(a: str, b: str) -> Column:
-        # A constant column has no correlation; the ready-made function would fail.
+        # A constant column has no correlation. Its smallest and largest value say so
+        # exactly; a variance put together from parts may be a little above zero.
         x, y = number[a], number[b]
         if a in complete and b in complete:
             # The variances do not depend on the partner, so all pairs share them.
-            return F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y)))
-        return F.try_divide(F.regr_sxy(x, y), F.sqrt(F.regr_sxx(x, y) * F.regr_syy(x, y)))
+            varied = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+            return F.when(varied, F.covar_pop(x, y) / F.sqrt(F.var_pop(x) * F.var_pop(y)))
+        p, q = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+        varied = (F.min(p) < F.max(p)) & (F.min(q) < F.max(q))
+        return F.when(varied, F.regr_sxy(x, y) / F.sqrt(F.regr_sxx(x, y) * F.regr_syy(x, y)))
 
     one = df.agg(*(pearson(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)))
     items = F.array(*(

@@ -25,12 +25,6 @@ def get_spark(app: str = "trafficlens", cores: str = "*", **conf: str) -> SparkS
     return builder.getOrCreate()
 
 
-def use_utc(spark: SparkSession) -> SparkSession:
-    """Log times carry no zone here, so every conversion must be zone-neutral."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder: ``spark.checkpoint.dir`` as the session has it.
 
