@@ -6,12 +6,12 @@ set of n those left out are fewer than ``LEAST * n`` (prefix filter), so only cl
 meet at such a shingle are candidates. The order puts frequent shingles last; it decides
 the cost and never the result.
 
-A meeting point is a tile: its classes by size, cut into chunks, and only chunks within
-the size band of each other are compared. First every class is compared with the
-smallest at its meeting points, which joins most of each group; then only classes that
-are not joined yet. A pair that survives the count of shared first shingles is held to
-its bitmaps: shingles whose bit is missing in the other one bound the overlap from
-above. What is left is decided by the intersection of the sorted sets.
+First every class is compared with the smallest one that it meets, which joins most of
+each group; then only classes that are not joined yet. For that, meeting points with the
+same smallest class form one tile: its classes by size, cut into chunks, and only chunks
+within the size band of each other are compared. Each class brings a bitmap of its hashed
+shingles: those whose bit is missing in the other one bound the overlap from above, by
+counting bits. What is left is decided by the intersection of the sorted sets.
 
 Shingles are 64-bit hashes of five words (two different ones agree with a chance of
 about 2^-60), a class is a 64-bit hash of its set. Sets are made anew from the text
@@ -38,8 +38,10 @@ from trafficlens.session import Scratch, written
 U64 = np.uint64
 #: Words of a shingle; similarity as a fraction.
 WORDS, LEAST = 5, (3, 4)
-#: Bits of a bitmap.
-BITS = 2048
+#: Bits of a bitmap: a power of two that is at least the size of the set, in these limits.
+FEWEST_BITS, MOST_BITS = 512, 16384
+#: Words of 64 bits that a tile compares at once.
+_AT_ONCE = 1 << 21
 #: Classes in a chunk of a tile.
 CHUNK = 512
 #: The most shingles that are put last because they are frequent, and the documents
@@ -76,23 +78,26 @@ def _signed(x) -> pa.Array:
     return pa.array(np.asarray(x, U64).astype(np.int64))
 
 
-_SUMMARY = ["row", "doc_id", "n_shingles", "class", "shingle", "times"]
+_SUMMARY = ["row", "doc_id", "n_shingles", "class", "bits", "shingle", "times"]
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, doc_id, n_shingles, class) and, apart, (shingle, times) that a batch repeats."""
+    """(row, doc_id, n_shingles, class, bits) and, apart, (shingle, times) that a batch
+    repeats."""
     for batch in batches:
-        counts, classes, new, seen = [], [], [], set()
+        counts, classes, bits, new, seen = [], [], [], [], set()
         for shingles in sets_of(batch.column("text")):
             counts.append(len(shingles))
             classes.append(class_of(shingles))
+            bits.append(None)
             if classes[-1] not in seen:
                 seen.add(classes[-1])
                 new.append(shingles)
+                bits[-1] = bitmap(shingles)
         nothing = pa.nulls(len(counts), pa.int64())
         yield pa.RecordBatch.from_arrays(
             [batch.column("row"), batch.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64()),
-             pa.array(classes, pa.int64()), nothing, nothing], _SUMMARY)
+             pa.array(classes, pa.int64()), pa.array(bits, pa.binary()), nothing, nothing], _SUMMARY)
         every = np.sort(np.concatenate([np.zeros(0, U64), *new]))
         if len(every):
             begin = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
@@ -100,7 +105,7 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             often = times > 2
             nothing = pa.nulls(int(often.sum()), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [nothing] * 4 + [_signed(every[begin[often]]), pa.array(times[often].astype(np.int64))], _SUMMARY)
+                [nothing] * 4 + [pa.nulls(len(nothing), pa.binary()), _signed(every[begin[often]]), pa.array(times[often].astype(np.int64))], _SUMMARY)
 
 
 def _slots(repeated: DataFrame) -> np.ndarray:
@@ -167,23 +172,49 @@ def _meetings(slots):
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, bool)
-    bits[(shingles & U64(BITS - 1)).astype(np.int64)] = True
-    return np.packbits(bits).tobytes()
+    width = min(max(FEWEST_BITS, 1 << max(len(shingles) - 1, 0).bit_length()), MOST_BITS)
+    bits = np.zeros(width, bool)
+    bits[(shingles & U64(width - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _folded(bits: list[bytes], width: int) -> np.ndarray:
+    """Bitmaps of one or several widths, all brought to the smallest: halves are united."""
+    out = np.zeros((len(bits), width // 64), np.uint64)
+    for i, one in enumerate(bits):
+        out[i] = np.bitwise_or.reduce(np.frombuffer(one, np.uint64).reshape(-1, width // 64), axis=0)
+    return out
+
+
+def room_for(bits_a: list[bytes], bits_b: list[bytes], n, m, i, j) -> np.ndarray:
+    """Which of the pairs (i of a, j of b), of sets of n[i] and m[j], may overlap enough.
+
+    A set bit that the other bitmap lacks is a shingle that the other set lacks.
+    """
+    wide_a, wide_b = (np.array([len(x) * 8 for x in bits]) for bits in (bits_a, bits_b))
+    both, good = np.minimum(wide_a[i], wide_b[j]), np.zeros(len(i), bool)
+    for width in np.unique(both):
+        at = np.flatnonzero(both == width)
+        rows, x = np.unique(i[at], return_inverse=True)
+        columns, y = np.unique(j[at], return_inverse=True)
+        a, b = _folded([bits_a[k] for k in rows], width), _folded([bits_b[k] for k in columns], width)
+        step = max(1, _AT_ONCE // (width // 64))
+        for first in range(0, len(at), step):
+            here = at[first:first + step]
+            p, q = a[x[first:first + step]], b[y[first:first + step]]
+            most = np.minimum(n[i[here]] - np.bitwise_count(p & ~q).sum(1, dtype=np.int64),
+                              m[j[here]] - np.bitwise_count(q & ~p).sum(1, dtype=np.int64))
+            # overlap / (n + m - overlap) >= LEAST
+            good[here] = most * (LEAST[0] + LEAST[1]) >= LEAST[0] * (n[i[here]] + m[j[here]])
+    return good
 
 
 def _class_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first in range(0, batch.num_rows, 500):
             part = batch.slice(first, 500)
-            made = list(sets_of(part.column("text")))
-            yield pa.RecordBatch.from_arrays(
-                [part.column("class"), pa.array([len(x) for x in made], pa.int64()), pa.array([bitmap(x) for x in made], pa.binary()),
-                 pa.array([x.astype("<u8").tobytes() for x in made], pa.binary())], ["class", "size", "bits", "shingles"])
-
-
-def _bits(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
+            made = [x.astype("<u8").tobytes() for x in sets_of(part.column("text"))]
+            yield pa.RecordBatch.from_arrays([part.column("class"), pa.array(made, pa.binary())], ["class", "shingles"])
 
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,12 +222,10 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first in range(0, batch.num_rows, 4000):
             part = batch.slice(first, 4000)
-            a, b = _bits(part.column("bits_a")), _bits(part.column("bits_b"))
             n, m = (np.asarray(part.column(c)).astype(np.int64) for c in ("size_a", "size_b"))
-            most = np.minimum(n - np.bitwise_count(a & ~b).sum(1, dtype=np.int64), m - np.bitwise_count(b & ~a).sum(1, dtype=np.int64))
-            # overlap / (n + m - overlap) >= LEAST
-            enough = most * (LEAST[0] + LEAST[1]) >= LEAST[0] * (n + m)
-            yield part.select(["a", "b"]).filter(pa.array(enough))
+            k = np.arange(len(n))
+            good = room_for(part.column("bits_a").to_pylist(), part.column("bits_b").to_pylist(), n, m, k, k)
+            yield part.select(["a", "b"]).filter(pa.array(good))
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,60 +244,48 @@ def _near(n, m):
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, size_a, size_b): pairs of two chunks within the size band, not joined yet."""
+    """(a, b): pairs of two chunks within the size band, not joined yet, whose bitmaps
+    leave room for enough overlap."""
     for batch in batches:
         left, right, same = (batch.column(c) for c in ("left", "right", "same"))
-        lengths, same = np.diff(np.asarray(left.offsets)), np.asarray(same)
-        begin = np.asarray(left.offsets)[:-1]
-        size, name, joined = (np.asarray(left.values.field(k)) for k in ("size", "class", "joined"))
-        # Most tiles hold two classes: all of them at once.
-        two = begin[same & (lengths == 2)]
-        two = two[_near(size[two], size[two + 1]) & (joined[two] != joined[two + 1])]
-        found = [(name[two], name[two + 1], size[two], size[two + 1])]
-        for row in np.flatnonzero(~same | (lengths > 2)):
-            x = slice(begin[row], begin[row] + lengths[row])
-            n, a, g = size[x], name[x], joined[x]
-            m, b, h = n, a, g
-            if not same[row]:
-                m, b, h = (np.asarray(right[row].values.field(k)) for k in ("size", "class", "joined"))
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for row, alone in enumerate(np.asarray(same)):
+            n, a, g = (np.asarray(left[row].values.field(k)) for k in ("size", "class", "joined"))
+            m, b, h = (np.asarray(right[row].values.field(k)) for k in ("size", "class", "joined")) if not alone else (n, a, g)
             near = _near(n[:, None], m) & (g[:, None] != h)
-            if same[row]:
+            if alone:
                 near &= np.triu(np.ones(near.shape, bool), 1)
             i, j = np.nonzero(near)
-            found.append((a[i], b[j], n[i], m[j]))
-            if sum(len(f[0]) for f in found) > 500_000:
-                yield _pairs(found)
-                found = []
+            if not len(i):
+                continue
+            x = left[row].values.field("bits").to_pylist()
+            y = x if alone else right[row].values.field("bits").to_pylist()
+            good = room_for(x, y, n, m, i, j)
+            found.append((a[i[good]], b[j[good]]))
         if found:
-            yield _pairs(found)
-
+            a, b = (np.concatenate(c) for c in zip(*found))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-def _pairs(found: list[tuple]) -> pa.RecordBatch:
-    a, b, n, m = (np.concatenate(c) for c in zip(*found))
-    swap = a > b
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.where(swap, b, a)), pa.array(np.where(swap, a, b)),
-         pa.array(np.where(swap, m, n)), pa.array(np.where(swap, n, m))], ["a", "b", "size_a", "size_b"])
 
-
-def _links(pairs: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs of classes, those that are alike enough."""
+def _links(pairs: DataFrame, texts: DataFrame, classes: DataFrame, bounded: bool = False) -> DataFrame:
+    """Of pairs of classes, those that are alike enough; ``bounded`` ones have been held
+    to their bitmaps."""
     scratch = Scratch()
-    pairs = scratch.written(pairs.select("a", "b"), "jaccard-pairs")
+    if not bounded:
+        def side(name: str) -> DataFrame:
+            return classes.select(F.col("class").alias(name), F.col("size").alias(f"size_{name}"), F.col("bits").alias(f"bits_{name}"))
+
+        pairs = scratch.written(pairs.select("a", "b"), "jaccard-pairs")
+        pairs = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded, "a long, b long")
+    pairs = scratch.written(pairs, "jaccard-near")
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    one = scratch.written(sets.join(wanted, "class").groupBy("class").agg(F.min("row").alias("row")), "jaccard-rows")
+    one = scratch.written(classes.select("class", "row").join(wanted, "class"), "jaccard-rows")
     if one.count() <= BROADCAST_ROWS:
         one = F.broadcast(one)
-    chosen = texts.join(one, "row").select("class", "text")
-    rows = chosen.mapInArrow(_class_rows, "class long, size long, bits binary, shingles binary")
-    rows = scratch.written(rows.dropDuplicates(["class"]), "jaccard-classes")
-
-    def side(name: str, *columns: str) -> DataFrame:
-        return rows.select(F.col("class").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
-
-    near = pairs.join(side("a", "size", "bits"), "a").join(side("b", "size", "bits"), "b")
-    near = scratch.written(near.mapInArrow(_bounded, "a long, b long"), "jaccard-near")
-    near = near.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b")
+    chosen = texts.join(one, "row").select("class", "text").dropDuplicates(["class"])
+    rows = scratch.written(chosen.mapInArrow(_class_rows, "class long, shingles binary"), "jaccard-texts")
+    near = pairs.join(rows.select(F.col("class").alias("a"), F.col("shingles").alias("shingles_a")), "a")
+    near = near.join(rows.select(F.col("class").alias("b"), F.col("shingles").alias("shingles_b")), "b")
     links = written(near.mapInArrow(_verified, "a long, b long"), "jaccard-links")
     scratch.clear()
     return links
@@ -303,47 +320,44 @@ def _joined(meetings: DataFrame, links: DataFrame) -> DataFrame:
     return meetings.join(groups, "class", "left").withColumn("joined", F.coalesce("joined", "class"))
 
 
-def _remaining(meetings: DataFrame) -> DataFrame:
-    """(a, b) of classes in different components that share enough first shingles."""
-    # Rows of one class come from several tasks.
-    meetings = meetings.repartition("shingle").dropDuplicates(["shingle", "class"])
+def _remaining(meetings: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b) of classes in different components that meet and may be alike enough."""
     here = Window.partitionBy("shingle")
-    rows = meetings.withColumn("__several", F.min("joined").over(here) != F.max("joined").over(here)).where("__several")
-    place = F.row_number().over(here.orderBy("size", "class")) - 1
+    rows = meetings.withColumn("__several", F.min("joined").over(here) != F.max("joined").over(here))
+    rows = rows.withColumn("__lead", F.min(F.struct("size", "class")).over(here)).where("__several")
+    # Most meeting points of a tile hold the same classes.
+    rows = rows.select(F.col("__lead.class").alias("tile"), "class", "joined").dropDuplicates(["tile", "class"])
+    rows = rows.join(classes.select("class", "size", "bits"), "class")
+    place = F.row_number().over(Window.partitionBy("tile").orderBy("size", "class")) - 1
     rows = rows.withColumn("chunk", F.floor(place / CHUNK))
     # At most CHUNK classes a list.
-    lists = rows.groupBy("shingle", "chunk").agg(
-        F.collect_list(F.struct(F.col("size").cast("long").alias("size"), "class", "joined")).alias("tile"),
+    lists = rows.groupBy("tile", "chunk").agg(
+        F.sort_array(F.collect_list(F.struct("size", "class", "joined", "bits"))).alias("classes"),
         F.min("size").alias("low"), F.max("size").alias("high"))
     lists = written(lists, "jaccard-tiles")
-    same = lists.select(F.col("tile").alias("left"), F.array_repeat(F.get("tile", F.lit(0)), 0).alias("right"), F.lit(True).alias("same"))
+    same = lists.select(F.col("classes").alias("left"), F.slice("classes", 1, 0).alias("right"), F.lit(True).alias("same"))
     later = lists.where("chunk > 0").select(
-        "shingle", F.col("chunk").alias("chunk_b"), F.col("tile").alias("right"), F.col("low").alias("low_b"))
-    across = lists.join(later, "shingle").where(
+        "tile", F.col("chunk").alias("chunk_b"), F.col("classes").alias("right"), F.col("low").alias("low_b"))
+    across = lists.join(later, "tile").where(
         (F.col("chunk") < F.col("chunk_b")) & (LEAST[1] * F.col("high") >= LEAST[0] * F.col("low_b")))
-    across = across.select(F.col("tile").alias("left"), "right", F.lit(False).alias("same"))
-    pairs = same.unionByName(across).mapInArrow(_tiles, "a long, b long, size_a long, size_b long")
-    pairs = pairs.groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("shared"))
-    # Beyond the shared first shingles at most the rest of one of the two can be common.
-    rest = F.ceil(F.greatest("size_a", "size_b") * LEAST[0] / LEAST[1]) - 1
-    enough = (LEAST[0] + LEAST[1]) * (F.col("shared") + rest) >= LEAST[0] * (F.col("size_a") + F.col("size_b"))
-    return pairs.where(enough).select("a", "b")
+    across = across.select(F.col("classes").alias("left"), "right", F.lit(False).alias("same"))
+    return same.unionByName(across).mapInArrow(_tiles, "a long, b long").distinct()
 
 
-def classes_joined(texts: DataFrame, sets: DataFrame, repeated: DataFrame) -> DataFrame:
+def classes_joined(texts: DataFrame, classes: DataFrame, repeated: DataFrame) -> DataFrame:
     """(class, joined): every linked class and the smallest class of its component."""
     slots = texts.sparkSession.sparkContext.broadcast(_slots(repeated))
     meetings = texts.mapInArrow(_meetings(slots), "shingle long, class long, size int, salt int")
     met = written(_stars(meetings, "shingle", "salt"), "jaccard-met")
-    links = _links(_best_leads(met), texts, sets)
+    links = _links(_best_leads(met), texts, classes)
     # Where classes met in parts, the parts meet now, by one class of each component.
     parted = met.where("salt >= 0").select("shingle", "class", "size")
     if not parted.isEmpty():
         one = _joined(parted, links).groupBy("shingle", "joined").agg(F.min(F.struct("size", "class")).alias("one"))
         one = one.select("shingle", "one.class", "one.size", F.lit(-1).alias("salt"))
-        links = links.unionByName(_links(_best_leads(_stars(one, "shingle")), texts, sets))
-    rest = _remaining(_joined(met.select("shingle", "class", "size"), links))
-    links = links.unionByName(_links(rest, texts, sets))
+        links = links.unionByName(_links(_best_leads(_stars(one, "shingle")), texts, classes))
+    rest = _remaining(_joined(met.select("shingle", "class", "size"), links), classes)
+    links = links.unionByName(_links(rest, texts, classes, bounded=True))
     return components(links).select(F.col("id").alias("class"), F.col("component").alias("joined"))
 
 
@@ -353,9 +367,12 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # A row is named by its content, so null and repeated doc_ids do no harm.
     texts = texts.withColumn("row", F.xxhash64("doc_id", "text"))
     found = written(texts.mapInArrow(
-        _summaries, "row long, doc_id long, n_shingles long, class long, shingle long, times long"), "jaccard-sets")
+        _summaries, "row long, doc_id long, n_shingles long, class long, bits binary, shingle long, times long"), "jaccard-sets")
     sets = found.where("class is not null").select("row", "doc_id", "n_shingles", "class")
-    linked = classes_joined(texts, sets, found.where("shingle is not null").select("shingle", "times"))
+    classes = found.where("bits is not null").groupBy("class").agg(
+        F.min("row").alias("row"), F.first("n_shingles").alias("size"), F.first("bits").alias("bits"))
+    classes = written(classes.where("size > 0"), "jaccard-classes")
+    linked = classes_joined(texts, classes, found.where("shingle is not null").select("shingle", "times"))
     groups = sets.join(linked, "class", "left")
     return groups.select("row", "doc_id", "n_shingles", F.coalesce("joined", "class").alias("joined"))
 
