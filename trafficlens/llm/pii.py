@@ -145,7 +145,9 @@ def _candidates(text: Column, kind: str, wider: bool) -> Column:
         good = F.lit(False) if wider else valid(kind, match)
         context = F.when(before.rlike(CUES[kind]), 2).when(before.rlike(AGAINST), 0).otherwise(1)
         edge = F.when(before.rlike(r"[\p{L}\p{N}]$") | after.rlike(r"^[\p{L}\p{N}]"), 0).otherwise(2)
-        votes = [F.when(good, 2).otherwise(0), _check(kind, match), _gazetteer(kind, match), context, edge]
+        # The base rule has nothing to say on wider matches.
+        rule = F.lit(1) if wider else F.when(good, 2).otherwise(0)
+        votes = [rule, _check(kind, match), _gazetteer(kind, match), context, edge]
         number = F.lit(0)
         for vote in votes:
             number = number * 3 + vote
@@ -189,7 +191,7 @@ def reliabilities(counts: dict[tuple[int, ...], float], rounds: int = 50) -> tup
     """Expectation-maximisation over patterns of votes.
 
     Returns the share of personal data, per labeler the chance of each vote given the
-    truth, and the chance of being personal data for each pattern.
+    truth, and the chance of being personal data for each pattern. No vote says nothing.
     """
     belief = {v: min(max((sum(v) - len(v)) / (2 * len(v)) + 0.5, 0.05), 0.95) for v in counts}
     share, tables = 0.5, []
@@ -201,20 +203,26 @@ def reliabilities(counts: dict[tuple[int, ...], float], rounds: int = 50) -> tup
         for i in range(len(LABELERS)):
             table = {}
             for truth in (True, False):
-                # One half vote of each sort, and one more that the labeler is right.
-                sums = [0.5, 0.5, 0.5]
+                # One vote of each sort, and one more that the labeler is right.
+                sums = [1.0, 0.0, 1.0]
                 sums[2 if truth else 0] += 1
                 for v, n in counts.items():
-                    sums[v[i]] += n * (belief[v] if truth else 1 - belief[v])
+                    if v[i] != 1:
+                        sums[v[i]] += n * (belief[v] if truth else 1 - belief[v])
                 table[truth] = [x / sum(sums) for x in sums]
             tables.append(table)
         for v in belief:
             odds = math.log(share / (1 - share)) + sum(
-                math.log(t[True][vote] / t[False][vote]) for t, vote in zip(tables, v))
+                math.log(t[True][vote] / t[False][vote]) for t, vote in zip(tables, v) if vote != 1)
             belief[v] = 1 / (1 + math.exp(-min(max(odds, -50), 50)))
     return share, tables, belief
 
 
+def _known(votes: tuple[int, ...], shape: int) -> list[tuple[int, int]]:
+    """What the classifier looks at: the number of a feature and its value."""
+    return [(i, v) for i, v in enumerate(votes) if v != 1] + [(len(votes), shape)]
+
+
 def learn(docs: DataFrame) -> dict[int, list[int]]:
     """Per kind, the numbers ``votes * SHAPES + shape`` that the classifier accepts."""
     each = candidates(docs.select("text")).select(F.explode("__candidates").alias("c"))
@@ -229,15 +237,15 @@ def learn(docs: DataFrame) -> dict[int, list[int]]:
             patterns[votes] = patterns.get(votes, 0) + n
         share, _, belief = reliabilities(patterns)
         # Naive Bayes on votes and shape, from the soft labels.
-        sums = {truth: [[1.0] * 3 for _ in LABELERS] + [[1.0] * SHAPES] for truth in (True, False)}
+        sums = {truth: [[1.0, 0.0, 1.0] for _ in LABELERS] + [[1.0] * SHAPES] for truth in (True, False)}
         for votes, shape, _, n in own:
             for truth in (True, False):
                 weight = n * (belief[votes] if truth else 1 - belief[votes])
-                for i, value in enumerate((*votes, shape)):
+                for i, value in _known(votes, shape):
                     sums[truth][i][value] += weight
         for votes, shape, number, _ in own:
             odds = math.log(share / (1 - share))
-            for i, value in enumerate((*votes, shape)):
+            for i, value in _known(votes, shape):
                 odds += math.log(sums[True][i][value] / sum(sums[True][i])) - math.log(sums[False][i][value] / sum(sums[False][i]))
             if odds > 0:
                 accepted.setdefault(kind, []).append(number * SHAPES + shape)
