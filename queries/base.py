@@ -65,8 +65,6 @@ def query(name: str, types: str, sql: tuple[str, str] | None = None):
         if sql is not None:
             ctes, select = sql
             head = f"WITH {ctes}" if ctes else "WITH none AS (SELECT 1)"
-            if ctes.startswith("RECURSIVE "):
-                head = "WITH " + ctes
             ORACLES[name] = f"{head} SELECT {shown_sql(types)} FROM ({select}) AS result"
         return fn
 
@@ -331,16 +329,7 @@ needs AS MATERIALIZED (SELECT *, greatest(ceil(predicted_req / (cap_req * 0.3)),
   CASE WHEN step >= 4 THEN greatest(ceil(mean_req / (cap_req * 0.3)), ceil(mean_bytes / (cap_bytes * 0.3)), 1) END AS stable_need
   FROM stepped)"""
 
-DECISIONS = "RECURSIVE " + CAPACITY + """,
-walk AS (SELECT series, CAST(-1 AS BIGINT) AS step, CAST(1 AS DOUBLE) AS servers, CAST(-5 AS BIGINT) AS last
-    FROM (SELECT DISTINCT series FROM needs)
-  UNION ALL
-  SELECT w.series, n.step,
-    CASE WHEN need > servers THEN CASE WHEN n.step - last >= 2 THEN need ELSE servers END
-      WHEN need < servers AND n.step - last >= 5 AND stable_need < servers THEN stable_need ELSE servers END,
-    CASE WHEN need > servers THEN CASE WHEN n.step - last >= 2 THEN n.step ELSE last END
-      WHEN need < servers AND n.step - last >= 5 AND stable_need < servers THEN n.step ELSE last END
-  FROM walk w JOIN needs n ON n.series = w.series AND n.step = w.step + 1),
-decided AS (SELECT n.*, w.servers,
-  actual_req > w.servers * cap_req OR actual_bytes > w.servers * cap_bytes AS overload
-  FROM needs n JOIN walk w USING (series, step))"""
+DECISIONS = CAPACITY + """,
+decided AS (SELECT *, actual_req > servers * cap_req OR actual_bytes > servers * cap_bytes AS overload
+  FROM (SELECT *, max(need) OVER (PARTITION BY series ORDER BY "timestamp"
+    RANGE BETWEEN INTERVAL 60 MINUTE PRECEDING AND CURRENT ROW) AS servers FROM needs))"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import functions as F
 
 from queries import base as B
@@ -11,11 +13,11 @@ from trafficlens.operators import capacity as C, combine, folds, forecast, metri
 from trafficlens.plans import capacity as capacity_plan, training
 from trafficlens.session import written
 
-# The driver tables cover January 2024, train rows end at 2024-01-21. Trees are
-# kept few: Spark ML grows them one after the other.
+# The driver tables cover January 2024, train rows end at 2024-01-21. Spark ML grows trees
+# one after the other, so these queries grow 20 at most; the library's budget is 1000.
 CUT = "2024-01-17 00:00:00"
-LOG_BUDGET = forecast.Budget(rounds=4, rate=0.3, depth=4)
-RAW_BUDGET = forecast.Budget(rounds=4, rate=0.3, depth=4, log_target=False, name="GBT_raw")
+LOG_BUDGET = forecast.Budget(rounds=20, rate=0.15, depth=4)
+RAW_BUDGET = forecast.Budget(rounds=20, rate=0.15, depth=4, log_target=False, name="GBT_raw")
 
 
 def _train(spark, d, freq="15m"):
@@ -45,51 +47,65 @@ def _(spark, d):
     return forecast.with_inputs(table, forecast.short_features(table))
 
 
-FORECAST = "split:s timestamp:t actual:d predicted:d"
+# A forecast is usable if it is there, finite and not negative.
+FORECAST = "split:s timestamp:t actual:d usable:b"
+_TRAIN = B.ml_sql() + """, train AS (SELECT *, row_number() OVER (ORDER BY "timestamp") - 1 AS rn, count(*) OVER () AS n
+  FROM ml WHERE split = 'train')"""
+_LAST = (_TRAIN, "SELECT *, y_req_t1 AS actual, true AS usable FROM train WHERE rn >= n - n // 6")
+
+
+def _usable(result):
+    p = F.col("predicted")
+    return result.withColumn("usable", F.coalesce((p >= 0) & (p < float("inf")), F.lit(False)))
 
 
 def _last_fold(spark, d, target, budget, short):
-    table = folds.add_fold(_train(spark, d))
+    table = written(folds.add_fold(_train(spark, d)), "folded")
     chosen = forecast.short_features(table) if short else forecast.all_features(table)
     model = forecast.fit_fold(table, target, chosen, V.FOLDS - 1, budget)
     test = table.where(F.col("fold") == V.FOLDS - 1)
-    return forecast.forecast(model, test, target, chosen, budget)
+    return _usable(forecast.forecast(model, test, target, chosen, budget))
 
 
-@query("m3_trees_on_log_target", FORECAST)
+@query("m3_trees_on_log_target", FORECAST, _LAST)
 def _(spark, d):
     return _last_fold(spark, d, "y_req_t1", LOG_BUDGET, False)
 
 
-@query("m4_trees_on_raw_target", FORECAST)
+@query("m4_trees_on_raw_target", FORECAST, _LAST)
 def _(spark, d):
     return _last_fold(spark, d, "y_req_t1", RAW_BUDGET, True)
 
 
-@query("m5_fold_scores", "fold:i RMSE:d MSE:d MAE:d MAPE:d")
+@query("m5_fold_scores", "fold:i scored:b",
+       (_TRAIN, "SELECT DISTINCT CAST((rn - (n - 5 * (n // 6))) // (n // 6) AS INTEGER) AS fold, true AS scored FROM train WHERE rn >= n - 5 * (n // 6)"))
 def _(spark, d):
     table = _train(spark, d)
     report, _model = forecast.fold_scores(table, "y_req_t1", forecast.short_features(table), RAW_BUDGET)
-    return report
+    return report.withColumn("scored", (F.col("RMSE") > 0) & (F.abs(F.col("RMSE") * F.col("RMSE") / F.col("MSE") - 1) < 1e-9))
 
 
-@query("m6_hold_out_forecast", FORECAST)
+@query("m6_hold_out_forecast", FORECAST,
+       (B.ml_sql(), f"SELECT *, y_bytes_imp_t1 AS actual, true AS usable FROM ml WHERE split = 'train' AND \"timestamp\" >= TIMESTAMP '{CUT}'"))
 def _(spark, d):
     table = _train(spark, d)
     chosen = forecast.all_features(table)
-    return forecast.hold_out_forecast(table, "y_bytes_imp_t1", chosen, CUT, LOG_BUDGET)[0]
+    return _usable(forecast.hold_out_forecast(table, "y_bytes_imp_t1", chosen, CUT, LOG_BUDGET)[0])
 
 
 REPORT = "Model_Type:s Target:s Timeframe:s RMSE:d MSE:d MAE:d MAPE:d"
 
 
-@query("m7_model_grid", REPORT)
+@query("m7_model_grid", "Model_Type:s Target:s Timeframe:s scored:b",
+       ("", "SELECT 'GBT_log' AS \"Model_Type\", t AS \"Target\", f AS \"Timeframe\", count(*) > 0 AS scored FROM events, "
+        + f"(SELECT unnest({list(V.TARGETS)!r}) AS t), (SELECT unnest({list(V.FREQ_MINUTES)!r}) AS f) GROUP BY ALL"))
 def _(spark, d):
     def read(spark_, path, freq, split):
         return written(B.ml(spark_, path, freq).where(F.col("split") == split), "features")
 
-    small = forecast.Budget(rounds=2, rate=0.3, depth=3, log_target=False, name="GBT_raw")
-    return training.train_grid(spark, d, cut=CUT, budget=small, read=read)
+    budget = dataclasses.replace(LOG_BUDGET, rounds=10)  # twelve fits, one after the other
+    report = training.train_grid(spark, d, cut=CUT, budget=budget, read=read)
+    return report.withColumn("scored", F.col("RMSE") > 0)
 
 
 _PAIRS = B.prepared_sql() + """, pairs AS (SELECT split, CAST(y_req_t1 AS DOUBLE) AS actual, CAST(y_req AS DOUBLE) AS predicted
@@ -158,12 +174,12 @@ def _(spark, d):
 
 @query("c3_decisions", "series:s timestamp:t step:l servers:l", (B.DECISIONS, "SELECT * FROM decided"))
 def _(spark, d):
-    return capacity_plan.decisions(*B.service_forecasts(spark, d))
+    return capacity_plan.decisions(*B.service_forecasts(spark, d), step="15 minutes")
 
 
 @query("c4_overloads", "series:s step:l actual_req:d servers:l overload:b", (B.DECISIONS, "SELECT * FROM decided"))
 def _(spark, d):
-    return capacity_plan.decisions(*B.service_forecasts(spark, d))
+    return capacity_plan.decisions(*B.service_forecasts(spark, d), step="15 minutes")
 
 
 @query("d29_cost_report", "series:s minutes:l max_servers:l cost:l fixed_cost:l saving:l saving_percent:d overload_minutes:l stability_percent:d",
@@ -173,4 +189,4 @@ def _(spark, d):
         "SELECT *, fixed_cost - cost AS saving, (fixed_cost - cost) / fixed_cost * 100 AS saving_percent, "
         "(1 - overload_minutes / minutes) * 100 AS stability_percent FROM sums"))
 def _(spark, d):
-    return capacity_plan.report(*B.service_forecasts(spark, d))
+    return capacity_plan.report(*B.service_forecasts(spark, d), step="15 minutes")

@@ -32,7 +32,11 @@ def _(spark, d):
     return spark.read.schema(stream.schema).parquet(out)
 
 
-@query("x2_live_decisions", "series:s timestamp:t step:l servers:l", (B.DECISIONS, "SELECT * FROM decided"))
+# The last step is still open when the stream ends, as are those within the delay.
+@query("x2_live_decisions", "series:s timestamp:t servers:l",
+       (B.DECISIONS, """SELECT d.series, s AS "timestamp", max(need) AS servers FROM
+          (SELECT series, need, unnest(generate_series("timestamp", "timestamp" + INTERVAL 60 MINUTE, INTERVAL 15 MINUTE)) AS s FROM needs) d
+          WHERE s + INTERVAL 15 MINUTE <= (SELECT max("timestamp") FROM needs) - INTERVAL 10 MINUTE GROUP BY d.series, s"""))
 def _(spark, d):
     source, out = work_path(spark, "live-forecasts"), work_path(spark, "live-decisions")
     joined = B.joined_forecasts(spark, d)
@@ -40,6 +44,6 @@ def _(spark, d):
         "series", "timestamp", "predicted_req", "predicted_bytes", "cap_req", "cap_bytes"
     )
     sized.write.parquet(source)
-    stream = scaling.live_decisions(spark.readStream.schema(sized.schema).parquet(source))
+    stream = scaling.live_servers(spark.readStream.schema(sized.schema).parquet(source), "75 minutes", "15 minutes")
     traffic.run_available(stream, out, work_path(spark, "live-state"))
     return spark.read.schema(stream.schema).parquet(out)

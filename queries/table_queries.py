@@ -119,12 +119,14 @@ def _(spark, d):
     return logs.dense_index(parse.parse_lines(scan))
 
 
-@query("s11_saved_model", "split:s timestamp:t actual:d predicted:d")
+@query("s11_saved_model", "split:s timestamp:t actual:d usable:b",
+       (B.ml_sql(), "SELECT *, y_req_t1 AS actual, true AS usable FROM ml"))
 def _(spark, d):
     table = B.ml(spark, d)
-    budget = forecast.Budget(rounds=2, depth=3, rate=0.1)
+    budget = forecast.Budget(rounds=20, depth=4, rate=0.15)
     chosen = forecast.short_features(table)
     _, model = forecast.hold_out_forecast(table, "y_req_t1", chosen, "2024-01-19", budget)
     path = work_path(spark, "model")
     tables.save_model(model, path)
-    return forecast.forecast(PipelineModel.load(path), table, "y_req_t1", chosen, budget)
+    result = forecast.forecast(PipelineModel.load(path), table, "y_req_t1", chosen, budget)
+    return result.withColumn("usable", F.coalesce((F.col("predicted") >= 0) & (F.col("predicted") < float("inf")), F.lit(False)))

@@ -115,8 +115,8 @@ MACHINE_EPSILON = 2.220446049250313e-16
 METRIC_COLUMNS = ["Model_Type", "Target", "Timeframe", "RMSE", "MSE", "MAE", "MAPE"]
 
 # Boosted-tree budgets (rounds, learning rate, depth).
-LOG_TARGET_TREES = {"rounds": 1000, "rate": 0.02, "depth": 8}
-RAW_TARGET_TREES = {"rounds": 1000, "rate": 0.03, "depth": 5}
+LOG_TARGET_TREES = {"rounds": 1000, "rate": 0.02, "depth": 8, "patience": 50}
+RAW_TARGET_TREES = {"rounds": 1000, "rate": 0.03, "depth": 5, "patience": 50}
 
 # Scaling policy and cost report.
 PEAK_SERVERS = 3.5

@@ -35,6 +35,19 @@ def parse_iso_time(text: Column) -> Column:
     return F.when(text.rlike(ISO_TIME), text.try_cast("timestamp_ntz"))
 
 
+def epoch() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
+def as_zoned(ts: Column) -> Column:
+    """A zoned time with the same clock in UTC, whatever the session's zone."""
+    return F.timestamp_seconds(F.timestamp_diff("SECOND", epoch(), ts))
+
+
+def as_zone_free(ts: Column) -> Column:
+    return F.timestamp_add("SECOND", F.unix_seconds(ts).cast("int"), epoch())
+
+
 def bucket_number(ts: Column, minutes) -> Column:
     """Number of whole buckets since the origin; ``minutes`` may be a column."""
     passed = F.timestamp_diff("MINUTE", origin(), ts)

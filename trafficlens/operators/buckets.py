@@ -47,7 +47,7 @@ def traffic_cells(rows: DataFrame, minutes: int = 1, keys=("split",), sizes: boo
     """
     number = times.bucket_number(F.col("timestamp"), minutes)
     # A typed size is a whole number of bytes over 1000, so this is exact.
-    whole = F.round(F.col("bytes") * 1000).cast("long")
+    whole = F.round(F.col("bytes") * 1000).cast("decimal(20,0)")
     base = rows.select(
         *keys, number.alias("bucket"), *DIMENSIONS.values(), whole.alias("size"), *FLAGS.values()
     )
@@ -68,7 +68,7 @@ def traffic_cells(rows: DataFrame, minutes: int = 1, keys=("split",), sizes: boo
     sums = [F.sum(F.col(column).cast("long")).alias(name) for name, column in FLAGS.items()]
     cells = base.groupingSets(sets, *columns).agg(
         kind.otherwise(F.lit("response")).alias("dim"),
-        F.count("*").alias("n"), F.sum("size").alias("size"), *sums,
+        F.count("*").alias("n"), F.sum("size").cast("decimal(38,0)").alias("size"), *sums,
     )
     extra = [F.col("known")] if sizes else []
     return cells.select(
@@ -86,14 +86,14 @@ def at_lengths(cells: DataFrame, lengths) -> DataFrame:
 def summed_cells(cells: DataFrame, keys=("split",)) -> DataFrame:
     """One cell per bucket and dimension value again."""
     return cells.groupBy(*keys, "minutes", "bucket", "dim", "value", "response").agg(
-        *(F.sum(m).alias(m) for m in MEASURES)
+        *(F.sum(m).cast("decimal(38,0)" if m == "size" else "long").alias(m) for m in MEASURES)
     )
 
 
 def medians_of_cells(cells: DataFrame, keys=("split",)) -> DataFrame:
     """Median size per status code from the size cells of a pass."""
     counts = cells.where((F.col("dim") == "size") & F.col("known").isNotNull() & F.col("response").isNotNull())
-    counts = counts.select(*keys, "response", (F.col("known") / 1000.0).alias("value"), "n")
+    counts = counts.select(*keys, "response", (F.col("known").cast("double") / 1000.0).alias("value"), "n")
     return quantiles_of_counts(counts, [*keys, "response"], {"median_bytes": 0.5}).drop("n")
 
 
@@ -147,11 +147,10 @@ def bucket_stats(cells: DataFrame, medians: DataFrame, keys=("split",)) -> DataF
     def rate(name: str) -> Column:
         return F.col(name) / F.col("n")
 
-    zero = F.lit(0)
     return merged.select(
         *group,
         F.col("n").alias("y_req"),
-        (F.coalesce("size", zero) / F.lit(1000.0) + F.col("kilobytes")).alias("y_bytes_imp"),
+        (F.coalesce(F.col("size").cast("double"), F.lit(0.0)) / F.lit(1000.0) + F.col("kilobytes")).alias("y_bytes_imp"),
         rate("n_missing").alias("bytes_missing_rate"),
         (F.col("n_missing") == F.col("n")).cast("byte").alias("bytes_all_missing"),
         F.coalesce(rate("n_error"), F.lit(0.0)).alias("error_rate"),

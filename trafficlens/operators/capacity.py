@@ -7,13 +7,10 @@ time span and does not grow with the traffic.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from trafficlens import fixed_values as V
-from trafficlens.functions import scaling
+from trafficlens.functions import scaling, times
 from trafficlens.operators import series as S
 
 KEYS = ("series",)
@@ -61,42 +58,23 @@ def server_needs(
     }).drop("recent_req", "recent_bytes")
 
 
-def next_servers(servers, last, step, need, stable, cooldown):
-    """One decision: the server count and the step of the last change."""
-    waited = step - last
-    if need > servers:
-        return (need, step) if waited >= V.SCALE_OUT_WAIT else (servers, last)
-    calm = need < servers and waited >= cooldown and stable >= 0
-    return (stable, step) if calm and stable < servers else (servers, last)
+def held_needs(needs: DataFrame, hold: str, step: str, keys=KEYS) -> DataFrame:
+    """``servers``: the largest need of the last ``hold``, the row's own included.
 
+    More servers come at once, fewer only after the whole time has needed fewer. Each row
+    counts in the sliding windows that it falls into, so a long series is spread over
+    tasks, and a stream can keep the same rule.
+    """
+    # Windows need a zoned time; seconds since 1970 bring no zone into it.
+    return needs.join(largest_needs(needs, hold, step, keys), [*keys, "timestamp"])
 
-def decide(needs: DataFrame, cooldown: int = V.COOLDOWN, keys=KEYS) -> DataFrame:
-    """The server count of every step.
 
-    Each decision depends on the one before it, so a series is walked in order;
-    Spark spreads the series and sorts them. The walk reads the sorted rows batch
-    by batch and carries two numbers, so no series is ever held in memory.
-    """
-    columns = needs.columns
-    ordered = needs.repartition(*keys).sortWithinPartitions(*keys, "step")
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, servers, last = None, 1, -cooldown
-        for batch in batches:
-            names = list(zip(*(batch[k] for k in keys)))
-            stable = batch["stable_need"].fillna(-1).astype("int64")
-            chosen = []
-            for name, step, need, calm in zip(
-                names, batch["step"].tolist(), batch["need"].tolist(), stable.tolist()
-            ):
-                if name != current:
-                    current, servers, last = name, 1, -cooldown
-                servers, last = next_servers(servers, last, step, need, calm, cooldown)
-                chosen.append(servers)
-            yield batch.assign(servers=pd.Series(chosen, index=batch.index, dtype="int64"))
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in needs.schema.fields)
-    return ordered.mapInPandas(walk, f"{fields}, servers bigint").select(*columns, "servers")
+def largest_needs(needs: DataFrame, hold: str, step: str, keys=KEYS) -> DataFrame:
+    """(keys, timestamp, servers): the largest need of the ``hold`` that ends with each step."""
+    at = F.col("timestamp") if dict(needs.dtypes)["timestamp"] == "timestamp" else times.as_zoned(F.col("timestamp"))
+    sliding = needs.withColumn("timestamp", at).groupBy(*keys, F.window("timestamp", hold, step)).agg(F.max("need").alias("servers"))
+    last = F.col("window.end") - F.expr(f"INTERVAL {step}")
+    return sliding.select(*keys, times.as_zone_free(last).alias("timestamp"), "servers")
 
 
 def add_overload(decisions: DataFrame) -> DataFrame:

@@ -12,24 +12,27 @@ from pyspark.sql import DataFrame, functions as F
 from trafficlens import fixed_values as V
 from trafficlens.functions import scaling
 from trafficlens.operators import folds, metrics
+from trafficlens.session import Scratch, written
 
 LABELS = ("split", "freq", "series", "timestamp", "rn", "n", "fold", "is_test")
 
 
 @dataclass(frozen=True)
 class Budget:
-    """Rounds, learning rate and depth; ``log_target`` fits ln(1 + y)."""
+    """Rounds, learning rate and depth; ``log_target`` fits ln(1 + y). Rounds end
+    ``patience`` rounds after the one with the least error on the validation rows."""
 
     rounds: int = V.LOG_TARGET_TREES["rounds"]
     rate: float = V.LOG_TARGET_TREES["rate"]
     depth: int = V.LOG_TARGET_TREES["depth"]
     log_target: bool = True
     name: str = "GBT_log"
+    patience: int = V.LOG_TARGET_TREES["patience"]
 
 
 RAW_BUDGET = Budget(
     V.RAW_TARGET_TREES["rounds"], V.RAW_TARGET_TREES["rate"], V.RAW_TARGET_TREES["depth"],
-    log_target=False, name="GBT_raw",
+    log_target=False, name="GBT_raw", patience=V.RAW_TARGET_TREES["patience"],
 )
 
 
@@ -52,26 +55,60 @@ def with_inputs(table: DataFrame, features) -> DataFrame:
     return table.withColumns({c: F.col(c).cast("double") for c in features} | marks)
 
 
-def model_stages(features, budget: Budget) -> Pipeline:
+def input_stages(features) -> Pipeline:
     """Missing history takes the training mean, the 0/1 columns keep the fact."""
     gappy = [c for c in features if can_be_missing(c)]
     filled = [f"{c}_filled" for c in gappy]
     inputs = [c for c in features if c not in gappy] + filled + [f"{c}_missing" for c in gappy]
     stages = [Imputer(inputCols=gappy, outputCols=filled)] if gappy else []
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
-    stages.append(GBTRegressor(
-        labelCol="label", maxIter=budget.rounds, stepSize=budget.rate, maxDepth=budget.depth,
-        validationIndicatorCol="is_test", seed=V.SAMPLE_SEED,
-    ))
     return Pipeline(stages=stages)
 
 
+def best_round(errors, patience: int) -> tuple[int, bool]:
+    """The round with the least error before ``patience`` rounds brought nothing better,
+    counted from 1, and whether the rounds ended that way."""
+    best = 0
+    for i, error in enumerate(errors):
+        if error < errors[best]:
+            best = i
+        if i - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def grow(train: DataFrame, valid: DataFrame, budget: Budget):
+    """Trees up to the best round. Spark's own stopping rule gives up at the first round
+    that brings little; here more rounds are made, in growing steps, until the patience is
+    used up. The trees of a round do not depend on how many follow."""
+    def fit(rounds: int):
+        return GBTRegressor(
+            labelCol="label", maxIter=rounds, stepSize=budget.rate, maxDepth=budget.depth, seed=V.SAMPLE_SEED,
+        ).fit(train)
+
+    rounds = min(budget.rounds, 2 * budget.patience)
+    while True:
+        model = fit(rounds)
+        if valid.isEmpty():
+            return model if rounds == budget.rounds else fit(budget.rounds)
+        best, ended = best_round(model.evaluateEachIteration(valid, "squared"), budget.patience)
+        if ended or rounds == budget.rounds:
+            return model if best == rounds else fit(best)
+        rounds = min(budget.rounds, 2 * rounds)
+
+
 def fit_fold(table: DataFrame, target: str, features, fold: int, budget: Budget) -> PipelineModel:
-    """Fit on the rows before a fold; the fold itself decides when to stop."""
+    """Fit on the rows before a fold; the fold itself only decides when to stop."""
     y = F.col(target).cast("double")
     rows = folds.fold_rows(table, fold).where(y.isNotNull())
     rows = with_inputs(rows, features).withColumn("label", scaling.to_log(y) if budget.log_target else y)
-    return model_stages(features, budget).fit(rows)
+    inputs = input_stages(features).fit(rows.where(~F.col("is_test")))
+    # Every round reads the rows again.
+    scratch = Scratch()
+    rows = scratch.written(inputs.transform(rows).select("features", "label", "is_test"), "inputs")
+    trees = grow(rows.where(~F.col("is_test")), rows.where("is_test"), budget)
+    scratch.clear()
+    return PipelineModel([*inputs.stages, trees])
 
 
 def forecast(model: PipelineModel, table: DataFrame, target: str, features, budget: Budget) -> DataFrame:
@@ -85,12 +122,13 @@ def forecast(model: PipelineModel, table: DataFrame, target: str, features, budg
     )
 
 
-def fold_scores(table: DataFrame, target: str, features, budget: Budget, n: int = V.FOLDS):
+def fold_scores(table: DataFrame, target: str, features, budget: Budget, n: int = V.FOLDS, keys=()):
     """Fit every fold and score its test rows; also the model of the last fold.
 
-    The fits run one after the other, each distributed.
+    The fits run one after the other, each distributed. With ``keys`` the folds are
+    those of each series.
     """
-    numbered = folds.add_fold(table, n)
+    numbered = written(folds.add_fold(table, n, keys), "folded")
     scores, model = [], None
     for fold in range(n):
         model = fit_fold(numbered, target, features, fold, budget)
@@ -103,10 +141,10 @@ def fold_scores(table: DataFrame, target: str, features, budget: Budget, n: int
     return report, model
 
 
-def hold_out_forecast(table: DataFrame, target: str, features, cut: str, budget: Budget):
+def hold_out_forecast(table: DataFrame, target: str, features, cut: str, budget: Budget, keys=()):
     """Forecast the rows from the cut on with the model of the last fold before it."""
     train, valid = folds.hold_out(table, cut)
-    model = fit_fold(folds.add_fold(train), target, features, V.FOLDS - 1, budget)
+    model = fit_fold(folds.add_fold(train, keys=keys), target, features, V.FOLDS - 1, budget)
     return forecast(model, valid, target, features, budget), model
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from trafficlens import fixed_values as V
@@ -21,23 +22,27 @@ def train_grid(
 ) -> DataFrame:
     """Fit every frequency and target; one report row each.
 
-    With ``out`` the forecasts, models and the report are written there. A failing
-    cell is logged and left out.
+    With ``out`` the forecasts, models and the report are written there. A cell whose
+    table is missing or empty is logged and left out.
     """
     lines = []
     for freq in freqs:
         for target in targets:
             try:
                 table = read(spark, path, freq, split)
-                chosen = forecast.all_features(table) if budget.log_target else forecast.short_features(table)
-                result, model = forecast.hold_out_forecast(table, target, chosen, cut, budget)
-                if out:
-                    name = f"{budget.name}_{target}_{freq}"
-                    tables.write_csv(result, f"{out}/forecasts/{name}")
-                    tables.save_model(model, f"{out}/models/{name}")
-                lines.append(forecast.metric_row(result, target, freq, budget))
-            except Exception:
-                log.exception("no forecast for %s at %s", target, freq)
+            except AnalysisException as error:
+                log.warning("no table for %s at %s: %s", target, freq, error)
+                continue
+            if table.isEmpty():
+                log.warning("no rows for %s at %s", target, freq)
+                continue
+            chosen = forecast.all_features(table) if budget.log_target else forecast.short_features(table)
+            result, model = forecast.hold_out_forecast(table, target, chosen, cut, budget)
+            if out:
+                name = f"{budget.name}_{target}_{freq}"
+                tables.write_csv(result, f"{out}/forecasts/{name}")
+                tables.save_model(model, f"{out}/models/{name}")
+            lines.append(forecast.metric_row(result, target, freq, budget))
     if not lines:
         raise RuntimeError("no forecast could be made")
     report = combine.metric_report(lines)

@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from trafficlens.session import lookup
+from trafficlens.session import lookup, written
 
 # Besides line feed and carriage return, the characters that end a line of text.
 EXTRA_LINE_BREAKS = "[\u000b\u000c\u001c\u001d\u001e\u0085  ]"
 
 
+def log_line() -> Column:
+    """The lines within a text record, bytes that are no UTF-8 as U+FFFD."""
+    return F.explode(F.split(F.make_valid_utf8(F.col("value")), EXTRA_LINE_BREAKS)).alias("value")
+
+
 def read_log_text(spark: SparkSession, path, positions: bool = False) -> DataFrame:
     """One row per line; bytes that are no UTF-8 become U+FFFD.
 
     Plain or gzip text files. With ``positions`` each line also carries its file
     and block, which ``dense_index`` turns into row numbers in file order.
     """
-    text = F.make_valid_utf8(F.col("value"))
-    line = F.explode(F.split(text, EXTRA_LINE_BREAKS)).alias("value")
+    line = log_line()
     lines = spark.read.text(path)
     if not positions:
         return lines.select(line)
@@ -40,13 +44,14 @@ def read_train_test(spark: SparkSession, train, test, positions: bool = False) -
 def dense_index(df: DataFrame, name: str = "index") -> DataFrame:
     """Number the rows of a positioned scan 0..n-1 in file order.
 
-    Two passes over the scan, no sort and no single task: rows of one block are
-    read in order by one task, so a row's number is its place in the block plus
-    the rows of all earlier blocks. Only the per-block counts (one row per input
-    block) are ordered. Splits, if any, are numbered apart.
+    No sort and no single task: rows of one block are read in order by one task, so a
+    row's number is its place in the block plus the rows of all earlier blocks. The
+    numbered scan is stored, so that places and counts come from one and the same scan.
+    Only the per-block counts (one row per input block) are ordered. Splits, if any, are
+    numbered apart.
     """
     keys = ["split"] if "split" in df.columns else []
-    placed = df.withColumn("_id", F.monotonically_increasing_id())
+    placed = written(df.withColumn("_id", F.monotonically_increasing_id()), "numbered")
     blocks = placed.groupBy(*keys, "_file", "_block").agg(
         F.min("_id").alias("_first"), F.count("*").alias("_n")
     )

@@ -1,54 +1,22 @@
-"""Live scaling decisions: the batch rule with its state kept per series."""
+"""Live server counts: the batch rule on a stream of forecasts."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, functions as F
 
 from trafficlens import fixed_values as V
-from trafficlens.operators.capacity import next_servers
-
-OUTPUT = "series string, timestamp timestamp_ntz, step bigint, servers bigint"
-# Servers, step of the last change, steps so far, and the last forecasts.
-STATE = "servers bigint, last bigint, step bigint, req array<double>, size array<double>"
+from trafficlens.functions import scaling, times
+from trafficlens.operators import capacity as C
 
 
-def live_decisions(
-    forecasts: DataFrame, cooldown: int = V.COOLDOWN, utilisation: float = V.REPLAY_UTILISATION
+def live_servers(
+    forecasts: DataFrame, hold: str, step: str, delay: str = "10 minutes",
+    utilisation: float = V.REPLAY_UTILISATION, keys=C.KEYS,
 ) -> DataFrame:
-    """Rows ``series, timestamp, predicted_req, predicted_bytes, cap_req, cap_bytes``
-    to a server count each. Rows of one series must arrive in time order, batch by
-    batch; within a batch they are sorted here."""
-
-    def need(req, size, row):
-        by_req = math.ceil(req / (row.cap_req * utilisation))
-        by_size = math.ceil(size / (row.cap_bytes * utilisation))
-        return max(by_req, by_size, 1)
-
-    def step_on(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        servers, last, step, req, size = (
-            state.get if state.exists else (1, -cooldown, 0, [], [])
-        )
-        req, size = list(req), list(size)
-        rows = pd.concat(batches).sort_values("timestamp")
-        out = []
-        for row in rows.itertuples(index=False):
-            req = [*req, row.predicted_req][-V.STABLE_ROWS:]
-            size = [*size, row.predicted_bytes][-V.STABLE_ROWS:]
-            stable = -1
-            if len(req) == V.STABLE_ROWS:
-                stable = need(sum(req) / V.STABLE_ROWS, sum(size) / V.STABLE_ROWS, row)
-            now = need(row.predicted_req, row.predicted_bytes, row)
-            servers, last = next_servers(servers, last, step, now, stable, cooldown)
-            out.append((key[0], row.timestamp, step, servers))
-            step += 1
-        state.update((servers, last, step, req, size))
-        yield pd.DataFrame(out, columns=["series", "timestamp", "step", "servers"])
-
-    return forecasts.groupBy("series").applyInPandasWithState(
-        step_on, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
-    )
+    """Rows ``series, timestamp, predicted_req, predicted_bytes, cap_req, cap_bytes`` to
+    (series, timestamp, servers) for every step; a count is final once the watermark has
+    passed the end of its step. Only the windows that are still open are kept."""
+    need = scaling.required_servers(
+        F.col("predicted_req"), F.col("predicted_bytes"), F.col("cap_req"), F.col("cap_bytes"), utilisation)
+    needs = forecasts.select(*keys, times.as_zoned(F.col("timestamp")).alias("timestamp"), need.alias("need"))
+    return C.largest_needs(needs.withWatermark("timestamp", delay), hold, step, keys)

@@ -4,23 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from trafficlens.functions import times
 from trafficlens.plans.traffic import rows_of
+from trafficlens.sources.logs import log_line
 
 
 def read_log_stream(spark: SparkSession, path, files_per_batch: int | None = None) -> DataFrame:
-    """New text files of a folder, line by line."""
+    """New text files of a folder, line by line, by the rule of the batch reader."""
     reader = spark.readStream
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.text(path).select(F.make_valid_utf8("value").alias("value"))
+    return reader.text(path).select(log_line())
 
 
 def live_traffic(lines: DataFrame, minutes: int, delay: str = "10 minutes", keys=()) -> DataFrame:
     """Counts, known sizes and rates per bucket; a bucket is final once the watermark
     has passed its end, later rows are dropped. Empty buckets, medians, distinct
     counts and entropy need the whole table and stay in batch."""
-    # A watermark needs a zoned time; the session zone is UTC, so nothing shifts.
-    zoned = rows_of(lines).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    # A watermark needs a zoned time.
+    zoned = rows_of(lines).withColumn("timestamp", times.as_zoned(F.col("timestamp")))
     rows = zoned.withWatermark("timestamp", delay)
     code = F.col("response")
 
@@ -38,7 +40,7 @@ def live_traffic(lines: DataFrame, minutes: int, delay: str = "10 minutes", keys
         F.avg("is_commercial").alias("commercial_rate"),
         F.avg("is_unknown").alias("unknown_rate"),
         F.avg("reqpathdepth").alias("avg_path_depth"),
-    ).select(*keys, F.col("window.start").cast("timestamp_ntz").alias("timestamp"), *[
+    ).select(*keys, times.as_zone_free(F.col("window.start")).alias("timestamp"), *[
         "y_req", "known_kilobytes", "bytes_missing_rate", "error_rate", "server_error_rate",
         "redirection_rate", "dynamic_rate", "commercial_rate", "unknown_rate", "avg_path_depth",
     ])
