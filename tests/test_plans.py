@@ -9,11 +9,11 @@ import __spark_entry__ as entry
 import check
 from queries import base as B
 from trafficlens import fixed_values as V
-from trafficlens.operators import forecast
+from trafficlens.operators import folds, forecast
 from trafficlens.plans import traffic, training
 
 SF = "/root/testdata/sf0.001"
-SMALL = forecast.Budget(rounds=2, rate=0.3, depth=2, name="small")
+SMALL = forecast.Budget(rounds=6, rate=0.3, depth=2, name="small")
 
 
 @pytest.fixture(scope="module")
@@ -44,7 +44,7 @@ def test_training_grid(spark, feature_path, tmp_path):
     assert [(r.Target, r.Timeframe) for r in report] == [(t, "15m") for t in V.TARGETS]
     assert all(r.RMSE >= 0 and r.RMSE == pytest.approx(r.MSE ** 0.5) for r in report)
     model = PipelineModel.load(str(tmp_path / "out/models/small_y_req_t1_15m"))
-    assert model.stages[-1].getNumTrees <= 2
+    assert model.stages[-1].getNumTrees <= 6
     back = spark.read.option("header", True).csv(str(tmp_path / "out/forecasts/small_y_req_t1_15m"))
     assert {"timestamp", "actual", "predicted"} <= set(back.columns) and back.where("cast(predicted as double) < 0").count() == 0
     with pytest.raises(RuntimeError):
@@ -59,6 +59,31 @@ def test_features_hold_no_target(spark, feature_path):
     assert forecast.short_features(table) == V.SHORT_FEATURE_LIST
 
 
+def test_trees_grow_past_the_first_and_beat_the_mean(spark):
+    """A slow wave: one tree cannot follow it."""
+    rows = spark.range(400).select(
+        F.timestamp_add("MINUTE", F.col("id").cast("int"), F.lit("2024-01-01").cast("timestamp_ntz")).alias("timestamp"),
+        F.when(F.col("id") % 10 > 0, F.sin(F.col("id") / 9)).alias("y_req_lag1"), (F.col("id") % 7).cast("double").alias("hour"),
+        (50 + 40 * F.sin(F.col("id") / 9) + 3 * (F.col("id") % 7)).alias("y_req_t1"))
+    budget = forecast.Budget(rounds=30, rate=0.2, depth=3, patience=5)
+    numbered = folds.add_fold(rows)
+    model = forecast.fit_fold(numbered, "y_req_t1", ["y_req_lag1", "hour"], V.FOLDS - 1, budget)
+    assert 1 < model.stages[-1].getNumTrees <= 30
+    test = forecast.forecast(model, numbered.where(F.col("fold") == V.FOLDS - 1), "y_req_t1", ["y_req_lag1", "hour"], budget)
+    mean = numbered.where(F.col("fold") < V.FOLDS - 1).agg(F.avg("y_req_t1")).first()[0]
+    ours, flat = test.agg(F.avg(F.pow(F.col("actual") - F.col("predicted"), 2)), F.avg(F.pow(F.col("actual") - mean, 2))).first()
+    assert ours < 0.5 * flat
+    # The imputer has seen the training rows only.
+    want = numbered.where(F.col("fold") < V.FOLDS - 1).agg(F.avg("y_req_lag1")).first()[0]
+    assert model.stages[0].surrogateDF.first()[0] == pytest.approx(want)
+
+
+def test_patience():
+    assert forecast.best_round([5, 4, 3, 4, 4, 2], 2) == (3, True)
+    assert forecast.best_round([5, 4, 3, 4, 2], 2) == (5, False)
+    assert forecast.best_round([5], 2) == (1, False)
+
+
 NAMES = [
     "p1_parse_lines", "f10_directory_and_resource", "f20_bytes_imputed", "d13_table_5m", "t6_next_targets",
     "t17_expanding_folds", "d18_outlier_fence", "d22_row_correlations", "j5_top_membership", "s10_dense_index",

@@ -6,8 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from trafficlens import fixed_values as V
 
-# Buckets are counted from here: a midnight before any log, since differences of
-# times round towards zero.
+# Buckets are counted from here: a midnight before any log.
 ORIGIN = "0001-01-01 00:00:00"
 
 
@@ -41,7 +40,8 @@ def epoch() -> Column:
 
 def as_zoned(ts: Column) -> Column:
     """A zoned time with the same clock in UTC, whatever the session's zone."""
-    return F.timestamp_seconds(F.timestamp_diff("SECOND", epoch(), ts))
+    days = F.date_diff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("long")
+    return F.timestamp_seconds(days * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts))
 
 
 def as_zone_free(ts: Column) -> Column:
@@ -50,7 +50,9 @@ def as_zone_free(ts: Column) -> Column:
 
 def bucket_number(ts: Column, minutes) -> Column:
     """Number of whole buckets since the origin; ``minutes`` may be a column."""
-    passed = F.timestamp_diff("MINUTE", origin(), ts)
+    # Days, hours and minutes of a zone-free time need no zone; differences of times do.
+    days = F.date_diff(F.to_date(ts), F.to_date(origin())).cast("long")
+    passed = days * 1440 + F.hour(ts) * 60 + F.minute(ts)
     step = minutes if isinstance(minutes, Column) else F.lit(minutes)
     return F.floor(passed / step).cast("long")
 

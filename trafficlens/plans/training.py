@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from trafficlens import fixed_values as V
@@ -30,7 +29,7 @@ def train_grid(
         for target in targets:
             try:
                 table = read(spark, path, freq, split)
-            except AnalysisException as error:
+            except FileNotFoundError as error:
                 log.warning("no table for %s at %s: %s", target, freq, error)
                 continue
             if table.isEmpty():
