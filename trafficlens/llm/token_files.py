@@ -39,7 +39,15 @@ PART_BYTES = 32 << 20
 KEPT_WORDS, KEPT_CHARS = 400_000, 64
 _NULL = -2**63
 #: No token of the vocabulary reaches over white space, so words are encoded alone.
-_words = re.compile(r"[^ \t\n\x0b\x0c\r]+").findall
+_at_ascii_space = re.compile(r"[^ \t\n\x0b\x0c\r]+").findall
+#: What Python's split() takes for white space besides that.
+_OTHER_SPACE = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+
+
+def _words(text: str) -> list[str]:
+    if any(c in text for c in _OTHER_SPACE):
+        return _at_ascii_space(text)
+    return text.split()
 
 
 #: Signs that no token joins with letters or digits; an apostrophe may begin an ending.
