@@ -9,42 +9,56 @@ from queries.base import query
 from queries.row_queries import _PHRASE, _RESULT, _TYPE, FENCE, PAGES
 from trafficlens import fixed_values as V
 from trafficlens.functions import host as H, response as P, times
-from trafficlens.operators import combine, enrich, features, profile
+from trafficlens.operators import combine, enrich, feature_sets, features, profile
 from trafficlens.session import written
 
 
 def _feature_sets(spark, d):
-    rows = B.rows(spark, d)
-    host = rows.select(F.col("event_id").alias("index"), "visitor_category", "is_commercial")
-    time = B.typed(spark, d).select(F.col("event_id").alias("index"), "timestamp", *(
-        c.alias(n) for n, c in times.row_calendar(F.col("timestamp")).items()
-    ))
-    request = rows.where(F.col("reqmethod") != "UNKNOWN").select(
-        F.col("event_id").alias("index"), "reqmethod", "reqdirectory", "reqpathdepth"
-    )
-    size = rows.where(F.col("bytes").isNotNull()).select(F.col("event_id").alias("index"), "bytes")
-    return [host, time, request, size]
-
-
-SETS = B.ROWS + """,
-h AS (SELECT event_id AS "index", visitor_category, is_commercial FROM rows_),
-t AS (SELECT event_id AS "index", "timestamp", hour("timestamp") AS hour, month("timestamp") AS month FROM rows_),
-q AS (SELECT event_id AS "index", reqmethod, reqdirectory, reqpathdepth FROM rows_ WHERE reqmethod <> 'UNKNOWN'),
+    """The five sets of the library, two of them without the rows that tell nothing."""
+    made = feature_sets.feature_sets(written(B.rows(spark, d), "rows"), "event_id")
+    made["request"] = made["request"].where(F.col("reqmethod") != "UNKNOWN")
+    made["bytes"] = made["bytes"].where(F.col("bytes").isNotNull())
+    return list(made.values())
+
+
+SETS = B.ROWS + f""",
+named AS (SELECT *, {_TYPE} AS visitor_type, CASE WHEN visitor_category = 'country' THEN tld ELSE 'non_country' END AS c FROM rows_),
+kept AS (SELECT c FROM named WHERE c <> 'non_country' GROUP BY c ORDER BY count(*) DESC, c LIMIT 15),
+topped AS (SELECT * EXCLUDE (visitor_country), CASE WHEN c IN (SELECT c FROM kept) THEN c ELSE 'other_country' END AS visitor_country,
+  CAST(c IN (SELECT c FROM kept) AS INTEGER) AS is_top_country FROM named),
+h AS (SELECT event_id AS "index", visitor_type, is_commercial, is_unknown, visitor_country, is_top_country,
+  count(*) OVER (PARTITION BY visitor_type) / count(*) OVER () AS visitor_type_freq,
+  count(*) OVER (PARTITION BY visitor_country) / count(*) OVER () AS country_freq FROM topped),
+t AS (SELECT event_id AS "index", "timestamp", hour("timestamp") AS hour, day("timestamp") AS day, isodow("timestamp") - 1 AS weekday,
+  month("timestamp") AS month, coalesce(CAST(isodow("timestamp") >= 6 AS INTEGER), 0) AS is_weekend FROM rows_),
+q AS (SELECT event_id AS "index", reqmethod, reqdirectory, reqresourcetype, reqpathdepth, is_dynamic, requrllength
+  FROM rows_ WHERE reqmethod <> 'UNKNOWN'),
+r AS (SELECT event_id AS "index", response, response_class FROM rows_),
 z AS (SELECT event_id AS "index", bytes FROM rows_ WHERE bytes IS NOT NULL)"""
+ALL_SETS = ("index:l visitor_type:s is_commercial:i is_unknown:i visitor_type_freq:d visitor_country:s country_freq:d is_top_country:i "
+            "timestamp:t hour:i day:i weekday:i month:i is_weekend:i reqmethod:s reqdirectory:s reqresourcetype:s reqpathdepth:d "
+            "is_dynamic:d requrllength:d response:i response_class:s bytes:d")
+JOINED = ('SELECT * FROM h FULL JOIN t USING ("index") FULL JOIN q USING ("index") FULL JOIN r USING ("index") '
+          'FULL JOIN z USING ("index")')
 
 
-@query("j1_outer_join", "index:l visitor_category:s is_commercial:i timestamp:t hour:i month:i reqmethod:s reqdirectory:s reqpathdepth:d bytes:d",
-       (SETS, 'SELECT * FROM h FULL JOIN t USING ("index") FULL JOIN q USING ("index") FULL JOIN z USING ("index")'))
+@query("j1_outer_join", ALL_SETS, (SETS, JOINED))
 def _(spark, d):
     return combine.join_sets(_feature_sets(spark, d))
 
 
-@query("j1_inner_join", "index:l visitor_category:s reqmethod:s bytes:d",
-       (SETS, 'SELECT * FROM h JOIN t USING ("index") JOIN q USING ("index") JOIN z USING ("index")'))
+@query("j1_inner_join", ALL_SETS, (SETS, JOINED.replace("FULL JOIN", "JOIN")))
 def _(spark, d):
     return combine.join_sets(_feature_sets(spark, d), how="inner")
 
 
+@query("p10_host_columns", "event_id:l visitor_type:s is_commercial:i is_unknown:i visitor_type_freq:d",
+       (B.ROWS, f"SELECT event_id, {_TYPE} AS visitor_type, is_commercial, is_unknown, "
+        f"count(*) OVER (PARTITION BY {_TYPE}) / count(*) OVER () AS visitor_type_freq FROM rows_"))
+def _(spark, d):
+    return feature_sets.host_features(written(B.rows(spark, d), "rows"), "event_id").withColumnRenamed("index", "event_id")
+
+
 @query("j2_forecast_join", "series:s timestamp:t actual_req:d predicted_req:d actual_bytes:d predicted_bytes:d",
        (B.FORECASTS, "SELECT * FROM joined"))
 def _(spark, d):
@@ -87,10 +101,9 @@ def _(spark, d):
     return profile.counts_by(rows, "response", "response_status")
 
 
-@query("u1_stacked_sets", "index:l visitor_category:s hour:d reqmethod:s bytes:d",
-       (SETS, 'SELECT "index", visitor_category, NULL AS hour, NULL AS reqmethod, NULL AS bytes FROM h UNION ALL '
-        'SELECT "index", NULL, hour, NULL, NULL FROM t UNION ALL SELECT "index", NULL, NULL, reqmethod, NULL FROM q '
-        'UNION ALL SELECT "index", NULL, NULL, NULL, bytes FROM z'))
+@query("u1_stacked_sets", ALL_SETS.replace(":i", ":d"),
+       (SETS, "SELECT * FROM h UNION ALL BY NAME SELECT * FROM t UNION ALL BY NAME SELECT * FROM q "
+        "UNION ALL BY NAME SELECT * FROM r UNION ALL BY NAME SELECT * FROM z"))
 def _(spark, d):
     return combine.stack_sets(_feature_sets(spark, d))
 

@@ -8,7 +8,7 @@ from queries import base as B
 from queries.base import query
 from trafficlens import fixed_values as V
 from trafficlens.functions import host as H, response as P, scaling, sizes as S, times
-from trafficlens.operators import buckets, features, folds, parse, profile
+from trafficlens.operators import buckets, feature_sets, features, folds, parse, profile
 from trafficlens.schemas import require_columns
 
 ROW = "event_id:l split:s "
@@ -89,9 +89,7 @@ def _(spark, d):
 @query("p10_request_columns", "event_id:l reqmethod:s reqdirectory:s reqresourcetype:s reqpathdepth:i is_dynamic:i requrllength:i",
        (B.ROWS, "SELECT * FROM rows_"))
 def _(spark, d):
-    return B.rows(spark, d).select(
-        "event_id", "reqmethod", "reqdirectory", "reqresourcetype", "reqpathdepth", "is_dynamic", "requrllength"
-    )
+    return feature_sets.request_features(B.rows(spark, d), "event_id").withColumnRenamed("index", "event_id")
 
 
 @query("p11_timed_rows", "split:s timed:l rows:l",

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F, types as T
 
 from queries import base as B
 from queries.base import query
+from queries.profile_queries import ALL_SETS, JOINED, SETS
 from trafficlens import fixed_values as V
-from trafficlens.operators import buckets, enrich, forecast, parse
+from trafficlens.operators import buckets, combine, enrich, feature_sets, forecast, parse
 from trafficlens.plans.traffic import rows_of
 from trafficlens.schemas import PARSED
-from trafficlens.session import work_path
+from trafficlens.session import work_path, written
 from trafficlens.sources import logs, tables
 
 
@@ -92,15 +93,15 @@ def _(spark, d):
     return stored.groupBy("freq", "split").agg(F.count("*").alias("buckets"), F.sum("y_req").alias("y_req"))
 
 
-@query("s8_feature_set_sink", "index:l reqmethod:s reqdirectory:s reqresourcetype:s reqpathdepth:i is_dynamic:i requrllength:i",
-       (B.ROWS, 'SELECT event_id AS "index", * FROM rows_'))
+@query("s8_feature_set_sink", ALL_SETS,
+       (SETS.replace("WHERE reqmethod <> 'UNKNOWN'", "").replace("WHERE bytes IS NOT NULL", ""), JOINED))
 def _(spark, d):
-    path = work_path(spark, "request-features")
-    tables.write_parquet(B.rows(spark, d).select(
-        F.col("event_id").alias("index"), "reqmethod", "reqdirectory", "reqresourcetype",
-        "reqpathdepth", "is_dynamic", "requrllength",
-    ), path)
-    return tables.read_parquet_sets(spark, [path])[0]
+    folder = work_path(spark, "feature-sets")
+    paths = []
+    for name, made in feature_sets.feature_sets(written(B.rows(spark, d), "rows"), "event_id").items():
+        paths.append(f"{folder}/{name}")
+        tables.write_parquet(made, paths[-1])
+    return combine.join_sets(tables.read_parquet_sets(spark, paths))
 
 
 @query("s9_csv_sink", "split:s timestamp:t actual:d predicted:d",
