@@ -65,7 +65,7 @@ def _(spark, d):
        (B.PARSED, "SELECT event_id, TRY_CAST(size_text AS DOUBLE) AS number FROM parsed"))
 def _(spark, d):
     text = F.substring_index("value", " ", -1)
-    good = B.lines(spark, d).where(F.col("value") != "truncated line")
+    good = B.lines(spark, d).where(F.col("value").rlike(V.LOG_PATTERN))
     return good.select("event_id", parse.coerce_number(text).alias("number"))
 
 
