@@ -32,9 +32,9 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 #: Pieces whose result is kept in a worker (twice as many, as those that came up again
 #: stay), and bytes of a piece that is kept. Results do not depend on it.
-KEPT_PIECES, KEPT_BYTES = 400_000, 64
+KEPT_PIECES, KEPT_BYTES = 250_000, 64
 #: States and neighbour verdicts kept; beyond that they are made anew.
-KEPT_STATES, KEPT_VERDICTS = 120_000, 500_000
+KEPT_STATES, KEPT_VERDICTS = 80_000, 300_000
 #: Ids that the decoder takes at once.
 DECODE_IDS = 1 << 14
 

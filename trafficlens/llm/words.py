@@ -15,7 +15,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text that are worked on at once; a longer text is taken alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
