@@ -90,13 +90,23 @@ def delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-# Rows up to which a lookup table goes to every executor: some tens of megabytes.
-BROADCAST_ROWS = 500_000
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of the files below a folder."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.getContentSummary(place).getLength()
+
+
+# Bytes of Parquet up to which a lookup table goes to every executor; in memory it is
+# larger, some tens of megabytes.
+BROADCAST_BYTES = 8 << 20
 
 
 def lookup(df, name: str):
     """A table to join to much larger ones. It is written first, so it is made only
     once and its size is known: a small one is broadcast, and a join with a larger one
     is left to Spark, which shuffles both sides and splits skewed keys."""
-    table = written(df, name)
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    return F.broadcast(table) if stored_bytes(df.sparkSession, path) <= BROADCAST_BYTES else table
