@@ -22,9 +22,9 @@ def parse_log_time(text: Column) -> Column:
     """Local wall-clock time of the line; the zone offset is dropped, bad text is null."""
     found = F.regexp_extract(text, V.LOG_TIME_PATTERN, 1)
     # An ISO text becomes a zone-free time directly, whatever the session's zone.
-    months = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS) for x in (m, f"{i + 1:02d}")])
+    months = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS) for x in (m.lower(), f"{i + 1:02d}")])
     iso = F.concat(
-        F.substring(found, 8, 4), F.lit("-"), months[F.substring(found, 4, 3)], F.lit("-"),
+        F.substring(found, 8, 4), F.lit("-"), months[F.lower(F.substring(found, 4, 3))], F.lit("-"),
         F.substring(found, 1, 2), F.lit(" "), F.substring(found, 13, 8))
     return iso.try_cast("timestamp_ntz")
 
