@@ -38,8 +38,9 @@ from trafficlens.session import Scratch, written
 U64 = np.uint64
 #: Words of a shingle; similarity as a fraction.
 WORDS, LEAST = 5, (3, 4)
-#: Bits of a bitmap: a power of two that is at least the size of the set, in these limits.
-FEWEST_BITS, MOST_BITS = 512, 16384
+#: Bits of a bitmap: a power of two that is at least twice the size of the set, in these
+#: limits. With fewer bits a pair that shares a passage may not be told from a near copy.
+FEWEST_BITS, MOST_BITS = 512, 65536
 #: Words of 64 bits that a tile compares at once.
 _AT_ONCE = 1 << 21
 #: Classes in a chunk of a tile.
@@ -172,7 +173,7 @@ def _meetings(slots):
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    width = min(max(FEWEST_BITS, 1 << max(len(shingles) - 1, 0).bit_length()), MOST_BITS)
+    width = min(max(FEWEST_BITS, 2 << max(len(shingles) - 1, 0).bit_length()), MOST_BITS)
     bits = np.zeros(width, bool)
     bits[(shingles & U64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
