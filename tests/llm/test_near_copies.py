@@ -203,6 +203,36 @@ def test_embeddings_equal_force(spark, monkeypatch):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def one_way(seed=3):
+    """A label whose vectors point the same way (mean cosine 0.8, planted pairs at 0.94), and
+    one with a dense group and stragglers at its rim."""
+    rng = np.random.default_rng(seed)
+
+    def unit(*shape):
+        x = rng.normal(size=shape)
+        return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+    way, noise = unit(48), unit(2500, 48)
+    noise[:200] = 0.7 * noise[200:400] + 0.51 ** 0.5 * noise[:200]
+    spread = 0.8 ** 0.5 * way + 0.2 ** 0.5 * noise
+    dense = 0.995 ** 0.5 * way + 0.005 ** 0.5 * unit(600, 48)
+    rim = 0.9 * way + 0.19 ** 0.5 * unit(200, 48)
+    return [*((v.tolist(), 0) for v in spread), *((v.tolist(), 1) for v in (*dense, *rim))]
+
+
+def test_embeddings_that_no_window_meets(spark):
+    rows = [(i, *r) for i, r in enumerate(one_way())]
+    matrix = np.array([v for _, v, _ in rows], np.float32).astype(np.float64)
+    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+    label = np.array([x for *_, x in rows])
+    near = (matrix @ matrix.T >= 0.93) & (label[:, None] == label[None, :])
+    np.fill_diagonal(near, False)
+    root = groups(len(rows), zip(*(x.tolist() for x in np.nonzero(near))))
+    want = [(i, int(n), root[i], root[i] == i) for i, n in enumerate(near.sum(axis=1))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)
+    assert sorted(map(tuple, E.near_dedup(df).collect())) == want
+
+
 def test_embeddings_empty(spark):
     assert E.near_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 

@@ -1,19 +1,20 @@
-"""Embedding near-dedup by sorted projection passes.
+"""Embedding near-dedup by sorted projection passes and an exact comparison of chunks.
 
 Vectors with equal label and components form one class. In every pass a class gets the
 signs of its products with ``HASHES`` random directions, as one number; classes are
 sorted by label and that number, so those whose first hashes agree stand together, and
 each is compared with the ``WINDOW`` before it. Verified pairs of all passes are united to
-components. How many passes that takes follows from the size of the largest label and
-``RECALL``, the chance to find a pair right at the threshold.
+groups. The passes only group: a window cuts a dense neighbourhood, and how many passes
+would be enough depends on how the vectors lie.
 
-A window sees only some neighbours in a dense group, so links are counted afterwards,
-among all members of a component: its classes are dealt into chunks; two chunks whose
-centres and radii leave no doubt count as wholly linked or not at all, and only the
-others are compared vector by vector. No pair of a group is written.
+Every pair of a label is then settled. Its classes are cut into chunks, those of a large
+group apart; two chunks whose centres and radii leave no doubt count as wholly linked or
+not at all, and all others are compared vector by vector. That counts the links, and links
+between groups unite them. No pair of a group is written. The cost grows with the square
+of a label where centres and radii decide little, that is where vectors lie evenly round
+the origin; tight groups are settled by their bounds.
 
-A task compares within its own range of the order; a pair across the border of two
-ranges is met in another pass, where borders lie elsewhere.
+In the passes a task compares within its own range of the order.
 
 Defined results: a vector that is null, empty, zero, or holds null, NaN or infinity, or
 whose label is null, is linked with nothing; vectors of different length are not
@@ -29,7 +30,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from trafficlens.llm.components import components
 from trafficlens.session import written
@@ -39,8 +41,9 @@ LEAST = 0.93
 RECALL = 0.999
 #: Neighbours that a vector is compared with, and random directions of a pass.
 WINDOW, HASHES = 32, 60
-#: Classes in a chunk, about.
-CHUNK = 256
+#: Classes in a chunk at most; chunks that a task cuts together, and chunks of a label that
+#: meet the others of it under one join key.
+CHUNK, CUT, SALTED = 256, 16, 256
 SEED = 7
 #: Rows of a sorted batch that are compared at once.
 _ROWS = 4096
@@ -67,6 +70,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
+def _codes(matrix: np.ndarray, i: int) -> np.ndarray:
+    """The signs of the products with the directions of a pass, as one number."""
+    directions = np.random.Generator(np.random.PCG64([SEED, i])).standard_normal((matrix.shape[1], HASHES))
+    return (((matrix @ directions) > 0) @ (1 << np.arange(HASHES - 1, -1, -1, dtype=np.int64))).astype(np.int64)
+
+
 def _hashed(passes: int):
     """(pass, label, length, code, class, vector) for every pass."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,11 +85,10 @@ def _hashed(passes: int):
                 rows = batch.filter(pa.array(lengths == length))
                 matrix = _matrix(rows.column("vector"))
                 for i in range(passes):
-                    directions = np.random.Generator(np.random.PCG64([SEED, i])).standard_normal((int(length), HASHES))
-                    codes = ((matrix @ directions) > 0) @ (1 << np.arange(HASHES - 1, -1, -1, dtype=np.int64))
+                    codes = _codes(matrix, i)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(rows), i, np.int32)), rows.column("label"), rows.column("length"),
-                         pa.array(codes.astype(np.int64)), rows.column("class"), rows.column("vector")],
+                         pa.array(codes), rows.column("class"), rows.column("vector")],
                         ["pass", "label", "length", "code", "class", "vector"])
 
     return run
@@ -133,86 +141,189 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-# --- counting the links of a component -----------------------------------------
+# --- every pair of a label -----------------------------------------------------
 
-_PACK = "component long, chunk int, n long, classes binary, copies binary, vectors binary, links binary, centre array<double>, radius double"
+_PACK = ("chunk long, n long, first long, classes binary, copies binary, groups binary, vectors binary, links binary, "
+         "joined binary, centre array<double>, radius double")
 
 
 def _angle(cosine) -> np.ndarray:
     return np.arccos(np.clip(cosine, -1.0, 1.0))
 
 
-def _pack(table: pa.Table) -> pa.Table:
+def _cut(matrix: np.ndarray, rows: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows in chunks, halved again and again where they spread most."""
+    if len(rows) <= CHUNK:
+        yield rows
+        return
+    part = matrix[rows] - matrix[rows].mean(axis=0)
+    direction = part[np.argmax(np.einsum("ij,ij->i", part, part))]
+    for _ in range(3):
+        direction = part.T @ (part @ direction)
+        direction = direction / max(np.linalg.norm(direction), 1e-300)
+    order = np.argsort(part @ direction, kind="stable")
+    half = -(-len(rows) // CHUNK) // 2 * CHUNK
+    for side in (order[:half], order[half:]):
+        yield from _cut(matrix, rows[side])
+
+
+def _joined(united: _Union, near: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of groups that links join and that no earlier link of the task did."""
+    i, j = np.nonzero(near & (a[:, None] != b[None, :]))
+    both = np.unique(np.stack((a[i], b[j]), axis=1), axis=0)
+    return [(x, y) for x, y in both.tolist() if united.join(x, y)]
+
+
+def _chunk(rows: pa.Table, matrix: np.ndarray, number: int, united: _Union) -> pa.RecordBatch:
     """One row for a chunk: its classes, their links inside it, its centre and radius."""
-    table = table.combine_chunks()
-    matrix = _matrix(table.column("vector").combine_chunks())
-    copies = np.asarray(table.column("copies")).astype(np.int64)
-    links = (matrix @ matrix.T >= LEAST) @ copies
+    names, copies, groups = (np.asarray(rows.column(c).combine_chunks()).astype("<i8") for c in ("class", "copies", "group"))
+    near = matrix @ matrix.T >= LEAST
     # A class is always alike itself, whatever the rounding.
-    links = np.where(np.einsum("ij,ij->i", matrix, matrix) >= LEAST, links, links + copies)
+    np.fill_diagonal(near, True)
+    joined = np.array(_joined(united, near, groups, groups), "<i8")
     centre = matrix.mean(axis=0)
     norm = np.linalg.norm(centre)
     centre = centre / norm if norm > 1e-9 else matrix[0]
-    return pa.Table.from_arrays([
-        pa.array([table.column("component")[0].as_py()], pa.int64()), pa.array([table.column("chunk")[0].as_py()], pa.int32()),
-        pa.array([int(copies.sum())]), pa.array([np.asarray(table.column("class")).astype("<i8").tobytes()], pa.binary()),
-        pa.array([copies.astype("<i8").tobytes()], pa.binary()), pa.array([matrix.astype("<f8").tobytes()], pa.binary()),
-        pa.array([links.astype("<i8").tobytes()], pa.binary()), pa.array([centre.tolist()], pa.list_(pa.float64())),
-        pa.array([float(_angle(matrix @ centre).max())])], names=[c.split()[0] for c in _PACK.split(", ")])
+    blobs = (names, copies, groups, matrix.astype("<f8"), (near @ copies).astype("<i8"), joined)
+    return pa.RecordBatch.from_arrays([
+        *(rows.column(c).combine_chunks().slice(0, 1) for c in ("label", "length")), pa.array([number], pa.int64()),
+        pa.array([int(copies.sum())], pa.int64()), pa.array([int(groups[0])], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in blobs),
+        pa.array([centre.tolist()], pa.list_(pa.float64())), pa.array([float(_angle(matrix @ centre).max())])],
+        ["label", "length", *(c.split()[0] for c in _PACK.split(", "))])
+
+
+def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the code of a pass, so that those of a task lie near each other."""
+    for batch in batches:
+        lengths = np.asarray(batch.column("length"))
+        for length in np.unique(lengths):
+            rows = batch.filter(pa.array(lengths == length))
+            yield rows.append_column("code", pa.array(_codes(_matrix(rows.column("vector")), 0)))
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's rows in chunks; a chunk holds one label, length and large group."""
+    from pyspark import TaskContext
+
+    number, united, kept = TaskContext.get().partitionId() << 32, _Union(), None
+
+    def packed(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        nonlocal number
+        matrix = _matrix(rows.column("vector").combine_chunks())
+        for part in _cut(matrix, np.arange(len(rows))):
+            yield _chunk(rows.take(pa.array(part)), matrix[part], number, united)
+            number += 1
+
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        if kept is not None:
+            rows = pa.concat_tables([kept, rows]).combine_chunks()
+        keys = [rows.column(c).combine_chunks() for c in ("label", "length", "large")]
+        changed = np.zeros(max(len(rows) - 1, 0), bool)
+        for key in keys:
+            changed |= np.asarray(pc.not_equal(key[1:], key[:-1]).fill_null(True))
+        borders = [0, *(np.flatnonzero(changed) + 1).tolist(), len(rows)]
+        kept = None
+        for start, end in zip(borders, borders[1:]):
+            while end - start > CUT * CHUNK:
+                yield from packed(rows.slice(start, CUT * CHUNK))
+                start += CUT * CHUNK
+            if end == len(rows):
+                kept = rows.slice(start)
+            elif end > start:
+                yield from packed(rows.slice(start, end - start))
+    if kept is not None and len(kept):
+        yield from packed(kept)
+
+
+#: ``links`` vectors linked with ``class``; or, without them, a group joined with another.
+_FOUND = "class long, links long, other long"
+
+
+def _found(names: list, links: list, joined: list) -> Iterator[pa.RecordBatch]:
+    if names:
+        once, at = np.unique(np.concatenate(names), return_inverse=True)
+        sums = np.zeros(len(once), np.int64)
+        np.add.at(sums, at, np.concatenate(links))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(once), pa.array(sums), pa.nulls(len(once), pa.int64())], ["class", "links", "other"])
+    if joined:
+        a, b = (pa.array(x, pa.int64()) for x in zip(*joined))
+        yield pa.RecordBatch.from_arrays([a, pa.nulls(len(joined), pa.int64()), b], ["class", "links", "other"])
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(class, links) that the classes of two chunks have with the other chunk."""
+    """What the classes of two chunks have with the other chunk."""
+    united = _Union()
     for batch in batches:
-        for row in batch.to_pylist():
+        names, links, joined = [], [], []
+        for i in range(batch.num_rows):
+            row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
             sides = []
             for s in ("a", "b"):
-                names = np.frombuffer(row[f"classes_{s}"], "<i8")
-                sides.append((names, np.frombuffer(row[f"copies_{s}"], "<i8"),
-                              np.frombuffer(row[f"vectors_{s}"], "<f8").reshape(len(names), -1)))
-            (a, n, x), (b, m, y) = sides
+                own, copies, groups = (np.frombuffer(row[f"{c}_{s}"], "<i8") for c in ("classes", "copies", "groups"))
+                sides.append((own, copies, groups, np.frombuffer(row[f"vectors_{s}"], "<f8").reshape(len(own), -1)))
+            (a, n, g, x), (b, m, h, y) = sides
             near = x @ y.T >= LEAST
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate((a, b))), pa.array(np.concatenate((near @ m, near.T @ n)))], ["class", "links"])
+            if near.any():
+                for own, sums in ((a, near @ m), (b, near.T @ n)):
+                    names.append(own[sums > 0])
+                    links.append(sums[sums > 0])
+                joined += _joined(united, near, g, h)
+        yield from _found(names, links, joined)
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the classes of a chunk have in it and in chunks that are wholly linked with it."""
+    united = _Union()
     for batch in batches:
-        for row in batch.select(["classes", "links", "more"]).to_pylist():
-            links = np.frombuffer(row["links"], "<i8") + row["more"]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.frombuffer(row["classes"], "<i8")), pa.array(links)], ["class", "links"])
-
-
-def _link_counts(members: DataFrame) -> DataFrame:
-    """(class, links): of the classes in (component, class, copies, vector), how many
-    vectors each is linked with, its own copies included."""
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    dealt = members.join(sizes, "component").withColumn(
-        "chunk", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int")).drop("chunks")
-    packs = written(dealt.groupBy("component", "chunk").applyInArrow(_pack, _PACK), "embedding-chunks")
-    short = packs.select("component", "chunk", "n", "centre", "radius")
-    names = ("chunk", "n", "centre", "radius")
+        for row in batch.select(["classes", "links", "groups", "joined", "more"]).to_pylist():
+            names, links, groups, joined = (np.frombuffer(row[c], "<i8") for c in ("classes", "links", "groups", "joined"))
+            joined = [tuple(x) for x in joined.reshape(-1, 2).tolist()]
+            if row["more"]:
+                # All are linked with the same others.
+                joined += [(x, int(groups[0])) for x in np.unique(groups).tolist() if united.join(x, int(groups[0]))]
+            yield from _found([names], [links + row["more"]], joined)
+
+
+def _settled(members: DataFrame) -> DataFrame:
+    """``_FOUND`` of the classes in (label, length, large, group, class, copies, vector): how
+    many vectors each is linked with, its own copies included, and which groups links join."""
+    key = ["label", "length"]
+    order = (*key, "large", "code", "class")
+    coded = members.mapInArrow(_ordered, members.withColumn("code", F.lit(0).cast("long")).schema)
+    ranged = coded.repartitionByRange(*order).sortWithinPartitions(*order)
+    schema = T.StructType([*members.select(*key).schema.fields, *T.StructType.fromDDL(_PACK).fields])
+    packs = written(ranged.mapInArrow(_chunks, schema), "embedding-chunks")
+    short = packs.select(*key, "chunk", "n", "first", "centre", "radius")
+    # A label's chunks meet in parts: one side has a part, the other goes to all parts.
+    parts = short.groupBy(*key).agg(F.ceil(F.count("*") / SALTED).cast("int").alias("parts"))
+    short = short.join(parts, key)
+    names = ("chunk", "n", "first", "centre", "radius")
     a, b = (short.withColumnsRenamed({c: f"{c}_{s}" for c in names}) for s in "ab")
+    a = a.withColumn("part", F.pmod(F.xxhash64("chunk_a"), F.col("parts")).cast("int")).drop("parts")
+    b = b.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     apart = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.aggregate(
         F.zip_with("centre_a", "centre_b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x))))
     limit, slack = math.acos(LEAST), 1e-6
-    both = a.join(b, "component").where("chunk_a < chunk_b")
+    both = a.join(b, [*key, "part"]).where("chunk_a < chunk_b")
     both = both.withColumn("__apart", apart).withColumn("__reach", F.col("radius_a") + F.col("radius_b"))
     all_linked = F.col("__apart") + F.col("__reach") < limit - slack
     none = F.col("__apart") - F.col("__reach") > limit + slack
-    both = written(both.where(~none).select("component", "chunk_a", "chunk_b", "n_a", "n_b", all_linked.alias("sure")), "embedding-pairs")
+    both = written(both.where(~none).select("chunk_a", "chunk_b", "n_a", "n_b", "first_a", "first_b", all_linked.alias("sure")), "embedding-pairs")
     sure = both.where("sure")
-    more = sure.select("component", F.col("chunk_a").alias("chunk"), F.col("n_b").alias("n")).unionByName(
-        sure.select("component", F.col("chunk_b").alias("chunk"), F.col("n_a").alias("n")))
-    more = more.groupBy("component", "chunk").agg(F.sum("n").alias("more"))
-    inside = packs.join(more, ["component", "chunk"], "left").select("classes", "links", F.coalesce("more", F.lit(0)).alias("more"))
-    counts = inside.mapInArrow(_unpacked, "class long, links long")
-    names = ("chunk", "classes", "copies", "vectors")
-    a, b = (packs.select("component", *names).withColumnsRenamed({c: f"{c}_{s}" for c in names}) for s in "ab")
-    unsure = both.where(~F.col("sure")).select("component", "chunk_a", "chunk_b")
-    unsure = unsure.join(a, ["component", "chunk_a"]).join(b, ["component", "chunk_b"])
-    return counts.unionByName(unsure.mapInArrow(_compared, "class long, links long")).groupBy("class").agg(F.sum("links").alias("links"))
+    more = sure.select(F.col("chunk_a").alias("chunk"), F.col("n_b").alias("n")).unionByName(
+        sure.select(F.col("chunk_b").alias("chunk"), F.col("n_a").alias("n")))
+    more = more.groupBy("chunk").agg(F.sum("n").alias("more"))
+    inside = packs.join(more, "chunk", "left").select("classes", "links", "groups", "joined", F.coalesce("more", F.lit(0)).alias("more"))
+    # Two wholly linked chunks join their first groups, on which their others hang.
+    ends = sure.where("first_a <> first_b").select(
+        F.col("first_a").alias("class"), F.lit(None).cast("long").alias("links"), F.col("first_b").alias("other")).distinct()
+    names = ("chunk", "classes", "copies", "groups", "vectors")
+    a, b = (packs.select(*names).withColumnsRenamed({c: f"{c}_{s}" for c in names}) for s in "ab")
+    unsure = both.where(~F.col("sure")).select("chunk_a", "chunk_b").join(a, "chunk_a").join(b, "chunk_b")
+    compared = inside.mapInArrow(_inside, _FOUND).unionByName(unsure.mapInArrow(_compared, _FOUND))
+    return written(compared.unionByName(ends), "embedding-links")
 
 
 def near_dedup(vectors: DataFrame) -> DataFrame:
@@ -230,8 +341,17 @@ def near_dedup(vectors: DataFrame) -> DataFrame:
     order = ("pass", "label", "length", "code", "class")
     links = hashed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_windows, "a long, b long")
     groups = written(components(links).select(F.col("id").alias("class"), "component"), "embedding-groups")
+    sizes = groups.groupBy("component").agg((F.count("*") >= CHUNK // 4).alias("large"))
+    found = classes.join(groups.join(sizes, "component"), "class", "left")
+    settled = _settled(found.select(
+        "label", "length", F.when(F.col("large"), F.col("component")).otherwise(0).alias("large"),
+        F.coalesce("component", "class").alias("group"), "class", "copies", "vector"))
+    counts = settled.where("links is not null").groupBy("class").agg(F.sum("links").alias("links"))
+    joined = settled.where("other is not null").select(F.col("class").alias("a"), F.col("other").alias("b"))
+    if not joined.isEmpty():
+        links = groups.select(F.col("class").alias("a"), F.col("component").alias("b")).unionByName(joined)
+        groups = written(components(links).select(F.col("id").alias("class"), "component"), "embedding-groups")
     members = classes.join(groups, "class")
-    counts = _link_counts(members.select("component", "class", "copies", "vector"))
     smallest = members.groupBy("component").agg(F.min("first").alias("component_id"))
     grouped = groups.join(smallest, "component").join(counts, "class").select("class", "component_id", "links")
     found = classes.select("class", "copies", "first").join(grouped, "class", "left").select(
