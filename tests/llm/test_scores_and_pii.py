@@ -135,6 +135,29 @@ def test_model_beats_base_on_held_out_texts(spark):
     assert all(r.score < 0 for r in rows)
 
 
+def test_prior_is_that_of_all_training_texts(spark):
+    # The 500 training texts whose ids have the smallest hashes are noise, all others a song.
+    ids = spark.range(3000).where(~L.held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id").limit(500)
+    noisy, rnd = {r.id for r in ids.collect()}, random.Random(6)
+    song = [f"s{i}" for i in range(40)]
+    docs = []
+    for i in range(3000):
+        at = rnd.randrange(40)
+        words = [f"n{rnd.randrange(300)}" for _ in range(40)] if i in noisy else (song * 2)[at:at + 30]
+        docs.append((i, " ".join(words), None, None, None))
+    known = [words_of(t) for i, t, *_ in docs if zlib.crc32(str(i).encode()) % 7 != 2]
+    single, both = Counter(w for t in known for w in t), Counter(p for t in known for p in zip(["<"] + t, t))
+    single["<"], whole = len(known), sum(single.values()) + len(single) + 1
+
+    def likely(texts, m, out):
+        steps = [(both[p], single[p[0]], (single[p[1]] + 1) / whole) for t in texts for p in zip(["<"] + t, t)]
+        return sum(math.log10((max(b - out, 0) + m * s) / (max(v - out, 0) + m)) for b, v, s in steps)
+
+    best = max(L.PRIORS, key=lambda m: likely(known, m, 1))
+    got = sum(r.score for r in L.score(frame(spark, docs)).collect())
+    assert min(L.PRIORS, key=lambda m: abs(likely([words_of(t) for _, t, *_ in docs], m, 0) - got)) == best
+
+
 def test_filter_never_answers_too_low():
     rng = np.random.default_rng(0)
     grams = np.unique(rng.integers(0, 2**64, 5000, dtype=np.uint64))

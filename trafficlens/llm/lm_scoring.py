@@ -11,8 +11,9 @@ pairs at ``ENTRY_BITS`` an entry need more, the rarest levels of pairs are left
 unigrams, and the counts of all words stay.
 
 The model: p(w | v) = (count(v w) + m p(w)) / (count(v) + m) with p(w) = (count(w) + 1) /
-(N + V + 1), both from the filter; m is chosen from ``PRIORS`` by leaving each pair of up
-to ``TUNE_DOCS`` training texts out once. A text begins behind a start mark and ends
+(N + V + 1), both from the filter; m is chosen from ``PRIORS`` by leaving each pair of all
+training texts out once. Texts are read once for that: each gets its score under every
+prior, and the likeliest is taken afterwards. A text begins behind a start mark and ends
 with an end token.
 
 The base score uses exact counts. The ``TOP`` most frequent words go to every task (a
@@ -48,7 +49,6 @@ RANGE_BYTES = 16 << 20
 #: Tokens whose counts a task holds before it hands them on.
 TASK_TOKENS = 1_500_000
 PRIORS = (1.0, 5.0, 20.0, 100.0, 500.0, 2000.0, 10000.0, 100000.0)
-TUNE_DOCS = 500
 
 END, START = U64(0x51ED270B9F3C4A11), U64(0x2C7F1D93B5A8E067)
 _LEVELS = 2 * 64
@@ -311,31 +311,20 @@ def _terms(model: Model, stream: np.ndarray, bounds: np.ndarray, distinct: tuple
     return np.minimum(VALUES[model.levels(once)][at], before), before, single
 
 
-def _prior(docs: DataFrame, held) -> float:
-    """The prior under which training texts are likeliest, each pair left out once."""
-    known = docs.where(~held_out(F.col("doc_id"))).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(len(PRIORS))
-        for batch in batches:
-            for _, stream, bounds in tokens(batch.column("text")):
-                both, before, single = _terms(held.value, stream, bounds)
-                both, before = np.maximum(both - 1, 0), np.maximum(before - 1, 0)
-                sums += [np.log10((both + m * single) / (before + m)).sum() for m in PRIORS]
-        yield pa.RecordBatch.from_arrays([pa.array([i]) for i in sums], [f"m{i}" for i in range(len(PRIORS))])
+_SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, scores array<double>, left_out array<double>, word long, times long"
+LIST = pa.list_(pa.float64())
+_SCORED_NAMES = [c.split()[0] for c in _SCORED.split(", ")]
 
-    sample = known.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(TUNE_DOCS).select("text")
-    sums = sample.mapInArrow(run, ", ".join(f"m{i} double" for i in range(len(PRIORS))))
-    best = sums.agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in sums.columns]).first()
-    return PRIORS[int(np.argmax(list(best)))]
 
+def _table(values: np.ndarray) -> pa.Array:
+    """The rows of a matrix as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]), pa.array(values.ravel()))
 
-_SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, word long, times long"
-_SCORED_NAMES = [c.split()[0] for c in _SCORED.split(", ")]
 
-
-def _scored(held, prior: float):
-    """A row for each text, and rows (row, word, times) for words outside the top."""
+def _scored(held):
+    """A row for each text, and rows (row, word, times) for words outside the top. A text has
+    its score under each of the priors and, if the model learned from it, the same with each
+    of its pairs left out once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -347,7 +336,10 @@ def _scored(held, prior: float):
                 part, start = batch.slice(first, n), bounds[:-1]
                 once, at = np.unique(stream, return_inverse=True)
                 both, before, single = _terms(model, stream, bounds, (once, at))
-                score = np.add.reduceat(np.log10((both + prior * single) / (before + prior)), start)
+                scores = np.stack([np.add.reduceat(np.log10((both + m * single) / (before + m)), start) for m in PRIORS], 1)
+                learned = ~np.asarray(part.column("held_out").cast(pa.uint8())).astype(bool)
+                both, before = np.maximum(both - 1, 0), np.maximum(before - 1, 0)
+                left_out = np.stack([np.add.reduceat(np.log10((both + m * single) / (before + m)), start) for m in PRIORS], 1)
                 known, counts = np.zeros(len(once), bool), np.zeros(len(once))
                 if len(model.top):
                     place = np.minimum(np.searchsorted(model.top, once), len(model.top) - 1)
@@ -357,7 +349,8 @@ def _scored(held, prior: float):
                 names = row + np.arange(n)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(names), part.column("doc_id").cast(pa.int64()), part.column("held_out"), pa.array(np.diff(bounds)),
-                     pa.array(np.add.reduceat(known.astype(np.int64), start)), pa.array(base), pa.array(score),
+                     pa.array(np.add.reduceat(known.astype(np.int64), start)), pa.array(base), _table(scores),
+                     _table(left_out * learned[:, None]),
                      pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], _SCORED_NAMES)
                 owner = np.repeat(names, np.diff(bounds))[~known]
                 rare = stream[~known]
@@ -367,7 +360,7 @@ def _scored(held, prior: float):
                     begin = np.flatnonzero(np.concatenate(([True], (rare[1:] != rare[:-1]) | (owner[1:] != owner[:-1]))))
                     times = np.diff(np.concatenate((begin, [len(rare)])))
                     blank = [pa.nulls(len(begin), t) for t in (
-                        pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                        pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), LIST, LIST)]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(owner[begin]), *blank, pa.array(rare[begin].astype(np.int64)), pa.array(times)], _SCORED_NAMES)
                 row += n
@@ -379,9 +372,11 @@ def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, distinct_tokens."""
     model, words = learn(docs)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    prior = _prior(docs, held)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out(F.col("doc_id")).alias("held_out"))
-    rows = written(texts.mapInArrow(_scored(held, prior), _SCORED), "lm-scored")
+    rows = written(texts.mapInArrow(_scored(held), _SCORED), "lm-scored")
+    # The prior under which training texts are likeliest, each pair left out once.
+    sums = rows.agg(*[F.coalesce(F.sum(F.col("left_out")[i]), F.lit(0.0)) for i in range(len(PRIORS))]).first()
+    best = int(np.argmax(list(sums)))
     rare = rows.where("word is not null").select("row", "word", "times").join(words, "word", "left")
     count = F.coalesce("count", F.lit(0))
     whole = float(np.log10(model.total + model.distinct + 1.0))
@@ -392,5 +387,5 @@ def score(docs: DataFrame) -> DataFrame:
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("__known", F.lit(0))).alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("__base", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("__base", F.lit(0.0))).alias("base_score"), F.col("scores")[best].alias("score"),
         F.lit(model.distinct).cast("long").alias("distinct_tokens"))
