@@ -158,6 +158,18 @@ def test_prior_is_that_of_all_training_texts(spark):
     assert min(L.PRIORS, key=lambda m: abs(likely([words_of(t) for _, t, *_ in docs], m, 0) - got)) == best
 
 
+def test_filter_too_large_to_broadcast_gives_the_same_scores(spark, monkeypatch):
+    monkeypatch.setattr(L, "RANGE_BYTES", 20_000)
+    docs = frame(spark)
+
+    def found():
+        return sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in L.score(docs).collect())
+
+    want = found()
+    monkeypatch.setattr(L, "MOST_BITS", 4096)
+    assert found() == want
+
+
 def test_filter_never_answers_too_low():
     rng = np.random.default_rng(0)
     grams = np.unique(rng.integers(0, 2**64, 5000, dtype=np.uint64))

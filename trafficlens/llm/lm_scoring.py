@@ -6,9 +6,9 @@ A count c is kept as a level, the number of steps of ``STEP`` below it, and the
 holds the n-gram with every level up to its own. A reader asks for level 1, 2, ... until
 the first miss; the answer is never too low and, but for false hits, right. Each range
 of hashes has its own part of the filter, made where its counts meet, sized by what it
-holds; the parts are joined and broadcast. The filter has at most ``MOST_BITS``; if all
-pairs at ``ENTRY_BITS`` an entry need more, the rarest levels of pairs are left to the
-unigrams, and the counts of all words stay.
+holds; the parts are a table. A filter of up to ``MOST_BITS`` is broadcast. For a larger
+one, the distinct n-grams of some texts at a time go to the parts by a shuffle, and their
+levels come back to the texts. Both ways give the same levels, of all counts.
 
 The model: p(w | v) = (count(v w) + m p(w)) / (count(v) + m) with p(w) = (count(w) + 1) /
 (N + V + 1), both from the filter; m is chosen from ``PRIORS`` by leaving each pair of all
@@ -39,8 +39,8 @@ from trafficlens.session import written
 U64 = np.uint64
 #: Ratio of two neighbouring levels.
 STEP = 2.0 ** 0.5
-#: Bits of the filter for an n-gram at a level, bits of the whole filter at most, and
-#: places that an entry sets.
+#: Bits of the filter for an n-gram at a level, bits up to which the whole filter is
+#: broadcast, and places that an entry sets.
 ENTRY_BITS, MOST_BITS, PROBES = 8, 1 << 29, 4
 #: Words whose exact counts every task holds (16 bytes each).
 TOP = 1 << 20
@@ -113,15 +113,8 @@ class Model:
 
     def levels(self, grams: np.ndarray) -> np.ndarray:
         """The level of each n-gram, 0 if it is not there."""
-        out = np.zeros(len(grams), np.int64)
-        alive, i = np.arange(len(grams)), 0
         part = range_of(grams, len(self.part_bits))
-        alive = alive[self.part_bits[part] > 0]
-        while len(alive) and i < _LEVELS:
-            i += 1
-            alive = alive[_hit(self.bits, self.part_start[part[alive]], self.part_bits[part[alive]], grams[alive], i)]
-            out[alive] = i
-        return out
+        return levels_in(self.bits, self.part_start[part], self.part_bits[part], grams)
 
 
 def range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
@@ -144,6 +137,17 @@ def _hit(bits: np.ndarray, start: np.ndarray, size: np.ndarray, grams: np.ndarra
     return good
 
 
+def levels_in(bits: np.ndarray, start: np.ndarray, size: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """The level of each n-gram by its part of ``size`` bits from ``start`` on."""
+    out = np.zeros(len(grams), np.int64)
+    alive, i = np.flatnonzero(size > 0), 0
+    while len(alive) and i < _LEVELS:
+        i += 1
+        alive = alive[_hit(bits, start[alive], size[alive], grams[alive], i)]
+        out[alive] = i
+    return out
+
+
 def part_of(grams: np.ndarray, levels: np.ndarray, n_bits: int) -> np.ndarray:
     """A part of the filter that holds the n-grams with all their levels."""
     out = np.zeros(n_bits, bool)
@@ -205,19 +209,17 @@ def _gathered(batch_rows: pa.Table) -> dict[bool, tuple[np.ndarray, np.ndarray]]
     return out
 
 
-_SUMS = "range int, word long, count long, level int, n long, keys binary, levels binary"
+_SUMS = "range int, word long, count long, keys binary, levels binary"
 _SUM_NAMES = [c.split()[0] for c in _SUMS.split(", ")]
 
 
 def _sums(table: pa.Table) -> pa.Table:
-    """Of one range: (word, count) for every word, (level, n) for the pairs, and the
-    n-grams with their levels."""
+    """Of one range: (word, count) for every word, and the pairs with their levels."""
     number = table.column("range")[0].as_py()
     found = _gathered(table)
     (words, counts), (grams, times) = found[False], found[True]
     levels = level(times) if len(times) else np.zeros(0, np.int64)
-    at, n = np.unique(levels, return_counts=True)
-    rows = len(words) + len(at) + 1
+    rows = len(words) + 1
     empty = [None] * rows
 
     def column(values, start, kind):
@@ -227,34 +229,28 @@ def _sums(table: pa.Table) -> pa.Table:
 
     return pa.Table.from_arrays([
         pa.array([number] * rows, pa.int32()), column(words.astype(np.int64).tolist(), 0, pa.int64()),
-        column(counts.tolist(), 0, pa.int64()), column(at.tolist(), len(words), pa.int32()),
-        column(n.tolist(), len(words), pa.int64()), column([grams.tobytes()], rows - 1, pa.binary()),
+        column(counts.tolist(), 0, pa.int64()), column([grams.tobytes()], rows - 1, pa.binary()),
         column([levels.astype(np.uint8).tobytes()], rows - 1, pa.binary())], names=_SUM_NAMES)
 
 
-def _filter_parts(least: int, ranges: int):
-    """(range, bits, part): the filter of a range, of pairs from a level on and of words."""
-    most = MOST_BITS // ranges // 64 * 64
-
-    def run(table: pa.Table) -> pa.Table:
-        number = table.column("range")[0].as_py()
-        words, counts = table.column("word"), table.column("count")
-        words, counts = (np.asarray(c.drop_null()) for c in (words, counts))
-        grams = np.frombuffer(table.column("keys").drop_null()[0].as_buffer(), U64)
-        levels = np.frombuffer(table.column("levels").drop_null()[0].as_buffer(), np.uint8).astype(np.int64)
-        grams, levels = grams[levels >= least], levels[levels >= least]
-        grams = np.concatenate((words.astype(U64), grams))
-        levels = np.concatenate((level(counts) if len(counts) else np.zeros(0, np.int64), levels))
-        bits = min(max(int(levels.sum()) * ENTRY_BITS // 64 * 64, 64), max(most, 64))
-        return pa.Table.from_arrays(
-            [pa.array([number], pa.int32()), pa.array([bits], pa.int64()), pa.array([part_of(grams, levels, bits).tobytes()], pa.binary())],
-            names=["range", "bits", "part"])
-
-    return run
-
-
-def learn(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of all documents that are not held out, and (word, count) of them all."""
+def _filter_part(table: pa.Table) -> pa.Table:
+    """(range, bits, part): the filter of a range, of its words and pairs at every level."""
+    number = table.column("range")[0].as_py()
+    words, counts = table.column("word"), table.column("count")
+    words, counts = (np.asarray(c.drop_null()) for c in (words, counts))
+    grams = np.frombuffer(table.column("keys").drop_null()[0].as_buffer(), U64)
+    levels = np.frombuffer(table.column("levels").drop_null()[0].as_buffer(), np.uint8).astype(np.int64)
+    grams = np.concatenate((words.astype(U64), grams))
+    levels = np.concatenate((level(counts) if len(counts) else np.zeros(0, np.int64), levels))
+    bits = max(int(levels.sum()) * ENTRY_BITS // 64 * 64, 64)
+    return pa.Table.from_arrays(
+        [pa.array([number], pa.int32()), pa.array([bits], pa.int64()), pa.array([part_of(grams, levels, bits).tobytes()], pa.binary())],
+        names=["range", "bits", "part"])
+
+
+def learn(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame | None]:
+    """The model of all documents that are not held out, (word, count) of them all, and the
+    parts of the filter if they are too large for the model."""
     known = docs.where(~held_out(F.col("doc_id"))).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     size, texts = known.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     ranges = max(4, -(-(size or 0) // RANGE_BYTES))
@@ -263,24 +259,21 @@ def learn(docs: DataFrame) -> tuple[Model, DataFrame]:
     # one entry of each task.
     sums = written(counted.groupBy("range").applyInArrow(_sums, _SUMS), "lm-counts")
     words = sums.where("word is not null").select("word", "count")
-    total, distinct, entries = words.agg(
-        F.coalesce(F.sum("count"), F.lit(0)), F.count("*"), F.sum(F.floor(F.log("count") / np.log(STEP)) + 1)).first()
-    room, least = MOST_BITS // ENTRY_BITS - (entries or 0), 1
-    by_level = sums.where("level is not null").groupBy("level").agg(F.sum("n").alias("n")).collect()
-    while least < _LEVELS and sum(r["n"] * r["level"] for r in by_level if r["level"] >= least) > room:
-        least += 1
-    parts = sums.groupBy("range").applyInArrow(_filter_parts(least, ranges), "range int, bits long, part binary")
-    # At most MOST_BITS together.
-    parts = parts.toArrow()
+    total, distinct = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
+    parts = written(sums.groupBy("range").applyInArrow(_filter_part, "range int, bits long, part binary"), "lm-filter")
+    large = (parts.agg(F.sum("bits")).first()[0] or 0) > MOST_BITS
     sizes, start = np.zeros(ranges, np.int64), np.zeros(ranges, np.int64)
-    bits = np.zeros(max(1, sum(parts.column("bits").to_pylist()) // 8), np.uint8)
-    at = 0
-    for number, n, part in zip(*(parts.column(c) for c in ("range", "bits", "part"))):
-        sizes[number.as_py()], start[number.as_py()] = n.as_py(), at * 8
-        part = np.frombuffer(part.as_buffer(), np.uint8)
-        bits[at:at + len(part)] = part
-        at += len(part)
-    del parts
+    bits, at = np.zeros(1, np.uint8), 0
+    if not large:
+        # At most MOST_BITS together.
+        gathered = parts.toArrow()
+        bits = np.zeros(max(1, sum(gathered.column("bits").to_pylist()) // 8), np.uint8)
+        for number, n, part in zip(*(gathered.column(c) for c in ("range", "bits", "part"))):
+            sizes[number.as_py()], start[number.as_py()] = n.as_py(), at * 8
+            part = np.frombuffer(part.as_buffer(), np.uint8)
+            bits[at:at + len(part)] = part
+            at += len(part)
+        del gathered
     # The most frequent words: those from the smallest count on that leaves TOP at most.
     by_count = words.groupBy(F.floor(F.log("count") / np.log(1.1)).alias("step")).count().collect()
     least_step, n = 0, 0
@@ -293,22 +286,23 @@ def learn(docs: DataFrame) -> tuple[Model, DataFrame]:
     order = np.argsort(np.asarray(top.column("word")).astype(U64))
     return Model(
         bits, start, sizes, total, distinct, texts, np.asarray(top.column("word")).astype(U64)[order],
-        np.asarray(top.column("count"))[order]), words
+        np.asarray(top.column("count"))[order]), words, parts if large else None
 
 
 # --- scoring ------------------------------------------------------------------
 
-def _terms(model: Model, stream: np.ndarray, bounds: np.ndarray, distinct: tuple | None = None):
+def _terms(model: Model, stream: np.ndarray, bounds: np.ndarray, distinct: tuple, levels):
     """At every token: count of the pair, of the token before, and p of the token."""
-    once, at = distinct or np.unique(stream, return_inverse=True)
-    counts = VALUES[model.levels(once)]
+    words, at = distinct
+    grams, pair_at = np.unique(pairs(stream, bounds)[0], return_inverse=True)
+    of_words, of_pairs = levels(words, grams)
+    counts = VALUES[of_words]
     single = ((counts + 1.0) / (model.total + model.distinct + 1.0))[at]
     before = np.empty(len(stream))
     before[1:] = counts[at][:-1]
     before[bounds[:-1]] = model.texts
-    once, at = np.unique(pairs(stream, bounds)[0], return_inverse=True)
     # A pair is no more frequent than what it begins with.
-    return np.minimum(VALUES[model.levels(once)][at], before), before, single
+    return np.minimum(VALUES[of_pairs][pair_at], before), before, single
 
 
 _SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, scores array<double>, left_out array<double>, word long, times long"
@@ -321,59 +315,145 @@ def _table(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]), pa.array(values.ravel()))
 
 
-def _scored(held):
+def _rows(model: Model, part, names: np.ndarray, stream: np.ndarray, bounds: np.ndarray, levels) -> Iterator[pa.RecordBatch]:
     """A row for each text, and rows (row, word, times) for words outside the top. A text has
     its score under each of the priors and, if the model learned from it, the same with each
     of its pairs left out once."""
+    n, start, whole = len(bounds) - 1, bounds[:-1], np.log10(model.total + model.distinct + 1.0)
+    once, at = np.unique(stream, return_inverse=True)
+    both, before, single = _terms(model, stream, bounds, (once, at), levels)
+    scores = np.stack([np.add.reduceat(np.log10((both + m * single) / (before + m)), start) for m in PRIORS], 1)
+    learned = ~np.asarray(part.column("held_out").cast(pa.uint8())).astype(bool)
+    both, before = np.maximum(both - 1, 0), np.maximum(before - 1, 0)
+    left_out = np.stack([np.add.reduceat(np.log10((both + m * single) / (before + m)), start) for m in PRIORS], 1)
+    known, counts = np.zeros(len(once), bool), np.zeros(len(once))
+    if len(model.top):
+        place = np.minimum(np.searchsorted(model.top, once), len(model.top) - 1)
+        known, counts = model.top[place] == once, model.top_counts[place]
+    term, known = np.where(known, np.log10(counts + 1.0) - whole, 0.0)[at], known[at]
+    base = np.add.reduceat(term, start)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(names), part.column("doc_id").cast(pa.int64()), part.column("held_out"), pa.array(np.diff(bounds)),
+         pa.array(np.add.reduceat(known.astype(np.int64), start)), pa.array(base), _table(scores),
+         _table(left_out * learned[:, None]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], _SCORED_NAMES)
+    owner = np.repeat(names, np.diff(bounds))[~known]
+    rare = stream[~known]
+    if len(rare):
+        order = np.lexsort((rare, owner))
+        owner, rare = owner[order], rare[order]
+        begin = np.flatnonzero(np.concatenate(([True], (rare[1:] != rare[:-1]) | (owner[1:] != owner[:-1]))))
+        times = np.diff(np.concatenate((begin, [len(rare)])))
+        blank = [pa.nulls(len(begin), t) for t in (
+            pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), LIST, LIST)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(owner[begin]), *blank, pa.array(rare[begin].astype(np.int64)), pa.array(times)], _SCORED_NAMES)
+
+
+def _scored(held):
+    """The rows of all texts by the filter that the model holds."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         model, row = held.value, TaskContext.get().partitionId() << 40
-        whole = np.log10(model.total + model.distinct + 1.0)
         for batch in batches:
             for first, stream, bounds in tokens(batch.column("text")):
                 n = len(bounds) - 1
-                part, start = batch.slice(first, n), bounds[:-1]
-                once, at = np.unique(stream, return_inverse=True)
-                both, before, single = _terms(model, stream, bounds, (once, at))
-                scores = np.stack([np.add.reduceat(np.log10((both + m * single) / (before + m)), start) for m in PRIORS], 1)
-                learned = ~np.asarray(part.column("held_out").cast(pa.uint8())).astype(bool)
-                both, before = np.maximum(both - 1, 0), np.maximum(before - 1, 0)
-                left_out = np.stack([np.add.reduceat(np.log10((both + m * single) / (before + m)), start) for m in PRIORS], 1)
-                known, counts = np.zeros(len(once), bool), np.zeros(len(once))
-                if len(model.top):
-                    place = np.minimum(np.searchsorted(model.top, once), len(model.top) - 1)
-                    known, counts = model.top[place] == once, model.top_counts[place]
-                term, known = np.where(known, np.log10(counts + 1.0) - whole, 0.0)[at], known[at]
-                base = np.add.reduceat(term, start)
-                names = row + np.arange(n)
+                yield from _rows(model, batch.slice(first, n), row + np.arange(n), stream, bounds,
+                                 lambda words, grams: (model.levels(words), model.levels(grams)))
+                row += n
+
+    return run
+
+
+# --- scoring by a filter that is too large for a task ----------------------------
+
+_ASKED = "chunk long, row long, doc_id long, held_out boolean, text string, range int, words binary, pairs binary"
+_ASKED_NAMES = [c.split()[0] for c in _ASKED.split(", ")]
+
+
+def _asked(ranges: int):
+    """The texts in chunks, and the distinct words and pairs of a chunk for each range."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for first, stream, bounds in tokens(batch.column("text")):
+                n = len(bounds) - 1
+                part = batch.slice(first, n)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, row)), pa.array(row + np.arange(n)), part.column("doc_id").cast(pa.int64()),
+                     part.column("held_out"), part.column("text").cast(pa.string()), pa.nulls(n, pa.int32()),
+                     pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], _ASKED_NAMES)
+                grams = [np.unique(stream), np.unique(pairs(stream, bounds)[0])]
+                cuts = [np.searchsorted(range_of(g, ranges), np.arange(ranges + 1)) for g in grams]
+                used = np.flatnonzero((np.diff(cuts[0]) > 0) | (np.diff(cuts[1]) > 0))
+                blobs = [pa.array([g[c[r]:c[r + 1]].tobytes() for r in used], pa.binary()) for g, c in zip(grams, cuts)]
+                m = len(used)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names), part.column("doc_id").cast(pa.int64()), part.column("held_out"), pa.array(np.diff(bounds)),
-                     pa.array(np.add.reduceat(known.astype(np.int64), start)), pa.array(base), _table(scores),
-                     _table(left_out * learned[:, None]),
-                     pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], _SCORED_NAMES)
-                owner = np.repeat(names, np.diff(bounds))[~known]
-                rare = stream[~known]
-                if len(rare):
-                    order = np.lexsort((rare, owner))
-                    owner, rare = owner[order], rare[order]
-                    begin = np.flatnonzero(np.concatenate(([True], (rare[1:] != rare[:-1]) | (owner[1:] != owner[:-1]))))
-                    times = np.diff(np.concatenate((begin, [len(rare)])))
-                    blank = [pa.nulls(len(begin), t) for t in (
-                        pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), LIST, LIST)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(owner[begin]), *blank, pa.array(rare[begin].astype(np.int64)), pa.array(times)], _SCORED_NAMES)
+                    [pa.array(np.full(m, row)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()),
+                     pa.nulls(m, pa.string()), pa.array(used.astype(np.int32)), *blobs], _ASKED_NAMES)
                 row += n
 
     return run
 
 
+def _answered(asked: pa.Table, parts: pa.Table) -> pa.Table:
+    """The questions of one range with levels, a byte each, in place of the n-grams."""
+    out = []
+    for name in ("words", "pairs"):
+        blobs = asked.column(name).to_pylist()
+        grams, levels = np.frombuffer(b"".join(blobs), U64), b""
+        if len(parts):
+            size = np.full(len(grams), parts.column("bits")[0].as_py(), np.int64)
+            bits = np.frombuffer(parts.column("part")[0].as_buffer(), np.uint8)
+            levels = levels_in(bits, np.zeros(len(grams), np.int64), size, grams).astype(np.uint8).tobytes()
+        else:
+            levels = bytes(len(grams))
+        ends = np.cumsum([0, *(len(b) // 8 for b in blobs)])
+        out.append(pa.array([levels[a:b] for a, b in zip(ends, ends[1:])], pa.binary()))
+    return pa.Table.from_arrays(
+        [asked.column("chunk").cast(pa.int64()), asked.column("range").cast(pa.int32()), *out], names=["chunk", "range", "words", "pairs"])
+
+
+def _scored_chunk(held):
+    """The rows of a chunk's texts by the answers for it."""
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        answers = answers.sort_by("range")
+        # Ranges follow the hashes, so the answers stand in the order of the n-grams.
+        found = [np.frombuffer(b"".join(answers.column(c).to_pylist()), np.uint8).astype(np.int64) for c in ("words", "pairs")]
+        texts = texts.combine_chunks()
+        streams, ends = [], [np.zeros(1, np.int64)]
+        for _, stream, bounds in tokens(texts.column("text")):
+            streams.append(stream)
+            ends.append(bounds[1:] + ends[-1][-1])
+        part = texts.to_batches()[0]
+        return pa.Table.from_batches(list(_rows(
+            held.value, part, np.asarray(part.column("row")), np.concatenate(streams), np.concatenate(ends), lambda words, grams: found)))
+
+    return run
+
+
+def _by_shuffle(texts: DataFrame, held, parts: DataFrame, ranges: int) -> DataFrame:
+    asked = written(texts.mapInArrow(_asked(ranges), _ASKED), "lm-asked")
+    questions = asked.where("range is not null").select("chunk", "range", "words", "pairs")
+    answers = questions.groupBy("range").cogroup(
+        parts.join(questions.select("range").distinct(), "range", "left_semi").groupBy("range")).applyInArrow(
+        _answered, "chunk long, range int, words binary, pairs binary")
+    texts = asked.where("range is null").select("chunk", "row", "doc_id", "held_out", "text")
+    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scored_chunk(held), _SCORED)
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, distinct_tokens."""
-    model, words = learn(docs)
+    model, words, parts = learn(docs)
     held = docs.sparkSession.sparkContext.broadcast(model)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out(F.col("doc_id")).alias("held_out"))
-    rows = written(texts.mapInArrow(_scored(held), _SCORED), "lm-scored")
+    if parts is None:
+        rows = texts.mapInArrow(_scored(held), _SCORED)
+    else:
+        rows = _by_shuffle(texts, held, parts, len(model.part_bits))
+    rows = written(rows, "lm-scored")
     # The prior under which training texts are likeliest, each pair left out once.
     sums = rows.agg(*[F.coalesce(F.sum(F.col("left_out")[i]), F.lit(0.0)) for i in range(len(PRIORS))]).first()
     best = int(np.argmax(list(sums)))
