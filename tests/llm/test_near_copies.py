@@ -233,6 +233,18 @@ def test_embeddings_that_no_window_meets(spark):
     assert sorted(map(tuple, E.near_dedup(df).collect())) == want
 
 
+def test_chunks_are_cut_where_vectors_spread():
+    rng = np.random.default_rng(5)
+    # Four tight bundles, mixed up: two far apart, each of two nearer ones.
+    way, far, near = 0.9 * np.ones(32) / 32 ** 0.5, 0.3 * np.eye(32)[0], 0.1 * np.eye(32)[1]
+    centres = np.array([way + far + near, way + far - near, way - far + near, way - far - near])
+    which = rng.permutation(np.repeat(np.arange(4), E.CHUNK))
+    matrix = centres[which] + rng.normal(scale=0.002, size=(len(which), 32))
+    parts = list(E._cut(matrix, np.arange(len(matrix))))
+    assert sorted(np.concatenate(parts).tolist()) == list(range(len(matrix)))
+    assert all(len(p) <= E.CHUNK and len(set(which[p])) == 1 for p in parts)
+
+
 def test_embeddings_empty(spark):
     assert E.near_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
