@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trafficlens.llm import byte_bpe, embedding_near_dedup, lm_scoring, mixing, ngram_jaccard, order_minhash, pii, sharding, token_files, toxicity
+from trafficlens.llm import byte_bpe, embedding_near_dedup, lm_scoring, mixing, ngram_jaccard, order_minhash, phrases, pii, sharding, token_files, toxicity
 from trafficlens.llm.tables import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies(documents(spark, sf_dir)).select(
         "doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
+
+
+@query("op13_phrases", phrases.ORACLE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
