@@ -41,6 +41,26 @@ def _(spark, d):
     return logs.read_train_test(spark, *_written_logs(spark, d))
 
 
+def _zipped_logs(spark, d):
+    """Both splits as two members each of a few zip containers."""
+    path = work_path(spark, "log-zips")
+    member = F.when(F.col("split") == "train", logs.TRAIN_MEMBER).otherwise(logs.TEST_MEMBER)
+    logs.write_log_zip(
+        B.lines(spark, d).withColumn("member", member).repartitionByRange(4, "event_id")
+        .sortWithinPartitions("member", "event_id"), path)
+    return path
+
+
+@query("s1_log_zip", "value:s", (B.LINES, "SELECT value FROM lines WHERE split = 'train'"))
+def _(spark, d):
+    return logs.read_log_zip(spark, _zipped_logs(spark, d), logs.TRAIN_MEMBER)
+
+
+@query("s2_train_and_test_zip", "split:s value:s", (B.LINES, "SELECT * FROM lines"))
+def _(spark, d):
+    return logs.read_train_test_zip(spark, _zipped_logs(spark, d))
+
+
 def _parsed_csv(spark, d):
     path = work_path(spark, "parsed-csv")
     frame = B.parsed(spark, d).select("event_id", *V.RAW_COLUMNS).withColumnRenamed("event_id", "index")
@@ -120,6 +140,13 @@ def _(spark, d):
     return logs.dense_index(parse.parse_lines(scan))
 
 
+@query("s10_dense_index_zip", "split:s index:l request:s",
+       (B.PARSED, 'SELECT split, row_number() OVER (PARTITION BY split ORDER BY event_id) - 1 AS "index", request FROM parsed'))
+def _(spark, d):
+    scan = logs.read_train_test_zip(spark, _zipped_logs(spark, d), positions=True)
+    return logs.dense_index(parse.parse_lines(scan))
+
+
 @query("s11_saved_model", "split:s timestamp:t actual:d usable:b",
        (B.ml_sql(), "SELECT *, y_req_t1 AS actual, true AS usable FROM ml"))
 def _(spark, d):

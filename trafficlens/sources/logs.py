@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from trafficlens.session import lookup, written
+from trafficlens.sources.zips import ZipLines
 
 # Besides line feed and carriage return, the characters that end a line of text.
 EXTRA_LINE_BREAKS = "[\u000b\u000c\u001c\u001d\u001e\u0085  ]"
@@ -32,13 +33,48 @@ def read_log_text(spark: SparkSession, path, positions: bool = False) -> DataFra
     ).select("_file", "_block", line)
 
 
+def read_log_zip(spark: SparkSession, path: str, members: str = "*", positions: bool = False, encoding: str = "utf-8") -> DataFrame:
+    """The same from members of a zip container, or of all containers of a folder.
+
+    ``members`` is a name or pattern, or several with commas between. A container is
+    read by as many tasks as it has members, each in pieces.
+    """
+    spark.dataSource.register(ZipLines)
+    lines = spark.read.format("zip_lines").option("members", members).option("encoding", encoding).load(path)
+    text = F.col("value").cast("string").alias("value")
+    if not positions:
+        return lines.select(text).select(log_line())
+    return lines.select(
+        F.concat_ws("!", "container", "member").alias("_file"), F.lit(0).cast("bigint").alias("_block"), text,
+    ).select("_file", "_block", log_line())
+
+
+def write_log_zip(lines: DataFrame, path: str) -> None:
+    """Lines (member, value) as zip containers below a folder, one per task; overwrites."""
+    lines.sparkSession.dataSource.register(ZipLines)
+    rows = lines.select(F.lit(None).cast("string").alias("container"), "member", F.col("value").cast("binary").alias("value"))
+    rows.write.format("zip_lines").mode("overwrite").save(path)
+
+
+#: Members of the container that holds both splits.
+TRAIN_MEMBER, TEST_MEMBER = "DATA/train.txt", "DATA/test.txt"
+
+
+def _both(train: DataFrame, test: DataFrame) -> DataFrame:
+    return train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+
+
 def read_train_test(spark: SparkSession, train, test, positions: bool = False) -> DataFrame:
     """Both splits in one frame, told apart by ``split``."""
-    parts = [
-        read_log_text(spark, path, positions).withColumn("split", F.lit(split))
-        for split, path in (("train", train), ("test", test))
-    ]
-    return parts[0].unionByName(parts[1])
+    return _both(read_log_text(spark, train, positions), read_log_text(spark, test, positions))
+
+
+def read_train_test_zip(
+    spark: SparkSession, path: str, train: str = TRAIN_MEMBER, test: str = TEST_MEMBER, positions: bool = False,
+    encoding: str = "utf-8",
+) -> DataFrame:
+    """Both splits from two members of one container."""
+    return _both(*(read_log_zip(spark, path, member, positions, encoding) for member in (train, test)))
 
 
 def dense_index(df: DataFrame, name: str = "index") -> DataFrame:
