@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.cases import frame
@@ -72,7 +74,9 @@ def test_long_texts_are_cut_without_loss(spark, monkeypatch):
         for row in rows:
             for batch in [*buffer.add(row[1].encode().translate(phrases._FOLD)), *buffer.flush()]:
                 for got in batch.to_pylist():
-                    seen[got["w1"], got["w2"], got["w3"]] += got["n"]
+                    first, lang, *rest = got["gram"].split("\n")
+                    assert lang == "en"
+                    seen[first, *rest] += got["n"]
         want = Counter()
         for row in rows:
             for piece in re.split(r"[.,;:!?\x0A-\x0D]", row[1].translate(AZ)):
@@ -81,6 +85,37 @@ def test_long_texts_are_cut_without_loss(spark, monkeypatch):
         assert seen == want, size
 
 
+def test_folding_keeps_frequent_counts():
+    rnd = random.Random(11)
+    windows = Counter()
+    for _ in range(6000):
+        words = [rnd.choice("abcdefgh") + rnd.choice(["", "", "x\x01"]) for _ in range(rnd.randint(1, 3))]
+        windows["\n".join([words[0], rnd.choice(["en", "d\\\\n", "l\\ne"]), *(words[1:] + ["", ""])[:2]])] += 1
+    ordered = sorted(windows.items(), key=lambda x: x[0].encode())
+
+    def sums(rows):
+        out = Counter()
+        for lang, *words, n in rows:
+            for k in range(4):
+                if all(words[:k]):
+                    out[lang, *words[:k]] += n
+        return out
+
+    plain = []
+    for gram, n in ordered:
+        first, lang, *rest = gram.split("\n")
+        plain.append(({"en": "en", "d\\\\n": "d\\n", "l\\ne": "l\ne"}[lang], first, *rest, n))
+    for size in (1, 2, 50, 10_000):
+        rows = []
+        for i in range(0, len(ordered), size):
+            grams, counts = zip(*ordered[i:i + size])
+            columns, n = phrases._folded(pa.array(grams), np.array(counts), 3, 10)
+            rows += zip(*(c.to_pylist() for c in columns), n.tolist())
+        want, got = sums(plain), sums(rows)
+        assert {k: v for k, v in want.items() if v >= 10} == {k: v for k, v in got.items() if v >= 10}
+        assert size < 10_000 or len(rows) < len(ordered) / 2
+
+
 def test_many_candidates_and_languages(spark, monkeypatch):
     monkeypatch.setattr(phrases, "RANKED_ROWS", 5)
     rows = [(i, t, f"l{i % 40}", None, 0) for i, (_, t, *_) in enumerate(texts(400, 7))]

@@ -7,9 +7,10 @@ counted: ``ROLLUP`` over their word columns sums them up to ever shorter prefixe
 each occurrence of a phrase begins exactly one window, the sum at a prefix is the count
 of that phrase. No n-grams of several lengths are made from the text.
 
-Windows are counted within chunks of texts before they are shuffled, a language is
-spread over its windows, and everything after the counting runs on the phrases seen
-often enough.
+Windows are counted within chunks of texts, then sorted over ranges, so that no word or
+language meets in one task. In that order, windows too rare to matter are padded down to
+the prefix that may matter, which changes no sum of a phrase seen often enough; what
+``ROLLUP`` shuffles is small, and so is everything after it.
 
 Scores. A phrase seen a times is cut after its first k words into parts seen l and r
 times; a*a/(l*r), in millionths and rounded down, is its score at that cut, and the
@@ -23,11 +24,14 @@ empty table gives an empty table; only ``lang`` and ``text`` are read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import chain
 from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trafficlens.llm.tables import text_of
@@ -36,6 +40,7 @@ from trafficlens.session import BROADCAST_BYTES, Scratch, stored_bytes, written
 #: Punctuation and line ends that no phrase crosses; blanks between words.
 PIECE_ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 _END, _BLANK = b"\n "
+_line = re.compile(r"\\(.)")
 _FOLD = bytes.maketrans(
     ascii_uppercase.encode() + PIECE_ENDS + BLANKS,
     ascii_lowercase.encode() + b"\n" * len(PIECE_ENDS) + b" " * len(BLANKS))
@@ -47,6 +52,8 @@ RANKED_ROWS = 1 << 20
 #: Bytes of text whose windows are counted together before they are shuffled, languages
 #: of which a task holds such a chunk at once, and rows handed on at a time.
 CHUNK_BYTES, LANGUAGES, BATCH_ROWS = 4 << 20, 16, 1 << 16
+#: Sorted windows that are folded at once.
+FOLD_ROWS = 1 << 18
 
 
 def _names(longest: int) -> list[str]:
@@ -126,15 +133,15 @@ class _Buffer:
         columns, counts = _counted(columns, len(words))
         for i in range(0, len(counts), BATCH_ROWS):
             part = slice(i, i + BATCH_ROWS)
-            taken = [words.take(pa.array(c[part])) for c in columns]
-            lang = pa.array([self.lang]).take(pa.array(np.zeros(len(taken[0]), np.int32)))
-            yield pa.RecordBatch.from_arrays([lang, *taken, pa.array(counts[part])], ["lang", *_names(self.longest), "n"])
+            first, *rest = [words.take(pa.array(c[part])) for c in columns]
+            gram = pc.binary_join_element_wise(first, pa.scalar(self.lang), *rest, "\n")
+            yield pa.RecordBatch.from_arrays([gram, pa.array(counts[part])], ["gram", "n"])
 
 
 def windows(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """(lang, w1, w2, ..., n): windows of ``longest`` words and how often they occur in a
-    chunk of texts; every word begins one, with the words after it in its piece."""
-    columns = ", ".join(f"{c} string" for c in _names(longest))
+    """(gram, n): windows of ``longest`` words and how often they occur in a chunk of
+    texts; every word begins one, with the words after it in its piece. ``gram`` holds
+    first word, language and further words as lines."""
 
     def run(batches):
         buffers: dict[str, _Buffer] = {}
@@ -151,24 +158,83 @@ def windows(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
         for buffer in buffers.values():
             yield from buffer.flush()
 
-    return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), text_of().alias("text")).mapInArrow(
-        run, f"lang string, {columns}, n long")
+    # No line end inside a language's name.
+    lang = F.replace(F.replace(F.coalesce("lang", F.lit("und")), F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+    return docs.select(lang.alias("lang"), text_of().alias("text")).mapInArrow(run, "gram string, n long")
+
+
+def _changes(column: pa.Array) -> np.ndarray:
+    """Where a value differs from the one before it; the first one does."""
+    out = np.ones(len(column), bool)
+    if len(column) > 1:
+        out[1:] = np.asarray(pc.not_equal(column[1:], column[:-1]))
+    return out
+
+
+def _folded(gram: pa.Array, n: np.ndarray, longest: int, least: int) -> tuple[list[pa.Array], np.ndarray]:
+    """Sorted windows to the few that matter, as lang, w1, w2, ..., and their counts: a
+    phrase seen fewer than ``least`` times counts with its prefix, padded. Every phrase
+    seen so often keeps its count. The first and the last phrase of each length may go
+    on before or behind these rows and are left as they are."""
+    width = longest + 1
+    fields = pc.list_flatten(pc.split_pattern(gram, "\n"))
+    first, lang, *rest = [fields.take(pa.array(np.arange(i, len(fields), width))) for i in range(width)]
+    words, lang = [first, *rest], lang.dictionary_encode()
+    # groups[k]: which prefix of k words a row has.
+    fresh = _changes(first) | _changes(lang.indices)
+    groups = [np.asarray(lang.indices).astype(np.int64)]
+    for column in [None, *rest]:
+        fresh = fresh if column is None else fresh | _changes(column)
+        groups.append(np.cumsum(fresh) - 1)
+    # How many words of a row are still told apart.
+    depth = sum(np.asarray(pc.not_equal(w, "")).astype(np.int64) for w in words)
+    for k in range(longest, 0, -1):
+        group = groups[k]
+        few = np.bincount(group, n) < least
+        few[[0, -1]] = False
+        depth[(depth == k) & few[group]] = k - 1
+    place = np.choose(depth, groups) * width + depth
+    _, rows, at = np.unique(place, return_index=True, return_inverse=True)
+    counts = np.bincount(at, n).astype(np.int64)
+    out = [pa.array([_line.sub(lambda m: "\n" if m[1] == "n" else m[1], x) for x in lang.dictionary.to_pylist()]).take(lang.indices.take(pa.array(rows)))]
+    for k, column in enumerate(words):
+        out.append(pc.if_else(pa.array(depth[rows] > k), column.take(pa.array(rows)), ""))
+    return out, counts
+
+
+def folded(sorted_windows: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
+    """(lang, w1, w2, ..., n) of windows sorted within partitions, see ``_folded``."""
+    names = ["lang", *_names(longest), "n"]
+
+    def run(batches):
+        waiting, rows = [], 0
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                waiting.append(batch)
+                rows += batch.num_rows
+            if rows and (batch is None or rows >= FOLD_ROWS):
+                table = pa.Table.from_batches(waiting).combine_chunks()
+                waiting, rows = [], 0
+                columns, counts = _folded(table["gram"].chunk(0), np.asarray(table["n"]), longest, least)
+                for i in range(0, len(counts), BATCH_ROWS):
+                    yield pa.RecordBatch.from_arrays([c[i:i + BATCH_ROWS] for c in (*columns, pa.array(counts))], names)
+
+    columns = ", ".join(f"{c} string" for c in names[:-1])
+    return sorted_windows.mapInArrow(run, f"{columns}, n long")
 
 
 def frequent(docs: DataFrame, scratch: Scratch, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
     """(lang, words, f): how often each phrase of up to ``longest`` words occurs, where it
     does so ``least`` times; the empty phrase stands for all words of a language."""
-    names = _names(longest)
-    counted = scratch.written(windows(docs, longest).groupBy("lang", *names).agg(F.sum("n").alias("f")), "phrase-windows")
-    shorter = ", ".join(names[:-1])
+    names = ", ".join(_names(longest))
+    ordered = windows(docs, longest).repartitionByRange("gram").sortWithinPartitions("gram")
+    counted = scratch.written(folded(ordered, longest, least), "phrase-windows")
     rolled = docs.sparkSession.sql(
-        f"SELECT lang, {shorter}, bit_count(grouping_id()) AS rolled, sum(f) AS f FROM {{counted}} "
-        f"GROUP BY lang, ROLLUP ({shorter}) HAVING sum(f) >= {least}", counted=counted)
+        f"SELECT lang, {names}, bit_count(grouping_id()) AS rolled, sum(n) AS f FROM {{counted}} "
+        f"GROUP BY lang, ROLLUP ({names}) HAVING sum(n) >= {least}", counted=counted)
     # A prefix of i words has the columns behind them rolled up.
-    words = F.slice(F.array(*names[:-1]), F.lit(1), F.lit(longest - 1) - F.col("rolled"))
-    grams = rolled.select("lang", words.alias("words"), "f").union(
-        counted.where(F.col("f") >= least).select("lang", F.array(*names).alias("words"), "f"))
-    return grams.where(~F.array_contains("words", ""))
+    words = F.slice(F.array(*_names(longest)), F.lit(1), F.lit(longest) - F.col("rolled"))
+    return rolled.select("lang", words.alias("words"), "f").where(~F.array_contains("words", ""))
 
 
 def _joined(words: Column) -> Column:
