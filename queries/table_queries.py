@@ -147,14 +147,18 @@ def _(spark, d):
     return logs.dense_index(parse.parse_lines(scan))
 
 
-@query("s11_saved_model", "split:s timestamp:t actual:d usable:b",
-       (B.ml_sql(), "SELECT *, y_req_t1 AS actual, true AS usable FROM ml"))
+@query("s11_saved_model", "split:s timestamp:t actual:d same:b",
+       (B.ml_sql(), "SELECT *, y_req_t1 AS actual, true AS same FROM ml"))
 def _(spark, d):
-    table = B.ml(spark, d)
+    """The forecast of the loaded model is that of the fitted one, and no constant."""
+    table = written(B.ml(spark, d), "features")
     budget = forecast.Budget(rounds=20, depth=4, rate=0.15)
     chosen = forecast.short_features(table)
     _, model = forecast.hold_out_forecast(table, "y_req_t1", chosen, "2024-01-19", budget)
     path = work_path(spark, "model")
     tables.save_model(model, path)
-    result = forecast.forecast(PipelineModel.load(path), table, "y_req_t1", chosen, budget)
-    return result.withColumn("usable", F.coalesce((F.col("predicted") >= 0) & (F.col("predicted") < float("inf")), F.lit(False)))
+    fitted, loaded = (
+        forecast.forecast(m, table, "y_req_t1", chosen, budget) for m in (model, PipelineModel.load(path)))
+    varied = loaded.agg((F.count_distinct("predicted") > 1).alias("varied"))
+    return loaded.join(fitted.select("split", "timestamp", F.col("predicted").alias("before")), ["split", "timestamp"]).join(
+        F.broadcast(varied)).withColumn("same", (F.col("predicted") == F.col("before")) & F.col("varied"))

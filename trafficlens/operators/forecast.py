@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressionModel
 from pyspark.sql import DataFrame, functions as F
 
 from trafficlens import fixed_values as V
 from trafficlens.functions import scaling
 from trafficlens.operators import folds, metrics
-from trafficlens.session import Scratch, written
+from trafficlens.session import Scratch, side_by_side, written
 
 LABELS = ("split", "freq", "series", "timestamp", "rn", "n", "fold", "is_test")
 
@@ -77,24 +79,62 @@ def best_round(errors, patience: int) -> tuple[int, bool]:
     return best + 1, False
 
 
-def grow(train: DataFrame, valid: DataFrame, budget: Budget):
-    """Trees up to the best round. Spark's own stopping rule gives up at the first round
-    that brings little; here more rounds are made, in growing steps, until the patience is
-    used up. The trees of a round do not depend on how many follow."""
-    def fit(rounds: int):
-        return GBTRegressor(
-            labelCol="label", maxIter=rounds, stepSize=budget.rate, maxDepth=budget.depth, seed=V.SAMPLE_SEED,
-        ).fit(train)
+#: Rounds after which predictions are stored and the validation errors read.
+STORED_ROUNDS = 10
 
-    rounds = min(budget.rounds, 2 * budget.patience)
-    while True:
-        model = fit(rounds)
-        if valid.isEmpty():
-            return model if rounds == budget.rounds else fit(budget.rounds)
-        best, ended = best_round(model.evaluateEachIteration(valid, "squared"), budget.patience)
-        if ended or rounds == budget.rounds:
-            return model if best == rounds else fit(best)
-        rounds = min(budget.rounds, 2 * rounds)
+
+def _ensemble(spark, base, trees, rate: float) -> GBTRegressionModel:
+    """One model of a constant and the shrunk trees."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    found = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, len(trees) + 1)
+    weights = gateway.new_array(jvm.double, len(trees) + 1)
+    found[0], weights[0] = base._java_obj, 1.0
+    for i, tree in enumerate(trees, 1):
+        found[i], weights[i] = tree._java_obj, rate
+    uid = f"GBTRegressor_{uuid.uuid4().hex[:12]}"
+    return GBTRegressionModel(jvm.org.apache.spark.ml.regression.GBTRegressionModel(uid, found, weights))
+
+
+def grow(rows: DataFrame, budget: Budget) -> GBTRegressionModel:
+    """Trees up to the best round, over ``features``, ``label`` and ``is_test``.
+
+    Boosting that continues, from the training rows' mean: each round fits one tree to
+    what the mean and the trees before it leave over. Their sums are stored every few
+    rounds, so no round reads all earlier trees; in the same pass the errors of these
+    rounds on the validation rows are read. Rounds end when the patience is used up, and
+    the trees up to the best round are kept as they are, nothing is fitted twice. Without
+    validation rows all rounds are made.
+    """
+    def fit(frame: DataFrame, label, depth: int, name: str):
+        train = frame.where(~F.col("is_test")).select("features", label.alias("_left"))
+        return DecisionTreeRegressor(
+            labelCol="_left", predictionCol=name, maxDepth=depth, seed=V.SAMPLE_SEED).fit(train)
+
+    base = fit(rows, F.col("label"), 0, "_total")
+    state = base.transform(rows.select("features", "label", "is_test"))
+    trees, errors, done, scratch = [], [], False, Scratch()
+    while not done and len(trees) < budget.rounds:
+        grown, names = state, []
+        for _ in range(min(STORED_ROUNDS, budget.rounds - len(trees))):
+            names.append(f"_tree{len(names)}")
+            trees.append(fit(grown, F.col("label") - F.col("_total"), budget.depth, names[-1]))
+            grown = trees[-1].transform(grown).withColumn(names[-1], F.col(names[-1]) * budget.rate)
+            grown = grown.withColumn("_total", F.col("_total") + F.col(names[-1]))
+        before, scratch = scratch, Scratch()
+        stored = scratch.written(grown, "boosting")
+        before.clear()
+        # The sums after each of these rounds, from the last one backwards.
+        sums = [F.col("_total")]
+        for name in names[:0:-1]:
+            sums.insert(0, sums[0] - F.col(name))
+        found = stored.where("is_test").agg(*[F.avg(F.pow(F.col("label") - c, 2)).alias(n) for c, n in zip(sums, names)]).first()
+        if found[0] is not None:
+            errors += found
+            done = best_round(errors, budget.patience)[1]
+        state = stored.drop(*names)
+    scratch.clear()
+    kept = best_round(errors, budget.patience)[0] if errors else len(trees)
+    return _ensemble(rows.sparkSession, base, trees[:kept], budget.rate)
 
 
 def fit_fold(table: DataFrame, target: str, features, fold: int, budget: Budget) -> PipelineModel:
@@ -106,7 +146,7 @@ def fit_fold(table: DataFrame, target: str, features, fold: int, budget: Budget)
     # Every round reads the rows again.
     scratch = Scratch()
     rows = scratch.written(inputs.transform(rows).select("features", "label", "is_test"), "inputs")
-    trees = grow(rows.where(~F.col("is_test")), rows.where("is_test"), budget)
+    trees = grow(rows, budget)
     scratch.clear()
     return PipelineModel([*inputs.stages, trees])
 
@@ -125,20 +165,22 @@ def forecast(model: PipelineModel, table: DataFrame, target: str, features, budg
 def fold_scores(table: DataFrame, target: str, features, budget: Budget, n: int = V.FOLDS, keys=()):
     """Fit every fold and score its test rows; also the model of the last fold.
 
-    The fits run one after the other, each distributed. With ``keys`` the folds are
+    The folds are fitted side by side from one stored table. With ``keys`` the folds are
     those of each series.
     """
     numbered = written(folds.add_fold(table, n, keys), "folded")
-    scores, model = [], None
-    for fold in range(n):
-        model = fit_fold(numbered, target, features, fold, budget)
-        test = numbered.where(F.col("fold") == fold)
-        result = forecast(model, test, target, features, budget)
-        scores.append(metrics.score(result, "fold", masked=budget.log_target))
+    models = side_by_side({
+        fold: partial(fit_fold, numbered, target, features, fold, budget) for fold in range(n)})
+    for model in models.values():
+        if isinstance(model, Exception):
+            raise model
+    scores = [
+        metrics.score(forecast(models[fold], numbered.where(F.col("fold") == fold), target, features, budget), "fold", masked=budget.log_target)
+        for fold in range(n)]
     report = scores[0]
     for one in scores[1:]:
         report = report.unionByName(one)
-    return report, model
+    return report, models[n - 1]
 
 
 def hold_out_forecast(table: DataFrame, target: str, features, cut: str, budget: Budget, keys=()):
@@ -148,6 +190,16 @@ def hold_out_forecast(table: DataFrame, target: str, features, cut: str, budget:
     return forecast(model, valid, target, features, budget), model
 
 
+def with_errors(result: DataFrame, train: DataFrame, target: str, masked: bool = True) -> DataFrame:
+    """A forecast with its errors and that of the training rows' mean in every row, and
+    whether it beats that mean."""
+    flat = train.agg(F.avg(F.col(target).cast("double")).alias("_mean"))
+    off = F.col("actual") - F.col("_mean")
+    base = result.crossJoin(F.broadcast(flat)).agg(F.sqrt(F.avg(off * off)).alias("mean_RMSE"))
+    errors = metrics.score(result, masked=masked).crossJoin(F.broadcast(base))
+    return result.crossJoin(F.broadcast(errors)).withColumn("beats_mean", F.col("RMSE") < F.col("mean_RMSE"))
+
+
 def metric_row(result: DataFrame, target: str, freq: str, budget: Budget) -> DataFrame:
     """One line of the report."""
     return metrics.score(result, masked=budget.log_target).select(

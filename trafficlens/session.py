@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession, functions as F
 
 
@@ -97,6 +99,26 @@ def stored_bytes(spark: SparkSession, path: str) -> int:
     return files.getContentSummary(place).getLength()
 
 
+def side_by_side(jobs: dict, most: int = 8) -> dict:
+    """Runs functions in driver threads, ``most`` at a time, each in a pool of its own, so
+    that with ``spark.scheduler.mode=FAIR`` none waits for another's tasks. A function that
+    fails has its exception as its result; the others go on."""
+    spark = SparkSession.active()
+
+    def run(name, job):
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", str(name))
+        try:
+            return job()
+        except Exception as error:
+            return error
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+    with ThreadPoolExecutor(max(1, min(most, len(jobs)))) as threads:
+        started = {name: threads.submit(inheritable_thread_target(spark)(run), name, job) for name, job in jobs.items()}
+        return {name: one.result() for name, one in started.items()}
+
+
 # Bytes of Parquet up to which a lookup table goes to every executor; in memory it is
 # larger, some tens of megabytes.
 BROADCAST_BYTES = 8 << 20
