@@ -201,13 +201,7 @@ dated AS MATERIALIZED (SELECT *, hour("timestamp") AS hour, CAST(isodow("timesta
   count(*) OVER (PARTITION BY country) / count(*) OVER () AS country_freq FROM topped)""",
         _corr_sql("dated", V.ROW_CORRELATION_COLUMNS)))
 def _(spark, d):
-    rows = B.filled(spark, d).withColumns(times.calendar(F.col("timestamp")) | {
-        "visitor_type": H.visitor_type(F.col("visitor_category")),
-        "visitor_country": H.visitor_country(F.col("visitor_category"), F.col("tld"), V.NON_COUNTRY),
-    })
-    rows = profile.add_frequency(profile.add_top_country(rows), "visitor_country", "country_freq")
-    rows = profile.add_frequency(rows, "visitor_type", "visitor_type_freq")
-    return profile.correlations(rows, V.ROW_CORRELATION_COLUMNS)
+    return profile.correlations(profile.correlation_rows(B.rows(spark, d)), V.ROW_CORRELATION_COLUMNS)
 
 
 @query("d22_bucket_correlations", "col_a:s col_b:s corr:d",

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import numpy as np
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from trafficlens import fixed_values as V
+from trafficlens.functions import host as H, times
+from trafficlens.operators import enrich
+from trafficlens.operators.comoments import moments
 from trafficlens.operators.quantiles import exact_quantiles, quantiles_of_counts, value_counts
 from trafficlens.session import lookup, written
 
@@ -143,29 +147,25 @@ def histogram(df: DataFrame, value: str = "bytes", keys=("split",), bins: int =
 
 
 def correlations(df: DataFrame, columns) -> DataFrame:
-    """Pearson correlation of every pair, over the rows where both are known, in one pass."""
-    pairs = list(combinations(columns, 2))
-    number = {c: F.col(c).cast("double") for c in columns}
-    complete = {f.name for f in df.schema.fields if not f.nullable}
-
-    def pearson(a: str, b: str) -> Column:
-        # A constant column has no correlation. Its smallest and largest value say so
-        # exactly; a variance put together from parts may be a little above zero.
-        x, y = number[a], number[b]
-        if a in complete and b in complete:
-            # The variances do not depend on the partner, so all pairs share them.
-            varied = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
-            return F.when(varied, F.covar_pop(x, y) / F.sqrt(F.var_pop(x) * F.var_pop(y)))
-        p, q = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-        varied = (F.min(p) < F.max(p)) & (F.min(q) < F.max(q))
-        return F.when(varied, F.regr_sxy(x, y) / F.sqrt(F.regr_sxx(x, y) * F.regr_syy(x, y)))
-
-    one = df.agg(*(pearson(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)))
-    items = F.array(*(
-        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"c{i}").alias("corr"))
-        for i, (a, b) in enumerate(pairs)
-    ))
-    return one.select(F.inline(items))
+    """Pearson correlation of every pair, over the rows where both are known, in one
+    pass; null where a column is constant there."""
+    columns, found = list(columns), moments(df, columns)
+    table = found.correlation() if found else np.full((len(columns),) * 2, np.nan)
+    rows = [(columns[i], columns[j], None if np.isnan(table[i, j]) else float(table[i, j]))
+            for i, j in combinations(range(len(columns)), 2)]
+    return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, corr double")
+
+
+def correlation_rows(rows: DataFrame, keys=("split",)) -> DataFrame:
+    """The columns of the row correlations, from enriched rows. What they need of a row
+    is stored once; its medians, frequencies and top countries are read from there."""
+    narrow = written(rows.select(
+        *keys, "response", "bytes", "reqpathdepth", "requrllength", "is_commercial", "is_dynamic",
+        *(c.alias(n) for n, c in times.calendar(F.col("timestamp")).items() if n in ("hour", "is_weekend")),
+        H.visitor_type(F.col("visitor_category")).alias("visitor_type"),
+        H.visitor_country(F.col("visitor_category"), F.col("tld"), V.NON_COUNTRY).alias("visitor_country")), "narrow-rows")
+    full = add_top_country(enrich.add_bytes_imputed(narrow, keys))
+    return add_frequency(add_frequency(full, "visitor_country", "country_freq"), "visitor_type", "visitor_type_freq")
 
 
 def box_summary(df: DataFrame, category: str, value: str) -> DataFrame:
