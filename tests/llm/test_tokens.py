@@ -95,10 +95,11 @@ def test_bpe_round_trip_and_clashing_names(spark):
 
 def test_word_encoder_equals_library(monkeypatch):
     library = Tokenizer.from_file(WORD_BPE)
-    library.encode_special_tokens = True
     monkeypatch.setattr(token_files, "KEPT_WORDS", 50)
     encoder = token_files.Encoder(WORD_BPE)
-    texts = random_texts(2000, 4) + [None, "", "Word. word, WORD! (word) it's its' 3.14"]
+    texts = random_texts(2000, 4) + [None, "", "Word. word, WORD! (word) it's its' 3.14"] + [
+        "hello <|endoftext|> world", "<|startoftext|>", "a<|endoftext|>b<|startoftext|><|endoftext|>", "<|ENDOFTEXT|> <|EndOfText|>",
+        "<|endof<|endoftext|>text|>", "e<|endoftext|>\u0301x", " <|endoftext|>  <|startoftext|>\n", "<|endoftext|", "x<|startoftext|>'s"]
     for i in range(0, len(texts), 100):
         part = texts[i:i + 100]
         for text, data in zip(part, encoder.encode(part, 1)):
@@ -108,7 +109,6 @@ def test_word_encoder_equals_library(monkeypatch):
 def test_token_files_round_trip(spark, monkeypatch):
     monkeypatch.setattr(token_files, "PART_BYTES", 20_000)
     library = Tokenizer.from_file(WORD_BPE)
-    library.encode_special_tokens = True
     rows = token_files.round_trip(spark, frame(spark), WORD_BPE, 49408).collect()
     ids = [(r[0], library.encode(r[1] or "", add_special_tokens=False).ids + [1]) for r in odd_documents()]
     want = sorted((str(i), len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in ids)

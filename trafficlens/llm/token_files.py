@@ -70,9 +70,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # Special strings are cut out before words are made, as the library does with raw
+        # texts. What remains must not become one, such as <|ENDOFTEXT|> in lower case.
         self.tokenizer.encode_special_tokens = True
+        added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.type = id_type(self.tokenizer.get_vocab_size(with_added_tokens=True))
         self.code = "H" if self.type == "<u2" else "I"
+        self.special = {text: np.array([i], self.type).tobytes() for text, i in added.items()}
         self.parts: dict[str, bytes] = {}
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -84,11 +89,19 @@ class Encoder:
         for part, encoding in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)):
             self.parts[part] = array(self.code, encoding.ids).tobytes()
 
+    def _split(self, text: str) -> list[str]:
+        """Words and special strings; no word holds one of those."""
+        if not any(s in text for s in self.special):
+            return _words(text)
+        parts = self.added.split(text)
+        return [w for i, part in enumerate(parts) for w in ([part] if i % 2 else _words(part))]
+
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
-        texts = [_words(t or "") for t in texts]
+        texts = [self._split(t or "") for t in texts]
         every = set().union(*texts)
         wanted = every.difference(self.kept)
         made = {w: self.older[w] for w in wanted if w in self.older}
+        made.update((w, self.special[w]) for w in wanted if w in self.special)
         new = [w for w in wanted if w not in made]
         split = [_parts(w) for w in new]
         self._learn(set().union(*split))
