@@ -9,6 +9,8 @@ from queries.base import query
 from trafficlens import fixed_values as V
 from trafficlens.functions import times
 from trafficlens.operators import buckets, enrich, features, folds, series as S
+from trafficlens.operators.quantiles import exact_quantiles, merged_sketches, quantile_sketches, sketched_quantiles
+from trafficlens.session import lookup, work_path
 
 AT = "split:s timestamp:t "
 TRAFFIC_TYPES = (
@@ -76,6 +78,80 @@ def _(spark, d):
     return buckets.requests_per(B.typed(spark, d), 10)
 
 
+@query("t1_empty_runs", "split:s first:t last:t buckets:l",
+       (B.TYPED + """, per AS (SELECT DISTINCT split, time_bucket(INTERVAL '2 minutes', "timestamp") AS b FROM typed WHERE "timestamp" IS NOT NULL),
+        nexts AS (SELECT split, b, lead(b) OVER (PARTITION BY split ORDER BY b) AS c FROM per)""",
+        """SELECT split, b + INTERVAL 2 MINUTE AS "first", c - INTERVAL 2 MINUTE AS "last", date_diff('minute', b, c) / 2 - 1 AS buckets
+        FROM nexts WHERE c > b + INTERVAL 2 MINUTE"""))
+def _(spark, d):
+    return buckets.empty_runs(B.typed(spark, d), 2)
+
+
+# A customer's orders are a sparse series: a year without one sets the smaller part aside.
+_ORDER_PARTS = """placed AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY ALL),
+cuts AS (SELECT *, CASE WHEN day - lag(day) OVER w > 366 THEN 1 ELSE 0 END AS cut FROM placed WINDOW w AS (PARTITION BY o_custkey ORDER BY day)),
+numbered AS (SELECT *, sum(cut) OVER (PARTITION BY o_custkey ORDER BY day) AS part FROM cuts),
+parts AS (SELECT o_custkey, part, min(day) AS lo, max(day) AS hi, sum(n) AS n FROM numbered GROUP BY ALL),
+chosen AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, lo) AS place, sum(n) OVER (PARTITION BY o_custkey) AS total FROM parts)"""
+
+
+def _orders(spark, d):
+    return B.table(spark, d, "orders").select("o_custkey", F.col("o_orderdate").cast("timestamp_ntz").alias("timestamp"))
+
+
+@query("t1_series_spans", "o_custkey:l first:t last:t rows:l rows_set_aside:l",
+       (_ORDER_PARTS, 'SELECT o_custkey, lo AS "first", hi AS "last", n AS "rows", total - n AS rows_set_aside FROM chosen WHERE place = 1'))
+def _(spark, d):
+    return buckets.series_spans(_orders(spark, d), 1440, ("o_custkey",), 365)
+
+
+@query("t1_grid_within_reach", "o_custkey:l days:l empty:l orders:l",
+       (_ORDER_PARTS + """, days AS (SELECT o_custkey, unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL '1 day')) AS day FROM chosen WHERE place = 1)""",
+        """SELECT o_custkey, count(*) AS days, count(*) FILTER (n IS NULL) AS empty, sum(n) AS orders
+        FROM days LEFT JOIN placed USING (o_custkey, day) GROUP BY o_custkey"""))
+def _(spark, d):
+    daily = buckets.requests_per(_orders(spark, d), 1440, ("o_custkey",), 365)
+    return daily.groupBy("o_custkey").agg(
+        F.count("*").alias("days"), F.count_if(F.col("requests") == 0).alias("empty"), F.sum("requests").alias("orders"))
+
+
+@query("d13_table_of_parts", TRAFFIC_TYPES, (B.traffic_sql("15m"), "SELECT * FROM traffic"))
+def _(spark, d):
+    """Cells of two halves of the log, added one after the other."""
+    store, rows = work_path(spark, "cell-store"), B.rows(spark, d)
+    early = F.coalesce(F.hour("timestamp") < 12, F.lit(True))
+    buckets.add_to_cells(rows.where(early), store, "morning")
+    buckets.add_to_cells(rows.where(~early), store, "evening")
+    return buckets.tables_of_cells(buckets.cells_in(spark, store), ("15m",)).drop("freq")
+
+
+@query("d10_continuous_quantiles", "l_returnflag:s n:l q1:d median_price:d q99:d",
+       ("priced AS (SELECT l_returnflag, CAST(l_extendedprice AS DOUBLE) * (1 - CAST(l_discount AS DOUBLE)) * (1 + CAST(l_tax AS DOUBLE)) / CAST(l_quantity AS DOUBLE) AS price FROM lineitem)",
+        "SELECT l_returnflag, count(price) AS n, quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.5) AS median_price, quantile_cont(price, 0.99) AS q99 FROM priced GROUP BY ALL"))
+def _(spark, d):
+    """Nearly every value its own, half of them in one group."""
+    priced = _priced(spark, d)
+    return exact_quantiles(priced, "price", {"q1": 0.25, "median_price": 0.5, "q99": 0.99}, ["l_returnflag"])
+
+
+def _priced(spark, d):
+    price = F.col("l_extendedprice").cast("double") * (1 - F.col("l_discount").cast("double")) * (1 + F.col("l_tax").cast("double"))
+    return B.table(spark, d, "lineitem").select("l_returnflag", "l_linenumber", (price / F.col("l_quantity").cast("double")).alias("price"))
+
+
+@query("d10_sketched_quantiles", "l_returnflag:s n:l q1_near:b median_near:b q99_near:b",
+       ("", "SELECT l_returnflag, count(*) AS n, true AS q1_near, true AS median_near, true AS q99_near FROM lineitem WHERE l_quantity <> 0 GROUP BY ALL"))
+def _(spark, d):
+    """Sketches per line number merged per flag; a sketched value is near if its exact rank,
+    counted over all rows, is within 2.5 % of the wanted one."""
+    probs, priced = {"q1": 0.25, "median": 0.5, "q99": 0.99}, _priced(spark, d)
+    parts = quantile_sketches(priced, "price", ["l_returnflag", "l_linenumber"])
+    found = sketched_quantiles(merged_sketches(parts, ["l_returnflag"]), probs, ["l_returnflag"])
+    ranks = priced.join(lookup(found, "sketched"), "l_returnflag").groupBy("l_returnflag", "n").agg(
+        *(F.avg((F.col("price") <= F.col(name)).cast("int")).alias(name) for name in probs))
+    return ranks.select("l_returnflag", "n", *((F.abs(F.col(name) - p) <= 0.025).alias(f"{name}_near") for name, p in probs.items()))
+
+
 @query("j7_grid_join", "split:s empty:l filled:l",
        (B.traffic_sql("1m"), "SELECT split, count(*) FILTER (y_req = 0) AS empty, count(*) FILTER (y_req > 0) AS filled FROM traffic GROUP BY split"))
 def _(spark, d):

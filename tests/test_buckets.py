@@ -152,3 +152,57 @@ def test_imputation_counts_untimed_rows(spark):
     got = [r.bytes_imputed for r in enrich.add_bytes_imputed(rows).collect()]
     assert sorted(got) == [0.01, 0.01]
     assert parse.apply_types(parse.parse_lines(spark.createDataFrame([("x",)], "value string"))).count() == 0
+
+
+def test_one_far_time_does_not_fill_the_grid(spark):
+    """1995 and 9999 in one split: the table ends with 1995, the far row is counted."""
+    lines = [line("1995-07-01 00:00:10"), line("1995-07-01 00:02:10"),
+             line("1995-07-01 00:00:20").replace("01/Jul/1995", "31/Dec/9999")]
+    rows = as_rows(spark, lines)
+    assert list(table(spark, lines).y_req) == [1, 0, 1]
+    report = buckets.series_spans(rows, 1).first()
+    assert (report["first"], report["last"], report["rows"], report["rows_set_aside"]) == (
+        pd.Timestamp("1995-07-01"), pd.Timestamp("1995-07-01 00:02:00"), 2, 1)
+    every = buckets.bucket_tables(rows).groupBy("freq").agg(F.sum("y_req").alias("n"), F.count("*").alias("buckets"))
+    assert {r.freq: (r.n, r.buckets) for r in every.collect()} == {"1m": (2, 3), "5m": (2, 1), "15m": (2, 1)}
+    # A table of the far year itself: its times pass 32 bits of minutes.
+    late = as_rows(spark, [line("1995-07-01 00:00:20").replace("01/Jul/1995", "31/Dec/9999")])
+    assert buckets.bucket_table(late, "1m").select(F.col("timestamp").cast("string")).first()[0] == "9999-12-31 00:00:00"
+
+
+def test_equal_parts_keep_the_earliest_and_empty_input(spark):
+    lines = [line("1995-07-01 00:00:10"), line("2040-07-01 00:00:10")]
+    report = buckets.series_spans(as_rows(spark, lines), 1).first()
+    assert (report["first"].year, report["rows"], report["rows_set_aside"]) == (1995, 1, 1)
+    assert buckets.series_spans(as_rows(spark, ["junk"]), 1).count() == 0
+    assert table(spark, ["junk"]).empty
+
+
+def test_empty_runs_are_intervals(spark):
+    lines = [line(f"1995-07-{d:02d} {h:02d}:00:00") for d, h in ((1, 0), (1, 1), (1, 5), (4, 0))]
+    got = [(str(r["first"]), str(r["last"]), r.buckets) for r in buckets.empty_runs(as_rows(spark, lines), 60).orderBy("first").collect()]
+    assert got == [("1995-07-01 02:00:00", "1995-07-01 04:00:00", 3), ("1995-07-01 06:00:00", "1995-07-03 23:00:00", 66)]
+
+
+def test_cells_of_days_add_up(spark, tmp_path):
+    """Two parts, one written twice, equal one pass over all lines."""
+    lines = random_lines(1500)
+    rows = as_rows(spark, lines)
+    store = str(tmp_path / "cells")
+    early = F.minute("timestamp") < 20
+    buckets.add_to_cells(rows.where(early), store, "a")
+    buckets.add_to_cells(rows.where(early), store, "a")
+    buckets.add_to_cells(rows.where(~early), store, "b")
+    got = buckets.tables_of_cells(buckets.cells_in(spark, store)).orderBy("freq", "timestamp").toPandas()
+    want = buckets.bucket_tables(rows).orderBy("freq", "timestamp").toPandas()
+    pd.testing.assert_frame_equal(got, want, rtol=1e-12)
+    with pytest.raises(ValueError):
+        buckets.add_to_cells(rows, store, "../b")
+
+
+def test_steps_share_one_exchange(spark):
+    cells = buckets.stored_cells(as_rows(spark, random_lines(200)))
+    rolled = buckets.rolled_up(cells.where("dim <> 'size'"), [1, 5, 15])
+    rolled.collect()
+    plan = rolled._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("ReusedExchange") == 2 and plan.count("- Exchange hashpartitioning") == 1

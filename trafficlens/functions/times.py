@@ -44,8 +44,14 @@ def as_zoned(ts: Column) -> Column:
     return F.timestamp_seconds(days * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts))
 
 
+def _after(start: Column, days: Column, unit: str, rest: Column) -> Column:
+    # Days apart from the rest: seconds or minutes alone pass 32 bits in far years.
+    return F.timestamp_add(unit, rest.cast("int"), F.timestamp_add("DAY", days.cast("int"), start))
+
+
 def as_zone_free(ts: Column) -> Column:
-    return F.timestamp_add("SECOND", F.unix_seconds(ts).cast("int"), epoch())
+    seconds = F.unix_seconds(ts)
+    return _after(epoch(), F.floor(seconds / 86400), "SECOND", F.pmod(seconds, F.lit(86400)))
 
 
 def bucket_number(ts: Column, minutes) -> Column:
@@ -59,7 +65,8 @@ def bucket_number(ts: Column, minutes) -> Column:
 
 def bucket_time(number: Column, minutes) -> Column:
     step = minutes if isinstance(minutes, Column) else F.lit(minutes)
-    return F.timestamp_add("MINUTE", (number * step).cast("int"), origin())
+    passed = number * step
+    return _after(origin(), F.floor(passed / 1440), "MINUTE", F.pmod(passed, F.lit(1440)))
 
 
 def bucket_start(ts: Column, minutes: int) -> Column:

@@ -8,7 +8,11 @@ finer cells and the rows are never read again.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import math
+import re
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from trafficlens import fixed_values as V
 from trafficlens.functions import times
@@ -77,19 +81,40 @@ def traffic_cells(rows: DataFrame, minutes: int = 1, keys=("split",), sizes: boo
     )
 
 
-def at_lengths(cells: DataFrame, lengths) -> DataFrame:
-    """Each one-minute cell under its bucket of every wanted length."""
-    spread = cells.withColumn("minutes", F.explode(F.array(*(F.lit(m) for m in lengths))))
-    return spread.withColumn("bucket", F.floor(F.col("bucket") / F.col("minutes")).cast("long"))
-
+def rolled_up(cells: DataFrame, lengths, keys=("split",)) -> DataFrame:
+    """One-minute cells as cells of every wanted length, in steps: each length is summed
+    from the longest finer one that fits it, so 15 minutes are sums of 5-minute cells.
 
-def summed_cells(cells: DataFrame, keys=("split",)) -> DataFrame:
-    """One cell per bucket and dimension value again."""
-    return cells.groupBy(*keys, "minutes", "bucket", "dim", "value", "response").agg(
+    The cells are dealt out once, by their longest block of time; all steps stay inside
+    the block, so no further shuffle follows however many lengths are wanted.
+    """
+    lengths = sorted(set(lengths))
+    block = F.floor(F.col("bucket") / math.lcm(*lengths)).cast("long").alias("_block")
+    names = [*keys, "bucket", "dim", "value", "response", *MEASURES]
+    levels = {1: cells.select(*names, block).repartition(*keys, "dim", "value", "_block")}
+    for length in lengths:
+        if length not in levels:
+            finer = max(n for n in levels if length % n == 0)
+            bucket = F.floor(F.col("bucket") / (length // finer)).cast("long")
+            coarser = levels[finer].withColumn("bucket", bucket)
+            levels[length] = _summed(coarser, [*keys, "bucket", "dim", "value", "response", "_block"])
+    parts = [levels[length].select(F.lit(length).alias("minutes"), *names) for length in lengths]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _summed(cells: DataFrame, group) -> DataFrame:
+    return cells.groupBy(*group).agg(
         *(F.sum(m).cast("decimal(38,0)" if m == "size" else "long").alias(m) for m in MEASURES)
     )
 
 
+def summed_cells(cells: DataFrame, keys=("split",)) -> DataFrame:
+    """Cells of several passes as one cell per bucket and dimension value again; the size
+    cells as one per status code and size."""
+    sizes = ["known"] if "known" in cells.columns else []
+    return _summed(cells, [*keys, "minutes", "bucket", "dim", "value", "response", *sizes])
+
+
 def medians_of_cells(cells: DataFrame, keys=("split",)) -> DataFrame:
     """Median size per status code from the size cells of a pass."""
     counts = cells.where((F.col("dim") == "size") & F.col("known").isNotNull() & F.col("response").isNotNull())
@@ -172,21 +197,82 @@ def bucket_stats(cells: DataFrame, medians: DataFrame, keys=("split",)) -> DataF
     )
 
 
-def dense_grid(found: DataFrame, keys=("split",), block: int = 4096) -> DataFrame:
-    """Every bucket number from the first to the last non-empty one of a series.
+# Empty days after which rows count as far from the others: a clock that was wrong, not
+# a gap. Ten years are five million one-minute buckets.
+MOST_EMPTY_DAYS = 3660
+
+
+def _days(found: DataFrame, keys, weight: str | None) -> DataFrame:
+    """Per series and day: first and last non-empty bucket, rows, and the last bucket of
+    the series' day before. A series has no more days than the calendar."""
+    group = [*keys, "minutes"]
+    days = found.where(F.col("bucket").isNotNull()).groupBy(*group, F.expr("bucket * minutes div 1440").alias("_day")).agg(
+        F.min("bucket").alias("_low"), F.max("bucket").alias("_high"),
+        (F.sum(weight) if weight else F.count("*")).alias("_rows"))
+    before = W.partitionBy(*group).orderBy("_day")
+    return days.withColumns({"_day_before": F.lag("_day").over(before), "_before": F.lag("_high").over(before)})
+
+
+def spans(found: DataFrame, keys=("split",), weight: str | None = None, most_empty_days: int = MOST_EMPTY_DAYS) -> DataFrame:
+    """First and last bucket of each series, its rows, and the rows set aside. ``weight``
+    names the rows of a bucket; without it each found row counts as one.
+
+    More than ``most_empty_days`` empty days cut a series. The part with the most rows (of
+    equal ones the earliest) is the series; the rows of the others lie far from it, as
+    those of a line dated 9999 do, and are only counted, so that one wrong clock does not
+    ask for billions of empty buckets.
+    """
+    group = [*keys, "minutes"]
+    cut = F.coalesce(F.col("_day") - F.col("_day_before") - 1 > most_empty_days, F.lit(False)).cast("long")
+    part = F.sum(cut).over(W.partitionBy(*group).orderBy("_day"))
+    parts = _days(found, keys, weight).withColumn("_part", part).groupBy(*group, "_part").agg(
+        F.min("_low").alias("_low"), F.max("_high").alias("_high"), F.sum("_rows").alias("_rows"))
+    best = F.max_by(F.struct("_low", "_high", "_rows"), F.struct(F.col("_rows"), -F.col("_low")))
+    chosen = parts.groupBy(*group).agg(best.alias("_best"), F.sum("_rows").alias("_all"))
+    return chosen.select(
+        *group, F.col("_best._low").alias("first"), F.col("_best._high").alias("last"),
+        F.col("_best._rows").alias("rows"), (F.col("_all") - F.col("_best._rows")).alias("rows_set_aside"))
+
+
+def gap_runs(found: DataFrame, keys=("split",)) -> DataFrame:
+    """The empty buckets between non-empty ones as runs: ``first``, ``last``, ``buckets``.
+
+    No bucket is made for a run, however long. Runs inside a day are found day by day,
+    those between days from the first and last buckets of the days.
+    """
+    group = [*keys, "minutes"]
+    inside = W.partitionBy(*group, "_day").orderBy("bucket")
+    filled = found.where(F.col("bucket").isNotNull()).select(*group, "bucket").distinct()
+    within = filled.withColumn("_day", F.expr("bucket * minutes div 1440")).withColumn(
+        "_before", F.lag("bucket").over(inside)).select(*group, "_before", F.col("bucket").alias("_after"))
+    between = _days(found, keys, None).select(*group, "_before", F.col("_low").alias("_after"))
+    runs = within.unionByName(between).where(F.col("_after") - F.col("_before") > 1)
+    return runs.select(
+        *group, (F.col("_before") + 1).alias("first"), (F.col("_after") - 1).alias("last"),
+        (F.col("_after") - F.col("_before") - 1).alias("buckets"))
+
+
+def dense_grid(
+    found: DataFrame, keys=("split",), block: int = 4096, weight: str | None = None,
+    most_empty_days: int = MOST_EMPTY_DAYS, lengths=None,
+) -> DataFrame:
+    """Every bucket number from the first to the last non-empty one of a series, without
+    rows far from the others (see ``spans``). With ``lengths`` the same for buckets of so
+    many minutes each, where ``found`` has one-minute buckets.
 
     The numbers come block by block: the list of blocks is spread over the tasks
     before each block is filled, so no long list is ever built.
     """
     group = [*keys, "minutes"]
-    ends = found.groupBy(*group).agg(F.min("bucket").alias("_low"), F.max("bucket").alias("_high"))
+    ends = spans(found, keys, weight, most_empty_days)
+    if lengths is not None:
+        ends = ends.withColumn("minutes", F.explode(F.array(*(F.lit(n) for n in lengths))))
+        ends = ends.withColumns({c: F.floor(F.col(c) / F.col("minutes")) for c in ("first", "last")})
     number = lambda c: F.floor(F.col(c) / block)
-    blocks = ends.where(F.col("_low").isNotNull()).withColumn(
-        "_block", F.explode(F.sequence(number("_low"), number("_high")))
-    )
+    blocks = ends.withColumn("_block", F.explode(F.sequence(number("first"), number("last"))))
     spread = blocks.repartition(*group, "_block")
-    first = F.greatest("_low", F.col("_block") * block)
-    last = F.least("_high", F.col("_block") * block + block - 1)
+    first = F.greatest("first", F.col("_block") * block)
+    last = F.least("last", F.col("_block") * block + block - 1)
     return spread.select(*group, F.explode(F.sequence(first, last)).alias("bucket"))
 
 
@@ -234,29 +320,74 @@ def bucket_table(rows: DataFrame, freq: str, keys=("split",)) -> DataFrame:
     cells = stored_cells(rows, V.FREQ_MINUTES[freq], keys)
     hits = cells.where(F.col("dim") != "size")
     stats = bucket_stats(hits, lookup(medians_of_cells(cells, keys), "medians"), keys)
-    return fill_grid(dense_grid(hits, keys), stats, keys)
+    return fill_grid(dense_grid(_one_kind(hits), keys, weight="n"), stats, keys)
+
+
+def _one_kind(cells: DataFrame) -> DataFrame:
+    """Cells that count each row once."""
+    return cells.where(F.col("dim") == "response")
 
 
 def bucket_tables(rows: DataFrame, freqs=tuple(V.FREQ_MINUTES), keys=("split",)) -> DataFrame:
     """The traffic tables of several frequencies in one frame with a ``freq`` column."""
-    cells = stored_cells(rows, 1, keys)
+    return tables_of_cells(stored_cells(rows, 1, keys), freqs, keys)
+
+
+def tables_of_cells(cells: DataFrame, freqs=tuple(V.FREQ_MINUTES), keys=("split",)) -> DataFrame:
+    """The traffic tables from one-minute cells and their size cells."""
     lengths = [V.FREQ_MINUTES[f] for f in freqs]
-    hits = at_lengths(cells.where(F.col("dim") != "size"), lengths)
-    stats = bucket_stats(summed_cells(hits, keys), lookup(medians_of_cells(cells, keys), "medians"), keys)
-    return fill_grid(dense_grid(hits, keys), stats, keys)
+    hits = cells.where(F.col("dim") != "size")
+    stats = bucket_stats(rolled_up(hits, lengths, keys), lookup(medians_of_cells(cells, keys), "medians"), keys)
+    return fill_grid(dense_grid(_one_kind(hits), keys, weight="n", lengths=lengths), stats, keys)
 
 
-def requests_per(rows: DataFrame, minutes: int, keys=("split",)) -> DataFrame:
-    """Requests per bucket of any length, empty buckets as 0."""
+def add_to_cells(rows: DataFrame, store: str, part: str, keys=("split",)) -> None:
+    """Adds new rows, a day of log files say, to a store of one-minute cells. Cells are
+    sums, so nothing of the earlier parts is read. A part that is written again replaces
+    itself, so a failed run can be repeated."""
+    if not re.fullmatch(r"[A-Za-z0-9._-]+", part):
+        raise ValueError(f"no name for a part of a store: {part!r}")
+    traffic_cells(rows, 1, keys, sizes=True).write.mode("overwrite").parquet(f"{store}/part={part}")
+
+
+def cells_in(spark: SparkSession, store: str, keys=("split",)) -> DataFrame:
+    """All cells of a store, those of several parts added up, stored once for the tables."""
+    found = spark.read.option("basePath", store).parquet(f"{store}/part=*").drop("part")
+    return written(summed_cells(found, keys), "cells")
+
+
+def _counted(rows: DataFrame, minutes: int, keys) -> DataFrame:
     number = times.bucket_number(F.col("timestamp"), minutes)
     counts = (
         rows.groupBy(*keys, F.lit(minutes).alias("minutes"), number.alias("bucket"))
         .agg(F.count("*").alias("requests"))
         .where(F.col("bucket").isNotNull())
     )
-    counts = written(counts, "requests")
-    full = dense_grid(counts, keys).join(counts, [*keys, "minutes", "bucket"], "left")
-    return full.select(
+    return written(counts, "requests")
+
+
+def requests_per(rows: DataFrame, minutes: int, keys=("split",), most_empty_days: int = MOST_EMPTY_DAYS) -> DataFrame:
+    """Requests per bucket of any length, empty buckets as 0."""
+    counts = _counted(rows, minutes, keys)
+    grid = dense_grid(counts, keys, weight="requests", most_empty_days=most_empty_days)
+    return grid.join(counts, [*keys, "minutes", "bucket"], "left").select(
         *keys, times.bucket_time(F.col("bucket"), F.col("minutes")).alias("timestamp"),
         F.coalesce("requests", F.lit(0).cast("long")).alias("requests"),
     )
+
+
+def _with_times(runs: DataFrame, keys, *rest: str) -> DataFrame:
+    at = [times.bucket_time(F.col(c), F.col("minutes")).alias(c) for c in ("first", "last")]
+    return runs.select(*keys, *at, *rest)
+
+
+def series_spans(rows: DataFrame, minutes: int, keys=("split",), most_empty_days: int = MOST_EMPTY_DAYS) -> DataFrame:
+    """Report on the grid of each series: first and last bucket start, rows inside, and
+    rows set aside because they lie too far from the others."""
+    found = spans(_counted(rows, minutes, keys), keys, "requests", most_empty_days)
+    return _with_times(found, keys, "rows", "rows_set_aside")
+
+
+def empty_runs(rows: DataFrame, minutes: int, keys=("split",)) -> DataFrame:
+    """Runs of empty buckets: start of the first and the last one, and their number."""
+    return _with_times(gap_runs(_counted(rows, minutes, keys), keys), keys, "buckets")
