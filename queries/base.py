@@ -117,11 +117,11 @@ def service_rows(spark, sf_dir) -> DataFrame:
     return rows_of(source.withColumnRenamed("event_type", "series"))
 
 
-def service_forecasts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+def service_forecasts(spark, sf_dir, freq="15m") -> tuple[DataFrame, DataFrame]:
     """The simplest forecast per service: the next bucket will be like this one."""
     keys = ("series",)
-    tables = buckets.bucket_table(service_rows(spark, sf_dir), "15m", keys).drop("freq")
-    kept = features.add_targets(features.flag_gaps(tables), "15m", keys)
+    tables = buckets.bucket_table(service_rows(spark, sf_dir), freq, keys).drop("freq")
+    kept = features.add_targets(features.flag_gaps(tables), freq, keys)
     kept = written(kept.where(F.col(V.GAP_FLAG) == 0), "forecasts")
 
     def one(column):
@@ -133,8 +133,8 @@ def service_forecasts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return one("y_req"), one("y_bytes_imp")
 
 
-def joined_forecasts(spark, sf_dir) -> DataFrame:
-    return combine.join_forecasts(*service_forecasts(spark, sf_dir))
+def joined_forecasts(spark, sf_dir, freq="15m") -> DataFrame:
+    return combine.join_forecasts(*service_forecasts(spark, sf_dir, freq))
 
 
 def split_forecasts(spark, sf_dir) -> DataFrame:
@@ -313,12 +313,15 @@ ml AS (SELECT * FROM (SELECT *, {", ".join(out)} FROM masked
   WINDOW w AS (PARTITION BY split ORDER BY "timestamp")) WHERE y_req_t1 IS NOT NULL AND flag_data_gap = 0)"""
 
 
-FORECASTS = prepared_sql("15m", "series") + """,
+def forecasts_sql(freq: str = "15m") -> str:
+    return prepared_sql(freq, "series") + """,
 joined AS (SELECT series, "timestamp", CAST(y_req_t1 AS DOUBLE) AS actual_req, CAST(y_req AS DOUBLE) AS predicted_req,
   y_bytes_imp_t1 AS actual_bytes, y_bytes_imp AS predicted_bytes FROM prepared
   WHERE flag_data_gap = 0 AND y_req_t1 IS NOT NULL)"""
 
-CAPACITY = FORECASTS + f""",
+
+def capacity_sql(freq: str = "15m") -> str:
+    return forecasts_sql(freq) + f""",
 caps AS (SELECT series, ceil(max(actual_req) / 3.5) AS cap_req, ceil(max(actual_bytes) / 3.5) AS cap_bytes
   FROM joined GROUP BY series),
 stepped AS (SELECT j.*, cap_req, cap_bytes, row_number() OVER w - 1 AS step,
@@ -329,7 +332,13 @@ needs AS MATERIALIZED (SELECT *, greatest(ceil(predicted_req / (cap_req * 0.3)),
   CASE WHEN step >= 4 THEN greatest(ceil(mean_req / (cap_req * 0.3)), ceil(mean_bytes / (cap_bytes * 0.3)), 1) END AS stable_need
   FROM stepped)"""
 
-DECISIONS = CAPACITY + """,
+
+def decisions_sql(freq: str = "15m") -> str:
+    """A row's servers cover the last five steps, its own among them."""
+    return capacity_sql(freq) + f""",
 decided AS (SELECT *, actual_req > servers * cap_req OR actual_bytes > servers * cap_bytes AS overload
   FROM (SELECT *, max(need) OVER (PARTITION BY series ORDER BY "timestamp"
-    RANGE BETWEEN INTERVAL 60 MINUTE PRECEDING AND CURRENT ROW) AS servers FROM needs))"""
+    RANGE BETWEEN INTERVAL {4 * V.FREQ_MINUTES[freq]} MINUTE PRECEDING AND CURRENT ROW) AS servers FROM needs))"""
+
+
+FORECASTS, CAPACITY, DECISIONS = forecasts_sql(), capacity_sql(), decisions_sql()

@@ -200,11 +200,35 @@ def _(spark, d):
     return capacity_plan.decisions(*B.service_forecasts(spark, d), step="15 minutes")
 
 
-@query("d29_cost_report", "series:s minutes:l max_servers:l cost:l fixed_cost:l saving:l saving_percent:d overload_minutes:l stability_percent:d",
-       (B.DECISIONS + """, sums AS (SELECT series, count(*) AS minutes, max(servers) AS max_servers,
+COSTS = "series:s minutes:l max_servers:l cost:l fixed_cost:l saving:l saving_percent:d overload_minutes:l stability_percent:d"
+
+
+def _costs_sql(freq):
+    return (B.decisions_sql(freq) + """, sums AS (SELECT series, count(*) AS minutes, max(servers) AS max_servers,
           sum(servers) * 100 + count(*) FILTER (overload) * 1000 AS cost, count(*) * max(servers) * 100 AS fixed_cost,
           count(*) FILTER (overload) AS overload_minutes FROM decided GROUP BY series)""",
         "SELECT *, fixed_cost - cost AS saving, (fixed_cost - cost) / fixed_cost * 100 AS saving_percent, "
-        "(1 - overload_minutes / minutes) * 100 AS stability_percent FROM sums"))
+        "(1 - overload_minutes / minutes) * 100 AS stability_percent FROM sums")
+
+
+# Costs are per minute, so the report by 15 minutes counts steps; the queries by the
+# minute bill what the rates mean.
+@query("d29_cost_report", COSTS, _costs_sql("15m"))
 def _(spark, d):
     return capacity_plan.report(*B.service_forecasts(spark, d), step="15 minutes")
+
+
+@query("c2_needs_by_minute", "series:s timestamp:t step:l need:l stable_need:d", (B.capacity_sql("1m"), "SELECT * FROM needs"))
+def _(spark, d):
+    joined = written(B.joined_forecasts(spark, d, "1m"), "forecasts")
+    return C.server_needs(joined, C.unit_capacity(joined))
+
+
+@query("c4_overloads_by_minute", "series:s timestamp:t actual_req:d servers:l overload:b", (B.decisions_sql("1m"), "SELECT * FROM decided"))
+def _(spark, d):
+    return capacity_plan.decisions(*B.service_forecasts(spark, d, "1m"))
+
+
+@query("d29_cost_by_minute", COSTS, _costs_sql("1m"))
+def _(spark, d):
+    return capacity_plan.report(*B.service_forecasts(spark, d, "1m"))

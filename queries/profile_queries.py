@@ -10,7 +10,8 @@ from queries.row_queries import _PHRASE, _RESULT, _TYPE, FENCE, PAGES
 from trafficlens import fixed_values as V
 from trafficlens.functions import host as H, response as P, times
 from trafficlens.operators import combine, enrich, feature_sets, features, profile
-from trafficlens.session import written
+from trafficlens.session import work_path, written
+from trafficlens.sources import tables
 
 
 def _feature_sets(spark, d):
@@ -47,6 +48,14 @@ def _(spark, d):
     return combine.join_sets(_feature_sets(spark, d))
 
 
+@query("j1_bucketed_join", ALL_SETS, (SETS, JOINED))
+def _(spark, d):
+    """The same over sets that are stored by key: the join moves no row."""
+    sets = dict(zip(feature_sets.SETS, _feature_sets(spark, d)))
+    keys, stored = tables.write_bucketed_sets(sets, work_path(spark, "bucketed-sets"), buckets=8)
+    return combine.join_sets(stored, keys=keys)
+
+
 @query("j1_inner_join", ALL_SETS, (SETS, JOINED.replace("FULL JOIN", "JOIN")))
 def _(spark, d):
     return combine.join_sets(_feature_sets(spark, d), how="inner")

@@ -10,6 +10,7 @@ from trafficlens import fixed_values as V
 from trafficlens.functions import host as H, response as P, scaling, sizes as S, times
 from trafficlens.operators import buckets, feature_sets, features, folds, parse, profile
 from trafficlens.schemas import require_columns
+from trafficlens.session import work_path
 
 ROW = "event_id:l split:s "
 
@@ -29,6 +30,52 @@ def _(spark, d):
     return every.join(good, "split", "left").withColumn("dropped", F.col("lines") - F.col("parsed"))
 
 
+# Some lines with a year that is none, some with a size beyond 64 bits.
+_HURT = B.LINES + f""",
+hurt AS (SELECT event_id, split, CASE WHEN event_id % 97 = 0 THEN replace(value, '/2024:', '/20x4:')
+  WHEN event_id % 89 = 0 THEN value || '99999999999999999999' ELSE value END AS value FROM lines),
+cut AS (SELECT *, regexp_matches(value, '{V.LOG_PATTERN}') AS matched,
+  regexp_extract(value, '{V.LOG_PATTERN}', ['host', 'ts', 'request', 'response', 'size']) AS m FROM hurt),
+read AS (SELECT event_id, split, value, matched, m.host AS host, TRY_CAST(m.response AS INTEGER) AS response,
+  try_strptime(regexp_extract(m.ts, '{V.LOG_TIME_PATTERN}', 1), '%d/%b/%Y:%H:%M:%S') AS "timestamp",
+  TRY_CAST(m.size AS BIGINT) AS bytes, m.size AS size FROM cut),
+judged AS (SELECT *, concat_ws(',', CASE WHEN NOT matched THEN 'unmatched' END,
+  CASE WHEN matched AND "timestamp" IS NULL THEN 'bad_time' END,
+  CASE WHEN matched AND bytes IS NULL AND size <> '-' THEN 'bad_size' END) AS faults FROM read)"""
+
+
+def _hurt(spark, d):
+    value, number = F.col("value"), F.col("event_id")
+    hurt = F.when(number % 97 == 0, F.replace(value, F.lit("/2024:"), F.lit("/20x4:"))).when(
+        number % 89 == 0, F.concat(value, F.lit("9" * 20))).otherwise(value)
+    return B.lines(spark, d).select("event_id", "split", hurt.alias("value"))
+
+
+@query("p2_reject_counts", "what:s n:l",
+       (_HURT, """SELECT unnest(['lines', 'unmatched', 'bad_time', 'bad_size', 'known_size', 'no_size']) AS what,
+          unnest([count(*), count(*) FILTER (NOT matched), count(*) FILTER (faults = 'bad_time' OR faults = 'bad_time,bad_size'),
+          count(*) FILTER (faults LIKE '%bad_size'), count(*) FILTER (matched AND bytes IS NOT NULL),
+          count(*) FILTER (matched AND bytes IS NULL)]) AS n FROM judged"""))
+def _(spark, d):
+    counts = parse.store_checked(_hurt(spark, d), work_path(spark, "checked-lines"))
+    return spark.createDataFrame(list(counts.items()), "what string, n bigint")
+
+
+@query("p2_quarantine", ROW + "value:s faults:s", (_HURT, "SELECT event_id, split, value, faults FROM judged WHERE faults <> ''"))
+def _(spark, d):
+    lines, path = _hurt(spark, d), work_path(spark, "checked-lines")
+    parse.store_checked(lines, path)
+    return parse.quarantine(lines, path).withColumn("faults", F.concat_ws(",", "faults"))
+
+
+@query("p2_checked_rows", ROW + "host:s timestamp:t response:i bytes:d",
+       (_HURT, "SELECT event_id, split, host, \"timestamp\", response, bytes / 1000.0 AS bytes FROM judged WHERE matched"))
+def _(spark, d):
+    lines, path = _hurt(spark, d), work_path(spark, "checked-lines")
+    parse.store_checked(lines, path)
+    return parse.checked_rows(lines, path)
+
+
 @query("p3_dash_size", "split:s known:l missing:l total:l",
        (B.PARSED, "SELECT split, count(bytes) AS known, count(*) - count(bytes) AS missing, "
         "sum(bytes) AS total FROM parsed GROUP BY split"))

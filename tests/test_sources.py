@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 from trafficlens import fixed_values as V
-from trafficlens.operators import parse
+from trafficlens.operators import combine, parse
 from trafficlens.schemas import PARSED, require_columns
 from trafficlens.sources import logs, tables
 
@@ -106,3 +106,46 @@ def test_tables_by_frequency(spark, tmp_path):
     with pytest.raises(FileNotFoundError, match="traffic-table step"):
         tables.read_table(spark, path, "15m")
     assert len(tables.read_parquet_sets(spark, [path, path])) == 2
+
+
+def test_bucketed_sets_join_without_moving(spark, tmp_path):
+    """No exchange in the plan, and the rows of the plain join, null and missing keys too."""
+    a = spark.createDataFrame([(1, "x"), (2, "y"), (None, "z")], "index long, a string")
+    b = spark.createDataFrame([(2, 2.0), (3, 3.0), (None, 4.0)], "index long, b double")
+    c = spark.createDataFrame([(1, 7), (1, 8), (9, 9)], "index long, c int")
+    keys, stored = tables.write_bucketed_sets({"a": a, "b": b, "c": c}, str(tmp_path / "kept-sets"), buckets=4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = combine.join_sets(stored, keys=keys)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        key = lambda r: tuple(str(v) for v in r)
+        assert sorted(joined.collect(), key=key) == sorted(combine.join_sets([a, b, c]).collect(), key=key)
+        want = a.join(b, "index", "full").join(c, "index", "full")
+        assert sorted(joined.collect(), key=key) == sorted(want.collect(), key=key)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for name in ("a", "b", "c", "_keys"):
+            spark.sql(f"DROP TABLE IF EXISTS kept_sets_{name}")
+
+
+def test_rejects_are_counted_and_kept(spark, tmp_path):
+    good = 'a.com - - [01/Jul/1995:00:00:01 -0400] "GET /x HTTP/1.0" 200 {}'
+    lines = [good.format(5), good.format("-"), good.format("9" * 25), good.format(7).replace("01/Jul", "31/Feb"),
+             good.format("9" * 25).replace("Jul", "Xyz"), "junk", "", None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(lines)], "id int, value string")
+    path = str(tmp_path / "checked")
+    assert parse.store_checked(df, path) == {
+        "lines": 8, "unmatched": 3, "bad_time": 2, "bad_size": 2, "known_size": 2, "no_size": 3}
+    kept = {r.id: r.faults for r in parse.quarantine(df, path).collect()}
+    assert kept == {2: ["bad_size"], 3: ["bad_time"], 4: ["bad_time", "bad_size"], 5: ["unmatched"], 6: ["unmatched"], 7: ["unmatched"]}
+    texts = {r.id: r.value for r in parse.quarantine(df, path).collect()}
+    assert all(texts[i] == (lines[i] or "") for i in texts)
+    rows = parse.checked_rows(df, path)
+    assert sorted(rows.collect()) == sorted(parse.apply_types(parse.parse_lines(df)).select(*rows.columns).collect())
+    # Nothing at all, and no fault at all: both folders can be read.
+    for name, none in (("empty", df.where("id > 99")), ("clean", df.where("id < 2"))):
+        parse.store_checked(none, str(tmp_path / name))
+        assert parse.quarantine(none, str(tmp_path / name)).count() == 0
+        assert parse.checked_rows(none, str(tmp_path / name)).count() == none.count()

@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, functions as F
 from trafficlens import fixed_values as V
 
 
-def join_sets(sets: list[DataFrame], key: str = "index", how: str = "outer") -> DataFrame:
+def join_sets(sets: list[DataFrame], key: str = "index", how: str = "outer", keys: DataFrame | None = None) -> DataFrame:
     """Join feature sets on one key.
 
     A chain of full outer joins would move every intermediate result again. The
     outer case therefore first unites the keys and then joins each set to them:
-    left joins keep the partitioning, so each set moves once.
+    left joins keep the partitioning, so each set moves once. With ``keys``, the
+    distinct keys of all sets as ``tables.write_bucketed_sets`` stores them, nothing has
+    to be united, and sets stored that way are read once and do not move at all.
     """
     for i, df in enumerate(sets):
         if key not in df.columns:
@@ -24,7 +26,8 @@ def join_sets(sets: list[DataFrame], key: str = "index", how: str = "outer") ->
     if how != "outer":
         return reduce(lambda a, b: a.join(b, key, how), sets)
     known = [df.where(F.col(key).isNotNull()) for df in sets]
-    keys = reduce(lambda a, b: a.union(b), [df.select(key) for df in known]).distinct()
+    if keys is None:
+        keys = reduce(lambda a, b: a.union(b), [df.select(key) for df in known]).distinct()
     joined = reduce(lambda a, b: a.join(b, key, "left"), known, keys)
     # A null key equals no other, so such rows stand alone, as in a full outer join.
     lone = [df.where(F.col(key).isNull()) for df in sets]

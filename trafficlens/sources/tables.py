@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -43,6 +45,34 @@ def write_parquet(df: DataFrame, path: str) -> None:
     df.write.parquet(path)
 
 
+# Files and joining tasks of a bucketed set; at 100 TB a few thousand.
+BUCKETS = 32
+
+
+def write_bucketed_sets(
+    sets: dict[str, DataFrame], path: str, key: str = "index", buckets: int = BUCKETS
+) -> tuple[DataFrame, list[DataFrame]]:
+    """Feature sets as tables dealt out and sorted by their key, and read back; before them
+    their distinct keys, stored the same way.
+
+    Tables with the same number of buckets join on the key without moving a row, however
+    often they are joined. A set is brought into its buckets once, so it has one file per
+    bucket; its table is named after the last folder of ``path`` and the set.
+    """
+    base = path.rstrip("/").rsplit("/", 1)[-1].replace("-", "_")
+
+    def stored(name: str, dealt: DataFrame) -> DataFrame:
+        (
+            dealt.write.bucketBy(buckets, key).sortBy(key).option("path", f"{path}/{name}")
+            .format("parquet").mode("overwrite").saveAsTable(f"{base}_{name}")
+        )
+        return dealt.sparkSession.table(f"{base}_{name}")
+
+    out = [stored(name, df.repartition(buckets, key)) for name, df in sets.items()]
+    every = reduce(lambda a, b: a.union(b), [df.select(key).where(F.col(key).isNotNull()) for df in out])
+    return stored("_keys", every.repartition(buckets, key).distinct()), out
+
+
 def write_tables(df: DataFrame, path: str) -> None:
     """One folder per frequency and split. The rows of a folder are brought together
     first; a folder with many rows is split again over several tasks and files."""
