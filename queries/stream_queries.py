@@ -32,6 +32,25 @@ def _(spark, d):
     return spark.read.schema(stream.schema).parquet(out)
 
 
+@query("x1_live_grid", "split:s timestamp:t y_req:l known_kilobytes:d error_rate:d avg_path_depth:d",
+       (B.ROWS + """, live AS (SELECT split, time_bucket(INTERVAL '2 minutes', "timestamp") AS "timestamp", count(*) AS y_req,
+          coalesce(sum(bytes), 0) AS known_kilobytes, avg(CASE WHEN response >= 400 THEN 1.0 ELSE 0.0 END) AS error_rate,
+          avg(reqpathdepth) AS avg_path_depth FROM rows_ GROUP BY 1, 2),
+        final AS (SELECT * FROM live WHERE "timestamp" + INTERVAL '2 minutes' <= (SELECT max("timestamp") FROM rows_) - INTERVAL '10 minutes'),
+        grid AS (SELECT split, unnest(generate_series(min("timestamp"), max("timestamp"), INTERVAL '2 minutes')) AS "timestamp" FROM final GROUP BY split)""",
+        """SELECT grid.*, coalesce(y_req, 0) AS y_req, coalesce(known_kilobytes, 0) AS known_kilobytes,
+          coalesce(error_rate, 0) AS error_rate, avg_path_depth FROM grid LEFT JOIN final USING (split, "timestamp")"""))
+def _(spark, d):
+    """A live table with its empty buckets, which equals the grid of the batch."""
+    source, out = work_path(spark, "live-log"), work_path(spark, "live-grid")
+    lines = B.lines(spark, d).select("split", "value")
+    lines.write.parquet(source)
+    stream = spark.readStream.schema(lines.schema).parquet(source)
+    live = traffic.gap_free(traffic.live_traffic(stream, 2, keys=("split",)), 2, ("split",))
+    traffic.run_available(live, out, work_path(spark, "live-state"), store=traffic.ROCKSDB)
+    return spark.read.schema(live.schema).parquet(out)
+
+
 # The last step is still open when the stream ends, as are those within the delay.
 @query("x2_live_decisions", "series:s timestamp:t servers:l",
        (B.DECISIONS, """SELECT d.series, s AS "timestamp", max(need) AS servers FROM
