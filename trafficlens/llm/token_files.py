@@ -101,7 +101,7 @@ class Encoder:
         every = set().union(*texts)
         wanted = every.difference(self.kept)
         made = {w: self.older[w] for w in wanted if w in self.older}
-        made.update((w, self.special[w]) for w in wanted if w in self.special)
+        made.update((w, ids) for w, ids in self.special.items() if w in wanted)
         new = [w for w in wanted if w not in made]
         split = [_parts(w) for w in new]
         self._learn(set().union(*split))
