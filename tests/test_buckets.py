@@ -206,3 +206,17 @@ def test_steps_share_one_exchange(spark):
     rolled.collect()
     plan = rolled._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("ReusedExchange") == 2 and plan.count("- Exchange hashpartitioning") == 1
+
+
+def test_grid_of_sparse_series_moves_no_empty_bucket(spark):
+    """Two rows a series, years apart: only found rows and marks of blocks are shuffled."""
+    found = spark.createDataFrame(
+        [("a", 1, 100, 5), ("a", 1, 9000, 2), ("a", 1, 9_000_000, 1), ("b", 1, 4095, 3), ("b", 1, 4096, 4), (None, 1, 7, 1)],
+        "split string, minutes int, bucket long, requests long")
+    ends = buckets.spans(found, weight="requests", most_empty_days=100)
+    full = buckets.gap_free(found, ends, block=1000)
+    got = {(r.split, r.bucket): r.requests for r in full.collect()}
+    want = {("a", b): None for b in range(100, 9001)} | {(None, 7): None}
+    assert got == want | {("a", 100): 5, ("a", 9000): 2, ("b", 4095): 3, ("b", 4096): 4}
+    plan = full._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan.split("Generate explode(sequence(bucket")[0]
