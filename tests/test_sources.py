@@ -149,3 +149,22 @@ def test_rejects_are_counted_and_kept(spark, tmp_path):
         parse.store_checked(none, str(tmp_path / name))
         assert parse.quarantine(none, str(tmp_path / name)).count() == 0
         assert parse.checked_rows(none, str(tmp_path / name)).count() == none.count()
+
+
+def test_one_row_group_of_many_splits_is_dealt_out(spark, tmp_path):
+    """A scan of as many splits as cores, one of which holds every row."""
+    import pandas as pd
+
+    from trafficlens import session
+
+    path = str(tmp_path / "events.parquet")
+    pd.DataFrame({"event_id": range(50_000), "text": [f"{i * 7919}" for i in range(50_000)]}).to_parquet(path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        scan = spark.read.parquet(path)
+        assert scan.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        dealt = session.spread(scan)
+        most = dealt.groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count")).first()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert most[0] <= 50_000 / 4 and most[1] == 50_000
