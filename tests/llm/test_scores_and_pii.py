@@ -170,6 +170,23 @@ def test_filter_too_large_to_broadcast_gives_the_same_scores(spark, monkeypatch)
     assert found() == want
 
 
+def test_a_filter_in_parts_writes_neither_texts_nor_pairs(spark, monkeypatch):
+    """Texts and questions only move; of counts the words are kept, pairs only as filter."""
+    monkeypatch.setattr(L, "RANGE_BYTES", 20_000)
+    monkeypatch.setattr(L, "MOST_BITS", 4096)
+    tables, real = {}, L.written
+    monkeypatch.setattr(L, "written", lambda df, name: tables.setdefault(name, real(df, name)))
+    L.score(frame(spark))
+    assert set(tables) == {"lm-counts", "lm-scored"}
+    assert tables["lm-counts"].columns == ["range", "word", "count", "bits", "part"]
+
+
+def test_planes_keep_numbers():
+    keys = np.sort(np.random.default_rng(1).integers(0, 2**64, 3000, dtype=np.uint64))
+    for part in (keys, keys[:1], keys[:0], keys[100:200]):
+        assert (L._keys(L._planes(part)) == part).all() and len(L._planes(part)) == 8 * len(part)
+
+
 def test_filter_never_answers_too_low():
     rng = np.random.default_rng(0)
     grams = np.unique(rng.integers(0, 2**64, 5000, dtype=np.uint64))

@@ -46,6 +46,8 @@ ENTRY_BITS, MOST_BITS, PROBES = 8, 1 << 29, 4
 TOP = 1 << 20
 #: UTF-8 bytes of text for each range of hashes.
 RANGE_BYTES = 16 << 20
+#: Chunks of texts that ask a filter in parts together, for each range.
+CHUNKS = 4
 #: Tokens whose counts a task holds before it hands them on.
 TASK_TOKENS = 1_500_000
 PRIORS = (1.0, 5.0, 20.0, 100.0, 500.0, 2000.0, 10000.0, 100000.0)
@@ -166,13 +168,23 @@ def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+def _planes(keys: np.ndarray) -> bytes:
+    """Sorted numbers, first bytes together, and so on: the upper ones hardly differ, and
+    the compression of a shuffle finds that."""
+    return np.ascontiguousarray(keys, "<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _keys(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(U64, copy=False)
+
+
 def _counts(ranges: int):
     """(range, pairs, keys, counts): what a task's texts hold, a row for each range."""
     def packed(single: list, double: list) -> Iterator[pa.RecordBatch]:
         for kind, parts in ((False, single), (True, double)):
             keys, counts = _added(*(np.concatenate(c) for c in zip(*parts)))
             bounds = np.searchsorted(range_of(keys, ranges), np.arange(ranges + 1))
-            rows = [(r, kind, keys[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes())
+            rows = [(r, kind, _planes(keys[a:b]), counts[a:b].astype(np.uint32).tobytes())
                     for r, (a, b) in enumerate(zip(bounds, bounds[1:])) if b > a]
             for i in range(0, len(rows), 64):
                 columns = list(zip(*rows[i:i + 64]))
@@ -203,49 +215,32 @@ def _gathered(batch_rows: pa.Table) -> dict[bool, tuple[np.ndarray, np.ndarray]]
     kinds = np.asarray(batch_rows.column("pairs"))
     for kind in (False, True):
         rows = batch_rows.filter(pa.array(kinds == kind))
-        keys = np.frombuffer(b"".join(rows.column("keys").to_pylist()), U64)
+        keys = np.concatenate([np.zeros(0, U64), *map(_keys, rows.column("keys").to_pylist())])
         counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.uint32).astype(np.int64)
         out[kind] = _added(keys, counts)
     return out
 
 
-_SUMS = "range int, word long, count long, keys binary, levels binary"
+_SUMS = "range int, word long, count long, bits long, part binary"
 _SUM_NAMES = [c.split()[0] for c in _SUMS.split(", ")]
 
 
 def _sums(table: pa.Table) -> pa.Table:
-    """Of one range: (word, count) for every word, and the pairs with their levels."""
+    """Of one range: (word, count) for every word, and the filter of its words and pairs at
+    every level. Pairs are needed for nothing else and are not kept."""
     number = table.column("range")[0].as_py()
     found = _gathered(table)
     (words, counts), (grams, times) = found[False], found[True]
-    levels = level(times) if len(times) else np.zeros(0, np.int64)
-    rows = len(words) + 1
-    empty = [None] * rows
-
-    def column(values, start, kind):
-        out = list(empty)
-        out[start:start + len(values)] = values
-        return pa.array(out, kind)
-
-    return pa.Table.from_arrays([
-        pa.array([number] * rows, pa.int32()), column(words.astype(np.int64).tolist(), 0, pa.int64()),
-        column(counts.tolist(), 0, pa.int64()), column([grams.tobytes()], rows - 1, pa.binary()),
-        column([levels.astype(np.uint8).tobytes()], rows - 1, pa.binary())], names=_SUM_NAMES)
-
-
-def _filter_part(table: pa.Table) -> pa.Table:
-    """(range, bits, part): the filter of a range, of its words and pairs at every level."""
-    number = table.column("range")[0].as_py()
-    words, counts = table.column("word"), table.column("count")
-    words, counts = (np.asarray(c.drop_null()) for c in (words, counts))
-    grams = np.frombuffer(table.column("keys").drop_null()[0].as_buffer(), U64)
-    levels = np.frombuffer(table.column("levels").drop_null()[0].as_buffer(), np.uint8).astype(np.int64)
-    grams = np.concatenate((words.astype(U64), grams))
-    levels = np.concatenate((level(counts) if len(counts) else np.zeros(0, np.int64), levels))
+    levels = level(np.concatenate((counts, times)))
     bits = max(int(levels.sum()) * ENTRY_BITS // 64 * 64, 64)
-    return pa.Table.from_arrays(
-        [pa.array([number], pa.int32()), pa.array([bits], pa.int64()), pa.array([part_of(grams, levels, bits).tobytes()], pa.binary())],
-        names=["range", "bits", "part"])
+    part = part_of(np.concatenate((words, grams)), levels, bits).tobytes()
+    rows = len(words)
+    return pa.Table.from_arrays([
+        pa.array(np.full(rows + 1, number, np.int32)),
+        pa.concat_arrays([pa.array(words.astype(np.int64)), pa.nulls(1, pa.int64())]),
+        pa.concat_arrays([pa.array(counts.astype(np.int64)), pa.nulls(1, pa.int64())]),
+        pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array([bits], pa.int64())]),
+        pa.concat_arrays([pa.nulls(rows, pa.binary()), pa.array([part], pa.binary())])], names=_SUM_NAMES)
 
 
 def learn(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame | None]:
@@ -260,7 +255,7 @@ def learn(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame | None]:
     sums = written(counted.groupBy("range").applyInArrow(_sums, _SUMS), "lm-counts")
     words = sums.where("word is not null").select("word", "count")
     total, distinct = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
-    parts = written(sums.groupBy("range").applyInArrow(_filter_part, "range int, bits long, part binary"), "lm-filter")
+    parts = sums.where("part is not null").select("range", "bits", "part")
     large = (parts.agg(F.sum("bits")).first()[0] or 0) > MOST_BITS
     sizes, start = np.zeros(ranges, np.int64), np.zeros(ranges, np.int64)
     bits, at = np.zeros(1, np.uint8), 0
@@ -367,33 +362,25 @@ def _scored(held):
 
 # --- scoring by a filter that is too large for a task ----------------------------
 
-_ASKED = "chunk long, row long, doc_id long, held_out boolean, text string, range int, words binary, pairs binary"
-_ASKED_NAMES = [c.split()[0] for c in _ASKED.split(", ")]
+def _stream(texts: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of some texts and their bounds."""
+    streams, ends = [], [np.zeros(1, np.int64)]
+    for _, stream, bounds in tokens(texts.column("text").combine_chunks()):
+        streams.append(stream)
+        ends.append(bounds[1:] + ends[-1][-1])
+    return np.concatenate(streams), np.concatenate(ends)
 
 
 def _asked(ranges: int):
-    """The texts in chunks, and the distinct words and pairs of a chunk for each range."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            for first, stream, bounds in tokens(batch.column("text")):
-                n = len(bounds) - 1
-                part = batch.slice(first, n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, row)), pa.array(row + np.arange(n)), part.column("doc_id").cast(pa.int64()),
-                     part.column("held_out"), part.column("text").cast(pa.string()), pa.nulls(n, pa.int32()),
-                     pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], _ASKED_NAMES)
-                grams = [np.unique(stream), np.unique(pairs(stream, bounds)[0])]
-                cuts = [np.searchsorted(range_of(g, ranges), np.arange(ranges + 1)) for g in grams]
-                used = np.flatnonzero((np.diff(cuts[0]) > 0) | (np.diff(cuts[1]) > 0))
-                blobs = [pa.array([g[c[r]:c[r + 1]].tobytes() for r in used], pa.binary()) for g, c in zip(grams, cuts)]
-                m = len(used)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(m, row)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()),
-                     pa.nulls(m, pa.string()), pa.array(used.astype(np.int32)), *blobs], _ASKED_NAMES)
-                row += n
+    """The distinct words and pairs of a chunk of texts for each range."""
+    def run(texts: pa.Table) -> pa.Table:
+        stream, bounds = _stream(texts)
+        grams = [np.unique(stream), np.unique(pairs(stream, bounds)[0])]
+        cuts = [np.searchsorted(range_of(g, ranges), np.arange(ranges + 1)) for g in grams]
+        used = np.flatnonzero((np.diff(cuts[0]) > 0) | (np.diff(cuts[1]) > 0))
+        blobs = [pa.array([_planes(g[c[r]:c[r + 1]]) for r in used], pa.binary()) for g, c in zip(grams, cuts)]
+        chunk = pa.array(np.full(len(used), texts.column("chunk")[0].as_py(), np.int64))
+        return pa.Table.from_arrays([chunk, pa.array(used.astype(np.int32)), *blobs], names=["chunk", "range", "words", "pairs"])
 
     return run
 
@@ -403,7 +390,7 @@ def _answered(asked: pa.Table, parts: pa.Table) -> pa.Table:
     out = []
     for name in ("words", "pairs"):
         blobs = asked.column(name).to_pylist()
-        grams, levels = np.frombuffer(b"".join(blobs), U64), b""
+        grams = np.concatenate([np.zeros(0, U64), *map(_keys, blobs)])
         if len(parts):
             size = np.full(len(grams), parts.column("bits")[0].as_py(), np.int64)
             bits = np.frombuffer(parts.column("part")[0].as_buffer(), np.uint8)
@@ -422,26 +409,24 @@ def _scored_chunk(held):
         answers = answers.sort_by("range")
         # Ranges follow the hashes, so the answers stand in the order of the n-grams.
         found = [np.frombuffer(b"".join(answers.column(c).to_pylist()), np.uint8).astype(np.int64) for c in ("words", "pairs")]
-        texts = texts.combine_chunks()
-        streams, ends = [], [np.zeros(1, np.int64)]
-        for _, stream, bounds in tokens(texts.column("text")):
-            streams.append(stream)
-            ends.append(bounds[1:] + ends[-1][-1])
-        part = texts.to_batches()[0]
-        return pa.Table.from_batches(list(_rows(
-            held.value, part, np.asarray(part.column("row")), np.concatenate(streams), np.concatenate(ends), lambda words, grams: found)))
+        stream, bounds = _stream(texts)
+        part = texts.combine_chunks().to_batches()[0]
+        names = (texts.column("chunk")[0].as_py() << 40) + np.arange(texts.num_rows)
+        return pa.Table.from_batches(list(_rows(held.value, part, names, stream, bounds, lambda words, grams: found)))
 
     return run
 
 
 def _by_shuffle(texts: DataFrame, held, parts: DataFrame, ranges: int) -> DataFrame:
-    asked = written(texts.mapInArrow(_asked(ranges), _ASKED), "lm-asked")
-    questions = asked.where("range is not null").select("chunk", "range", "words", "pairs")
-    answers = questions.groupBy("range").cogroup(
-        parts.join(questions.select("range").distinct(), "range", "left_semi").groupBy("range")).applyInArrow(
+    """Texts are dealt to chunks by their content, so that a chunk is the same whenever it
+    is read; the questions and the scores read one and the same shuffle of them, and
+    neither texts nor questions are written."""
+    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(CHUNKS * ranges)).alias("chunk")
+    texts = texts.select(chunk, "doc_id", "held_out", "text").groupBy("chunk")
+    questions = texts.applyInArrow(_asked(ranges), "chunk long, range int, words binary, pairs binary")
+    answers = questions.groupBy("range").cogroup(parts.groupBy("range")).applyInArrow(
         _answered, "chunk long, range int, words binary, pairs binary")
-    texts = asked.where("range is null").select("chunk", "row", "doc_id", "held_out", "text")
-    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scored_chunk(held), _SCORED)
+    return texts.cogroup(answers.groupBy("chunk")).applyInArrow(_scored_chunk(held), _SCORED)
 
 
 def score(docs: DataFrame) -> DataFrame:
