@@ -55,6 +55,16 @@ def test_transducer_emits_early_and_stays_small(encoder):
     assert max(len(pending) for state in machine.states for _, pending in state) < 40
 
 
+def test_states_do_not_depend_on_far_tokens(encoder, reference):
+    machine = encoder.transducer
+    machine._clear()
+    rnd = random.Random(5)
+    for _ in range(300):
+        piece = "".join(rnd.choice(["tion", "ent", "er", "ing"]) for _ in range(8))
+        assert machine.encode(piece.encode()) == reference.encode_ordinary(piece)
+    assert max(len(pending) for state in machine.states for _, pending in state) <= 1
+
+
 def test_results_do_not_depend_on_kept_tables(reference, monkeypatch):
     monkeypatch.setattr(byte_bpe, "KEPT_PIECES", 3)
     monkeypatch.setattr(byte_bpe, "KEPT_STATES", 20)

@@ -4,11 +4,12 @@ Encoding. After any prefix of a piece of text the merges give one token sequence
 sequence is the result of the merges exactly if every two neighbours are what the merges
 make of their joined bytes. So tokens can be read left to right by a transducer: it
 follows, at once, every token that may still be growing (a place in the prefix tree of
-the vocabulary) together with the tokens that would stand before it. Such a set is one
+the vocabulary) together with the token that would stand before it. Such a set is one
 deterministic state. States and their byte transitions are made when they are first
-needed and kept. Whatever all alternatives of a state have in common before their last
-token is emitted at once and forgotten, so a token leaves as soon as no growing token
-can change it, and the state stays bounded on a piece of any length.
+needed and kept. Of what stands before a growing token a state holds the last token only,
+so it stays bounded on a piece of any length and the same one serves many pieces. Each
+move names the token that the prefix ends with there; from the end of the piece these
+lead back over its tokens.
 
 Decoding. Token bytes pass an incremental UTF-8 state machine that keeps the bytes of an
 unfinished character between chunks.
@@ -72,12 +73,13 @@ class Transducer:
         self._clear()
 
     def _clear(self) -> None:
-        # A state is a tuple of (tree node, pending tokens); the last one is at the root
-        # and holds what the prefix comes to if it ends here.
+        # A state is a tuple of (tree node, the token that stands before it or nothing); the
+        # last one is at the root and holds the token that the prefix ends with. States
+        # are multiples of 256, and a move goes from (state + byte).
         start = ((0, ()),)
         self.states = [start]
         self.number = {start: 0}
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
+        self.moves: dict[int, tuple[int, int]] = {}
 
     def merged(self, data: bytes, below: int | None = None) -> list[int]:
         """The merges in their order (those below a rank), on a few bytes: the
@@ -121,67 +123,88 @@ class Transducer:
             self.ends_of[left] = self._edge(left, 1)
         if right not in self.starts_of:
             self.starts_of[right] = self._edge(right, 0)
-        verdict, rank = True, self.ranks.get
-        for a, a_until in self.ends_of[left]:
-            for b, b_until in self.starts_of[right]:
-                joined = rank(a + b)
-                if joined is not None and joined < a_until and joined <= b_until:
-                    verdict = False
+        verdict = self._apart(self.ends_of[left], self.starts_of[right])
         self.verdicts[left << 32 | right] = verdict
         return verdict
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def _apart(self, ends: list[tuple[bytes, int]], starts: list[tuple[bytes, int]]) -> bool:
+        rank = self.ranks.get
+        for a, a_until in ends:
+            for b, b_until in starts:
+                joined = rank(a + b)
+                if joined is not None and joined < a_until and joined <= b_until:
+                    return False
+        return True
+
+    def _move(self, step: int) -> tuple[int, int]:
         # Alternatives stand in the order of where their growing token starts. Of the
         # tokens that end here, exactly one goes with what stands before it.
-        grown, whole, tree, known = [], None, self.tree.get, self.verdicts.get
-        for node, pending in self.states[state]:
+        grown, whole, tree, known = [], -1, self.tree.get, self.verdicts.get
+        byte = step & 255
+        for node, pending in self.states[step >> 8]:
             edge = tree(node + byte)
             if edge is None:
                 continue
             node, token, longer = edge
-            if whole is None and token >= 0:
-                if pending:
-                    verdict = known(pending[-1] << 32 | token)
+            if whole < 0 <= token:
+                verdict = True
+                for before in pending:
+                    verdict = known(before << 32 | token)
                     if verdict is None:
-                        verdict = self.stand(pending[-1], token)
-                    if verdict:
-                        whole = pending + (token,)
-                else:
-                    whole = (token,)
+                        verdict = self.stand(before, token)
+                if verdict:
+                    whole = token
             if longer:
                 grown.append((node, pending))
-        # All alternatives may share a beginning; but for its last token it can leave.
-        done = len(whole) - 1
-        for _, pending in grown:
-            if done < 1:
-                break
-            done = min(done, len(pending) - 1)
-            while done > 0 and pending[:done + 1] != whole[:done + 1]:
-                done -= 1
-        grown.append((0, whole))
-        if done > 0:
-            grown = [(node, pending[done:]) for node, pending in grown]
+        grown.append((0, (whole,)))
         made = tuple(grown)
         number = self.number.get(made)
         if number is None:
-            number = self.number[made] = len(self.states)
+            number = self.number[made] = len(self.states) << 8
             self.states.append(made)
-            self.moves.append({})
-        move = number, whole[:max(done, 0)]
-        self.moves[state][byte] = move
+        move = self.moves[step] = number, whole
         return move
 
+    def _end(self, step: int) -> int:
+        """The token that the piece ends with; no state is made for what does not go on."""
+        move = self.moves.get(step)
+        if move is not None:
+            return move[1]
+        tree, known, byte = self.tree.get, self.verdicts.get, step & 255
+        for node, pending in self.states[step >> 8]:
+            edge = tree(node + byte)
+            if edge is None or edge[1] < 0:
+                continue
+            verdict, token = True, edge[1]
+            for before in pending:
+                verdict = known(before << 32 | token)
+                if verdict is None:
+                    verdict = self.stand(before, token)
+            if verdict:
+                return token
+        raise AssertionError("a single byte always stands")
+
     def encode(self, piece: bytes) -> list[int]:
-        out: list[int] = []
+        if not piece:
+            return []
         if len(self.states) >= KEPT_STATES:
             self._clear()
-        state, moves = 0, self.moves
-        for byte in piece:
-            move = moves[state].get(byte) or self._move(state, byte)
-            state, done = move
-            if done:
-                out.extend(done)
-        return out + list(self.states[state][-1][1])
+        state, moves, last = 0, self.moves, []
+        for byte in piece[:-1]:
+            try:
+                state, token = moves[state + byte]
+            except KeyError:
+                state, token = self._move(state + byte)
+            last.append(token)
+        last.append(self._end(state + piece[-1]))
+        # Back from the end: each prefix names the token it ends with.
+        out, at, tokens = [], len(last), self.tokens
+        while at:
+            token = last[at - 1]
+            out.append(token)
+            at -= len(tokens[token])
+        out.reverse()
+        return out
 
 
 class Encoder:
