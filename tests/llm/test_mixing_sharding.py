@@ -58,6 +58,19 @@ def test_mixing_hot_source_near_target(spark):
         assert abs(r.n - r.t) < 80
 
 
+def test_mixing_shuffles_the_texts_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        mixed = mixing.mix(frame(spark))
+        plan = mixed._jdf.queryExecution().executedPlan().toString()
+        # One exchange of the texts, for window and join, and one of the table of blocks.
+        assert plan.count("Exchange hashpartitioning(") == 2
+        want = sum(r.copies for r in mixing.copies(frame(spark)).collect())
+        assert mixed.count() == want > 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_mixing_without_words_and_empty(spark):
     assert mixing.copies(spark.createDataFrame([], SCHEMA)).count() == 0
     empty = [(1, "", None, "a", 0), (2, None, None, None, None)]

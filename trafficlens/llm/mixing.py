@@ -74,6 +74,9 @@ def _placed(docs: DataFrame, weights: tuple[int, ...], most: float, seed: str) -
     digest = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("text")))
     rows = docs.withColumns({"__size": n_words(text_of()), "__digest": digest})
     rows = rows.withColumn("__block", F.pmod(F.conv(F.substring("__digest", 1, 4), 16, 10).cast("int"), F.lit(SPREAD)))
+    # A null source as two plain columns: the window and the join below have the same keys
+    # then, and the texts are shuffled once for both.
+    rows = rows.withColumns({"__named": F.coalesce(F.col("source"), F.lit("")), "__nameless": F.col("source").isNull()})
     counts = rows.groupBy("source", "__size", "__block").agg(F.count("*").alias("n"))
     counts = written(counts, "mixing-counts")
     sizes = counts.groupBy("source", "__size").agg(F.sum("n").alias("n"))
@@ -85,17 +88,17 @@ def _placed(docs: DataFrame, weights: tuple[int, ...], most: float, seed: str) -
     equal = Window.partitionBy("source", "__size").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     plan = counts.withColumn("__equal", F.coalesce(F.sum("n").over(equal), F.lit(0)))
     plan = plan.join(shorter, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__n")))
-    plan = plan.select(
-        F.col("source").alias("__s"), F.col("__size").alias("__n"), F.col("__block").alias("__b"),
-        (F.col("__shorter") + F.col("__equal")).alias("__first"))
+    plan = plan.select("source", "__size", "__block", (F.col("__shorter") + F.col("__equal")).alias("__first"))
     targets = targets.select(
         F.col("source").alias("__t"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
-    plan = written(plan.join(targets, F.col("__s").eqNullSafe(F.col("__t"))).drop("__t"), "mixing-plan")
-
-    inside = Window.partitionBy("source", "__size", "__block").orderBy("doc_id", "__digest")
-    rows = rows.withColumn("__place", F.row_number().over(inside))
-    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__n"))
-                     & (F.col("__block") == F.col("__b")))
+    plan = plan.join(targets, F.col("source").eqNullSafe(F.col("__t"))).select(
+        F.coalesce(F.col("source"), F.lit("")).alias("__named"), F.col("source").isNull().alias("__nameless"),
+        "__size", "__block", "__first", "__source_size", "__target")
+    plan = written(plan, "mixing-plan")
+
+    block = ["__named", "__nameless", "__size", "__block"]
+    rows = rows.withColumn("__place", F.row_number().over(Window.partitionBy(*block).orderBy("doc_id", "__digest")))
+    rows = rows.join(plan, block)
     share = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
     place, start = F.col("__first") + F.col("__place"), offset(F.col("source"), seed)
     crossed = F.floor(place * share + start) - F.floor((place - 1) * share + start)
