@@ -53,13 +53,19 @@ def _words(text: str) -> list[str]:
 #: Signs that no token joins with letters or digits; an apostrophe may begin an ending.
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _PLAIN = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+#: Letters for which lower case is all that the library does before its merges.
+_letters = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+#: Runs of letters that are encoded in one call.
+TOGETHER = 1000
 
 
 def _parts(word: str) -> tuple[str, ...]:
     """A word, or what stands before its closing signs and those; case does not count."""
+    if word.isalpha() and word.isascii():
+        return (word.lower(),)
     stem = word.rstrip(_SIGNS)
     parts = (stem, word[len(stem):]) if stem and len(stem) < len(word) and stem[-1] in _PLAIN else (word,)
-    return tuple(p.lower() if p.isascii() else p for p in parts)
+    return tuple(p.lower() if p.isascii() or _letters(p) else p for p in parts)
 
 
 class Encoder:
@@ -68,6 +74,7 @@ class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         # Special strings are cut out before words are made, as the library does with raw
@@ -78,6 +85,13 @@ class Encoder:
         self.type = id_type(self.tokenizer.get_vocab_size(with_added_tokens=True))
         self.code = "H" if self.type == "<u2" else "I"
         self.special = {text: np.array([i], self.type).tobytes() for text, i in added.items()}
+        # The same merges behind a split at spaces, for runs of letters in lower case. The
+        # vocabulary marks the ends of runs, at each run's last id only.
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.merges, self.ends = Tokenizer(self.tokenizer.model), np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.merges.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if suffix else ():
+            self.ends[i] = token.endswith(suffix)
         self.parts: dict[str, bytes] = {}
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -85,10 +99,24 @@ class Encoder:
     def _learn(self, parts: set[str]) -> None:
         if len(self.parts) > KEPT_WORDS:
             self.parts = {p: self.parts[p] for p in parts if p in self.parts}
+        parts = parts.difference(self.parts)
+        runs = [p for p in parts if _letters(p)]
+        for i in range(0, len(runs), TOGETHER):
+            self._learn_together(runs[i:i + TOGETHER])
         parts = list(parts.difference(self.parts))
         for part, encoding in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)):
             self.parts[part] = array(self.code, encoding.ids).tobytes()
 
+    def _learn_together(self, runs: list[str]) -> None:
+        """Runs of letters as one text, cut at the ids that end a run. If those are not one
+        for each, nothing is learned here."""
+        [encoding] = self.merges.encode_batch_fast([" ".join(runs)], add_special_tokens=False)
+        ids = np.array(encoding.ids, self.type)
+        cuts = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
+        if len(cuts) == len(runs) and cuts[-1] == ids.nbytes:
+            data = ids.tobytes()
+            self.parts.update(zip(runs, [data[a:b] for a, b in zip([0, *cuts], cuts)]))
+
     def _split(self, text: str) -> list[str]:
         """Words and special strings; no word holds one of those."""
         if not any(s in text for s in self.special):
@@ -106,7 +134,7 @@ class Encoder:
         split = [_parts(w) for w in new]
         self._learn(set().union(*split))
         for word, parts in zip(new, split):
-            made[word] = b"".join([self.parts[p] for p in parts])
+            made[word] = self.parts[parts[0]] if len(parts) == 1 else b"".join([self.parts[p] for p in parts])
         if len(self.kept) + len(made) > KEPT_WORDS:
             # The words of these texts go over to the new table.
             made.update((w, self.kept[w]) for w in every.difference(wanted))
