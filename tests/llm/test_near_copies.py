@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import re
 
@@ -112,6 +113,40 @@ def test_jaccard_join_equals_force(spark, rows, monkeypatch):
     assert got == by_force(rows)
 
 
+def copies_of_one(n=120, seed=7):
+    """Copies of one text, each with three of eight places changed: two copies are alike
+    enough if they share a place, so the smallest one is not linked with all others."""
+    rnd, rows = random.Random(seed), []
+    for i in range(n):
+        words = [f"w{k}" for k in range(200)]
+        for place in rnd.sample(range(8), 3):
+            words[10 + 20 * place] = f"new{i}x{place}"
+        rows.append((i + 1, " ".join(words), None, None, None))
+    return rows
+
+
+@pytest.mark.parametrize("chunk", [16])
+def test_jaccard_moves_only_tiles_that_need_it(spark, monkeypatch, chunk):
+    """Bitmaps go to classes with another one in their size band, and are gone in the end."""
+    monkeypatch.setattr(J, "CHUNK", chunk)
+    far = [(1000 + i, " ".join(f"w{k}" for k in range(6 + 40 * i)), None, None, None) for i in range(4)]
+    rows, listed, real = copies_of_one() + far, [], J.Scratch.written
+
+    def noted(self, df, name):
+        out = real(self, df, name)
+        if name == "jaccard-tiles":
+            sizes = [[c.size for c in r.classes] for r in out.select("classes").collect()]
+            listed.append((self.paths[-1], sizes))
+        return out
+
+    monkeypatch.setattr(J.Scratch, "written", noted)
+    got = sorted((tuple(r) for r in J.link(frame(spark, rows)).collect()), key=str)
+    assert got == by_force(rows)
+    [(path, sizes)] = listed
+    assert not os.path.exists(path.removeprefix("file:")), path
+    assert sizes and not {2, 42, 82} & {x for part in sizes for x in part}, sizes
+
+
 def test_jaccard_keeps_one_of_each(spark):
     docs = frame(spark, extra="row __class")
     kept = J.one_of_each(docs)

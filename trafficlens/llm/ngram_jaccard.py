@@ -321,25 +321,32 @@ def _joined(meetings: DataFrame, links: DataFrame) -> DataFrame:
     return meetings.join(groups, "class", "left").withColumn("joined", F.coalesce("joined", "class"))
 
 
-def _remaining(meetings: DataFrame, classes: DataFrame) -> DataFrame:
+def _remaining(meetings: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b) of classes in different components that meet and may be alike enough."""
     here = Window.partitionBy("shingle")
     rows = meetings.withColumn("__several", F.min("joined").over(here) != F.max("joined").over(here))
     rows = rows.withColumn("__lead", F.min(F.struct("size", "class")).over(here)).where("__several")
     # Most meeting points of a tile hold the same classes.
-    rows = rows.select(F.col("__lead.class").alias("tile"), "class", "joined").dropDuplicates(["tile", "class"])
-    rows = rows.join(classes.select("class", "size", "bits"), "class")
-    place = F.row_number().over(Window.partitionBy("tile").orderBy("size", "class")) - 1
-    rows = rows.withColumn("chunk", F.floor(place / CHUNK))
+    rows = rows.select(F.col("__lead.class").alias("tile"), "class", "size", "joined").dropDuplicates(["tile", "class"])
+    # Without another one in the size band a class has no pair here; bitmaps go only to the others.
+    by_size, tile = Window.partitionBy("tile").orderBy("size", "class"), Window.partitionBy("tile")
+    # Beyond either end of a tile stands 0, which is in no band.
+    beside = [_compatible("size", f("size", 1, 0).over(by_size)) for f in (F.lag, F.lead)]
+    rows = rows.withColumn("__beside", beside[0] | beside[1]).where("__beside").drop("__beside")
+    rows = rows.withColumns({
+        "chunk": F.floor((F.row_number().over(by_size) - 1) / CHUNK),
+        "chunks": F.floor((F.count("*").over(tile) - 1) / CHUNK)})
+    rows = rows.join(classes.select("class", "bits"), "class")
     # At most CHUNK classes a list.
-    lists = rows.groupBy("tile", "chunk").agg(
+    lists = rows.groupBy("tile", "chunk", "chunks").agg(
         F.sort_array(F.collect_list(F.struct("size", "class", "joined", "bits"))).alias("classes"),
         F.min("size").alias("low"), F.max("size").alias("high"))
-    lists = written(lists, "jaccard-tiles")
+    lists = scratch.written(lists, "jaccard-tiles")
     same = lists.select(F.col("classes").alias("left"), F.slice("classes", 1, 0).alias("right"), F.lit(True).alias("same"))
     later = lists.where("chunk > 0").select(
         "tile", F.col("chunk").alias("chunk_b"), F.col("classes").alias("right"), F.col("low").alias("low_b"))
-    across = lists.join(later, "tile").where(
+    # Only tiles of several chunks are moved for that.
+    across = lists.where("chunks > 0").join(later, "tile").where(
         (F.col("chunk") < F.col("chunk_b")) & (LEAST[1] * F.col("high") >= LEAST[0] * F.col("low_b")))
     across = across.select(F.col("classes").alias("left"), "right", F.lit(False).alias("same"))
     return same.unionByName(across).mapInArrow(_tiles, "a long, b long").distinct()
@@ -357,8 +364,10 @@ def classes_joined(texts: DataFrame, classes: DataFrame, repeated: DataFrame) ->
         one = _joined(parted, links).groupBy("shingle", "joined").agg(F.min(F.struct("size", "class")).alias("one"))
         one = one.select("shingle", "one.class", "one.size", F.lit(-1).alias("salt"))
         links = links.unionByName(_links(_best_leads(_stars(one, "shingle")), texts, classes))
-    rest = _remaining(_joined(met.select("shingle", "class", "size"), links), classes)
+    scratch = Scratch()
+    rest = _remaining(_joined(met.select("shingle", "class", "size"), links), classes, scratch)
     links = links.unionByName(_links(rest, texts, classes, bounded=True))
+    scratch.clear()
     return components(links).select(F.col("id").alias("class"), F.col("component").alias("joined"))
 
 
