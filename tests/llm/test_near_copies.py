@@ -147,6 +147,45 @@ def test_jaccard_moves_only_tiles_that_need_it(spark, monkeypatch, chunk):
     assert sizes and not {2, 42, 82} & {x for part in sizes for x in part}, sizes
 
 
+@pytest.mark.parametrize("chunk", [512, 16])
+def test_jaccard_links_of_a_large_group_do_not_grow_with_its_square(spark, monkeypatch, chunk):
+    """The links that are written join the group, and are not all links of it."""
+    monkeypatch.setattr(J, "CHUNK", chunk)
+    rows, made, real = copies_of_one(), [], J.written
+    all_links = sum(4 * len(a & b) >= 3 * len(a | b) for i, a in enumerate(map(shingles, (r[1] for r in rows)))
+                    for b in map(shingles, (r[1] for r in rows[:i])))
+
+    def noted(df, name):
+        out = real(df, name)
+        if name == "jaccard-links":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(J, "written", noted)
+    got = sorted((tuple(r) for r in J.link(frame(spark, rows)).collect()), key=str)
+    assert got == by_force(rows)
+    assert all_links > 1800 and sum(made) <= 6 * len(rows), (all_links, made)
+
+
+def test_jaccard_joining_links_of_a_tile():
+    """Links that join what all links join, behind what is joined already, few of them compared."""
+    rng, base = np.random.default_rng(4), np.arange(1, 401, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((rng.choice(base, 350, replace=False), rng.integers(1 << 40, 1 << 50, rng.integers(0, 12), dtype=np.uint64))))
+            for _ in range(60)]
+    sets += [base + np.uint64(1000), base[20:] + np.uint64(1000), base + np.uint64(9000)]
+    n = len(sets)
+    i, j = np.triu_indices(n, 1)
+    every = [(a, b) for a, b in zip(i.tolist(), j.tolist()) if J.alike(sets[a], sets[b])]
+    assert len(every) > 500
+    for before in (np.arange(n), np.where(np.arange(n) < 30, 0, np.arange(n))):
+        joined = before.copy()
+        links = J.joining_links(sets, i, j, joined)
+        want = groups(n, every + [(int(x), k) for k, x in enumerate(before)])
+        assert set(links) <= set(every) and len(links) == len(set(before)) - len(set(want))
+        assert groups(n, links + [(int(x), k) for k, x in enumerate(before)]) == want
+        assert len(set(zip(joined.tolist(), want))) == len(set(want)) == len(set(joined.tolist()))
+
+
 def test_jaccard_keeps_one_of_each(spark):
     docs = frame(spark, extra="row __class")
     kept = J.one_of_each(docs)

@@ -11,7 +11,10 @@ each group; then only classes that are not joined yet. For that, meeting points
 same smallest class form one tile: its classes by size, cut into chunks, and only chunks
 within the size band of each other are compared. Each class brings a bitmap of its hashed
 shingles: those whose bit is missing in the other one bound the overlap from above, by
-counting bits. What is left is decided by the intersection of the sorted sets.
+counting bits. Classes that are left with a pair come to their tile once more, with their
+sorted sets, whose intersection decides. There the likeliest pairs go first, and a pair
+that other links have joined meanwhile is not compared: a tile gives the links that join
+its classes, fewer than it has classes, and not all links between them.
 
 Shingles are 64-bit hashes of five words (two different ones agree with a chance of
 about 2^-60), a class is a 64-bit hash of its set. Sets are made anew from the text
@@ -43,8 +46,11 @@ WORDS, LEAST = 5, (3, 4)
 FEWEST_BITS, MOST_BITS = 512, 65536
 #: Words of 64 bits that a tile compares at once.
 _AT_ONCE = 1 << 21
-#: Classes in a chunk of a tile.
-CHUNK = 512
+#: Classes in a chunk of a tile, and shingles of a chunk that holds sets (one more set may
+#: lie across its end).
+CHUNK, CHUNK_SHINGLES = 512, 1 << 19
+#: Pairs of a tile that are compared before those joined meanwhile are left out.
+_IN_TURN = 256
 #: The most shingles that are put last because they are frequent, and the documents
 #: (as counted within batches) that make one frequent.
 FREQUENT, FREQUENT_DOCS = 1 << 20, 16
@@ -187,13 +193,13 @@ def _folded(bits: list[bytes], width: int) -> np.ndarray:
     return out
 
 
-def room_for(bits_a: list[bytes], bits_b: list[bytes], n, m, i, j) -> np.ndarray:
-    """Which of the pairs (i of a, j of b), of sets of n[i] and m[j], may overlap enough.
+def most_shared(bits_a: list[bytes], bits_b: list[bytes], n, m, i, j) -> np.ndarray:
+    """How many shingles the pairs (i of a, j of b), of sets of n[i] and m[j], share at most.
 
     A set bit that the other bitmap lacks is a shingle that the other set lacks.
     """
     wide_a, wide_b = (np.array([len(x) * 8 for x in bits]) for bits in (bits_a, bits_b))
-    both, good = np.minimum(wide_a[i], wide_b[j]), np.zeros(len(i), bool)
+    both, most = np.minimum(wide_a[i], wide_b[j]), np.zeros(len(i), np.int64)
     for width in np.unique(both):
         at = np.flatnonzero(both == width)
         rows, x = np.unique(i[at], return_inverse=True)
@@ -203,11 +209,30 @@ def room_for(bits_a: list[bytes], bits_b: list[bytes], n, m, i, j) -> np.ndarray
         for first in range(0, len(at), step):
             here = at[first:first + step]
             p, q = a[x[first:first + step]], b[y[first:first + step]]
-            most = np.minimum(n[i[here]] - np.bitwise_count(p & ~q).sum(1, dtype=np.int64),
-                              m[j[here]] - np.bitwise_count(q & ~p).sum(1, dtype=np.int64))
-            # overlap / (n + m - overlap) >= LEAST
-            good[here] = most * (LEAST[0] + LEAST[1]) >= LEAST[0] * (n[i[here]] + m[j[here]])
-    return good
+            most[here] = np.minimum(n[i[here]] - np.bitwise_count(p & ~q).sum(1, dtype=np.int64),
+                                    m[j[here]] - np.bitwise_count(q & ~p).sum(1, dtype=np.int64))
+    return most
+
+
+def enough(shared, sizes):
+    """Whether so many shared shingles are enough for two sets of so many together."""
+    # shared / (sizes - shared) >= LEAST
+    return shared * (LEAST[0] + LEAST[1]) >= LEAST[0] * sizes
+
+
+def room_for(bits_a: list[bytes], bits_b: list[bytes], n, m, i, j) -> np.ndarray:
+    """Which of the pairs (i of a, j of b), of sets of n[i] and m[j], may overlap enough."""
+    return enough(most_shared(bits_a, bits_b, n, m, i, j), n[i] + m[j])
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets overlap enough."""
+    both = np.sort(np.concatenate((x, y)))
+    return bool(enough(int(np.count_nonzero(both[1:] == both[:-1])), len(both)))
+
+
+def _sets(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), "<u8") for x in column]
 
 
 def _class_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,12 +256,7 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        good = []
-        for x, y in zip(batch.column("shingles_a"), batch.column("shingles_b")):
-            x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-            both = np.sort(np.concatenate((x, y)))
-            shared = int(np.count_nonzero(both[1:] == both[:-1]))
-            good.append(LEAST[1] * shared >= LEAST[0] * (len(x) + len(y) - shared))
+        good = [alike(x, y) for x, y in zip(_sets(batch.column("shingles_a")), _sets(batch.column("shingles_b")))]
         yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
@@ -244,47 +264,99 @@ def _near(n, m):
     return (LEAST[1] * n >= LEAST[0] * m) & (LEAST[1] * m >= LEAST[0] * n)
 
 
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b): pairs of two chunks within the size band, not joined yet, whose bitmaps
-    leave room for enough overlap."""
+def _classes_of(batch: pa.RecordBatch, row: int) -> tuple:
+    """(size, class, joined, held) of two chunks, one behind the other, and where the second
+    one begins."""
+    sides = [batch.column("left")[row].values, batch.column("right")[row].values]
+    columns = [np.concatenate([np.asarray(s.field(k)) for s in sides]) for k in ("size", "class", "joined")]
+    return columns[0].astype(np.int64), *columns[1:], pa.concat_arrays([s.field("held") for s in sides]), len(sides[0])
+
+
+def _pairs_of(size: np.ndarray, joined: np.ndarray, left: slice, right: slice) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): the pairs of two chunks, or of one, within the size band and not joined yet."""
+    near = _near(size[left, None], size[right]) & (joined[left, None] != joined[right])
+    i, j = np.nonzero(np.triu(near, 1) if left == right else near)
+    return i + (left.start or 0), j + (right.start or 0)
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(tile, class, size, joined): classes with a pair in two chunks whose bitmaps leave
+    room for enough overlap."""
     for batch in batches:
-        left, right, same = (batch.column(c) for c in ("left", "right", "same"))
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for row, alone in enumerate(np.asarray(same)):
-            n, a, g = (np.asarray(left[row].values.field(k)) for k in ("size", "class", "joined"))
-            m, b, h = (np.asarray(right[row].values.field(k)) for k in ("size", "class", "joined")) if not alone else (n, a, g)
-            near = _near(n[:, None], m) & (g[:, None] != h)
-            if alone:
-                near &= np.triu(np.ones(near.shape, bool), 1)
-            i, j = np.nonzero(near)
+        for row in range(batch.num_rows):
+            size, name, joined, bits, first = _classes_of(batch, row)
+            left, right = slice(first), slice(first, None)
+            i, j = _pairs_of(size, joined, left, left if first == len(size) else right)
             if not len(i):
                 continue
-            x = left[row].values.field("bits").to_pylist()
-            y = x if alone else right[row].values.field("bits").to_pylist()
-            good = room_for(x, y, n, m, i, j)
-            found.append((a[i[good]], b[j[good]]))
-        if found:
-            a, b = (np.concatenate(c) for c in zip(*found))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-
-def _links(pairs: DataFrame, texts: DataFrame, classes: DataFrame, bounded: bool = False) -> DataFrame:
-    """Of pairs of classes, those that are alike enough; ``bounded`` ones have been held
-    to their bitmaps."""
-    scratch = Scratch()
-    if not bounded:
-        def side(name: str) -> DataFrame:
-            return classes.select(F.col("class").alias(name), F.col("size").alias(f"size_{name}"), F.col("bits").alias(f"bits_{name}"))
+            bits = bits.to_pylist()
+            good = room_for(bits, bits, size, size, i, j)
+            k = np.union1d(i[good], j[good])
+            tile = np.full(len(k), batch.column("tile")[row].as_py(), np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(tile), pa.array(name[k]), pa.array(size[k].astype(np.int32)), pa.array(joined[k])],
+                ["tile", "class", "size", "joined"])
+
+
+def joining_links(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, joined: np.ndarray) -> list[tuple[int, int]]:
+    """Of the pairs (i, j) of sets, links that join what all links between them join, and
+    ``joined`` does not yet; it is brought up to date. The likeliest pairs go first."""
+    if not len(i):
+        return []
+    size, bits = np.array([len(x) for x in sets], np.int64), [bitmap(x) for x in sets]
+    most = most_shared(bits, bits, size, size, i, j)
+    order = np.argsort(-most / (size[i] + size[j]), kind="stable")
+    order = order[enough(most, size[i] + size[j])[order]]
+    i, j, links = i[order], j[order], []
+    while len(i):
+        for x, y in zip(i[:_IN_TURN].tolist(), j[:_IN_TURN].tolist()):
+            if joined[x] != joined[y] and alike(sets[x], sets[y]):
+                links.append((x, y))
+                joined[joined == joined[y]] = joined[x]
+        i, j = i[_IN_TURN:], j[_IN_TURN:]
+        apart = joined[i] != joined[j]
+        i, j = i[apart], j[apart]
+    return links
 
-        pairs = scratch.written(pairs.select("a", "b"), "jaccard-pairs")
-        pairs = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded, "a long, b long")
-    pairs = scratch.written(pairs, "jaccard-near")
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): links that join the classes of a chunk; of two chunks, what links inside of
+    each do not join (those come from the chunk itself)."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            size, name, joined, held, first = _classes_of(batch, row)
+            sets, parts = _sets(held), [slice(first), slice(first, None)]
+            steps = [(x, x) for x in parts] + [tuple(parts)]
+            if first == len(size):
+                steps = steps[:1]
+            for step in steps:
+                links = joining_links(sets, *_pairs_of(size, joined, *step), joined)
+            if links:
+                a, b = (name[list(k)] for k in zip(*links))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def _sets_of_classes(wanted: DataFrame, texts: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(class, shingles) of the ``wanted`` classes, from the text of one row of each."""
     one = scratch.written(classes.select("class", "row").join(wanted, "class"), "jaccard-rows")
     if one.count() <= BROADCAST_ROWS:
         one = F.broadcast(one)
     chosen = texts.join(one, "row").select("class", "text").dropDuplicates(["class"])
-    rows = scratch.written(chosen.mapInArrow(_class_rows, "class long, shingles binary"), "jaccard-texts")
+    return scratch.written(chosen.mapInArrow(_class_rows, "class long, shingles binary"), "jaccard-texts")
+
+
+def _links(pairs: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of pairs of classes, those that are alike enough."""
+    scratch = Scratch()
+
+    def side(name: str) -> DataFrame:
+        return classes.select(F.col("class").alias(name), F.col("size").alias(f"size_{name}"), F.col("bits").alias(f"bits_{name}"))
+
+    pairs = scratch.written(pairs.select("a", "b"), "jaccard-pairs")
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded, "a long, b long")
+    pairs = scratch.written(pairs, "jaccard-near")
+    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+    rows = _sets_of_classes(wanted, texts, classes, scratch)
     near = pairs.join(rows.select(F.col("class").alias("a"), F.col("shingles").alias("shingles_a")), "a")
     near = near.join(rows.select(F.col("class").alias("b"), F.col("shingles").alias("shingles_b")), "b")
     links = written(near.mapInArrow(_verified, "a long, b long"), "jaccard-links")
@@ -321,35 +393,50 @@ def _joined(meetings: DataFrame, links: DataFrame) -> DataFrame:
     return meetings.join(groups, "class", "left").withColumn("joined", F.coalesce("joined", "class"))
 
 
-def _remaining(meetings: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b) of classes in different components that meet and may be alike enough."""
+def _chunk_pairs(rows: DataFrame, held: DataFrame, cost, most: int, scratch: Scratch, name: str) -> DataFrame:
+    """(tile, left, right, same): the classes of each tile by size, with what is held of
+    them (class, held), as pairs of chunks that have the size band in common. A chunk has
+    classes of a cost of ``most``."""
+    by_size, tile = Window.partitionBy("tile").orderBy("size", "class"), Window.partitionBy("tile")
+    before = F.sum(cost).over(by_size) - cost
+    rows = rows.withColumn("chunk", F.floor(before / most)).withColumn("chunks", F.max("chunk").over(tile))
+    lists = rows.join(held, "class").groupBy("tile", "chunk", "chunks").agg(
+        F.sort_array(F.collect_list(F.struct("size", "class", "joined", "held"))).alias("classes"),
+        F.min("size").alias("low"), F.max("size").alias("high"))
+    lists = scratch.written(lists, name)
+    same = lists.select("tile", F.col("classes").alias("left"), F.slice("classes", 1, 0).alias("right"), F.lit(True).alias("same"))
+    later = lists.where("chunk > 0").select(
+        "tile", F.col("chunk").alias("chunk_b"), F.col("classes").alias("right"), F.col("low").alias("low_b"))
+    # Only tiles of several chunks are moved for that.
+    across = lists.where("chunks > 0").join(later, "tile").where(
+        (F.col("chunk") < F.col("chunk_b")) & (LEAST[1] * F.col("high") >= LEAST[0] * F.col("low_b")))
+    return same.unionByName(across.select("tile", F.col("classes").alias("left"), "right", F.lit(False).alias("same")))
+
+
+def _remaining(meetings: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links that join the classes that meet and are in different components so far."""
+    scratch = Scratch()
     here = Window.partitionBy("shingle")
     rows = meetings.withColumn("__several", F.min("joined").over(here) != F.max("joined").over(here))
     rows = rows.withColumn("__lead", F.min(F.struct("size", "class")).over(here)).where("__several")
     # Most meeting points of a tile hold the same classes.
     rows = rows.select(F.col("__lead.class").alias("tile"), "class", "size", "joined").dropDuplicates(["tile", "class"])
     # Without another one in the size band a class has no pair here; bitmaps go only to the others.
-    by_size, tile = Window.partitionBy("tile").orderBy("size", "class"), Window.partitionBy("tile")
+    by_size = Window.partitionBy("tile").orderBy("size", "class")
     # Beyond either end of a tile stands 0, which is in no band.
     beside = [_compatible("size", f("size", 1, 0).over(by_size)) for f in (F.lag, F.lead)]
     rows = rows.withColumn("__beside", beside[0] | beside[1]).where("__beside").drop("__beside")
-    rows = rows.withColumns({
-        "chunk": F.floor((F.row_number().over(by_size) - 1) / CHUNK),
-        "chunks": F.floor((F.count("*").over(tile) - 1) / CHUNK)})
-    rows = rows.join(classes.select("class", "bits"), "class")
-    # At most CHUNK classes a list.
-    lists = rows.groupBy("tile", "chunk", "chunks").agg(
-        F.sort_array(F.collect_list(F.struct("size", "class", "joined", "bits"))).alias("classes"),
-        F.min("size").alias("low"), F.max("size").alias("high"))
-    lists = scratch.written(lists, "jaccard-tiles")
-    same = lists.select(F.col("classes").alias("left"), F.slice("classes", 1, 0).alias("right"), F.lit(True).alias("same"))
-    later = lists.where("chunk > 0").select(
-        "tile", F.col("chunk").alias("chunk_b"), F.col("classes").alias("right"), F.col("low").alias("low_b"))
-    # Only tiles of several chunks are moved for that.
-    across = lists.where("chunks > 0").join(later, "tile").where(
-        (F.col("chunk") < F.col("chunk_b")) & (LEAST[1] * F.col("high") >= LEAST[0] * F.col("low_b")))
-    across = across.select(F.col("classes").alias("left"), "right", F.lit(False).alias("same"))
-    return same.unionByName(across).mapInArrow(_tiles, "a long, b long").distinct()
+    bits = classes.select("class", F.col("bits").alias("held"))
+    near = _chunk_pairs(rows, bits, F.lit(1), CHUNK, scratch, "jaccard-tiles")
+    near = near.mapInArrow(_candidates, "tile long, class long, size int, joined long").distinct()
+    near = scratch.written(near, "jaccard-near")
+    sets = _sets_of_classes(near.select("class").distinct(), texts, classes, scratch)
+    sets = sets.select("class", F.col("shingles").alias("held"))
+    cost = F.greatest(F.col("size").cast("long"), F.lit(CHUNK_SHINGLES // CHUNK))
+    found = _chunk_pairs(near, sets, cost, CHUNK_SHINGLES, scratch, "jaccard-set-tiles").mapInArrow(_tiles, "a long, b long")
+    links = written(found.distinct(), "jaccard-links")
+    scratch.clear()
+    return links
 
 
 def classes_joined(texts: DataFrame, classes: DataFrame, repeated: DataFrame) -> DataFrame:
@@ -364,10 +451,7 @@ def classes_joined(texts: DataFrame, classes: DataFrame, repeated: DataFrame) ->
         one = _joined(parted, links).groupBy("shingle", "joined").agg(F.min(F.struct("size", "class")).alias("one"))
         one = one.select("shingle", "one.class", "one.size", F.lit(-1).alias("salt"))
         links = links.unionByName(_links(_best_leads(_stars(one, "shingle")), texts, classes))
-    scratch = Scratch()
-    rest = _remaining(_joined(met.select("shingle", "class", "size"), links), classes, scratch)
-    links = links.unionByName(_links(rest, texts, classes, bounded=True))
-    scratch.clear()
+    links = links.unionByName(_remaining(_joined(met.select("shingle", "class", "size"), links), texts, classes))
     return components(links).select(F.col("id").alias("class"), F.col("component").alias("joined"))
 
 
