@@ -167,6 +167,40 @@ def test_jaccard_links_of_a_large_group_do_not_grow_with_its_square(spark, monke
     assert all_links > 1800 and sum(made) <= 6 * len(rows), (all_links, made)
 
 
+def test_jaccard_counts_shingles_without_holding_them_often():
+    """Beside the sets of a batch a task holds their shingles once more, not several times."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rnd, n = random.Random(3), 8000
+    texts = ["all have this one passage " + " ".join(f"{rnd.randrange(1 << 40):x}" for _ in range(300)) for _ in range(n)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(n), pa.int64())] * 2 + [pa.array(texts)], ["row", "doc_id", "text"])
+    list(J._summaries(iter([batch.slice(0, 10)])))
+    tracemalloc.start()
+    *_, often = J._summaries(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert often.column("times").to_pylist() == [n] and peak < 3.5 * 8 * 301 * n, peak / (8 * 301 * n)
+
+
+def test_jaccard_and_toxicity_release_what_other_operators_keep(spark):
+    """A worker that has encoded texts does not hold the encoder's tables beside the next stage."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    from trafficlens.llm import byte_bpe, kept, toxicity
+
+    numbers, texts = pa.array([1, 2], pa.int64()), pa.array(["one two three four five six", None])
+    named = pa.RecordBatch.from_arrays([numbers, numbers, texts], ["row", "doc_id", "text"])
+    marked = pa.RecordBatch.from_arrays([pa.array(["good", "bad"]), pa.array([0, 1])], ["text", "toxic"])
+    for task, batch in ((J._summaries, named), (toxicity._counts, marked)):
+        kept.once(byte_bpe.Decoder, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+        assert kept._made
+        assert list(task(iter([batch]))) and not kept._made
+
+
 def test_jaccard_joining_links_of_a_tile():
     """Links that join what all links join, behind what is joined already, few of them compared."""
     rng, base = np.random.default_rng(4), np.arange(1, 401, dtype=np.uint64)

@@ -21,7 +21,6 @@ to replacement characters, while ``decode_bytes`` gives the bytes themselves.
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 from collections.abc import Iterable, Iterator, Sequence
 
@@ -31,6 +30,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType
 
+from trafficlens.llm.kept import once
+
 #: Pieces whose result is kept in a worker (twice as many, as those that came up again
 #: stay), and bytes of a piece that is kept. Results do not depend on it.
 KEPT_PIECES, KEPT_BYTES = 250_000, 64
@@ -274,18 +275,6 @@ class Decoder:
         yield machine.feed(b"", last=True)
 
 
-_made: dict[tuple, object] = {}
-
-
-def _once(kind, *args):
-    """One encoder or decoder per worker process and its settings."""
-    # The kept tables have no cycles, and the collector would walk them again and again.
-    gc.set_threshold(1_000_000, 100, 100)
-    if (kind, *args) not in _made:
-        _made[kind, *args] = kind(*args)
-    return _made[kind, *args]
-
-
 def _arrays(made: list[list[int]]) -> pa.Array:
     bounds = np.concatenate(([0], np.cumsum([len(x) for x in made])))
     values = np.concatenate([np.zeros(0, np.int32), *(np.array(x, np.int32) for x in made)])
@@ -307,7 +296,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
     schema = docs.select(*kept).schema.add("ids", ArrayType(IntegerType())).add("n_tokens", "long").add("decoded_sha256", "string")
 
     def run(batches):
-        encoder, decoder = _once(Encoder, path, pattern), _once(Decoder, path)
+        encoder, decoder = once(Encoder, path, pattern), once(Decoder, path)
         for batch in batches:
             for part in _slices(batch):
                 made = [encoder.encode(t.as_py()) for t in part.column(text)]
@@ -324,7 +313,7 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", text: str = "text") -
     schema = tokens.select(*kept).schema.add(text, "string")
 
     def run(batches):
-        decoder = _once(Decoder, path)
+        decoder = once(Decoder, path)
         for batch in batches:
             for part in _slices(batch):
                 texts = ["".join(decoder.decode(x.as_py() or ())) for x in part.column(ids)]
@@ -342,8 +331,8 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256: every text there and back."""
 
     def run(batches):
-        encoder, decoder = _once(Encoder, path, pattern), _once(Decoder, path)
-        words = _once(_Words, path).words
+        encoder, decoder = once(Encoder, path, pattern), once(Decoder, path)
+        words = once(_Words, path).words
         for batch in batches:
             for part in _slices(batch):
                 counts, sums, back = [], [], []

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from trafficlens.llm import words as W
 from trafficlens.llm.components import components
+from trafficlens.llm.kept import release
 from trafficlens.session import Scratch, written
 
 U64 = np.uint64
@@ -85,12 +86,24 @@ def _signed(x) -> pa.Array:
     return pa.array(np.asarray(x, U64).astype(np.int64))
 
 
+def repeated(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that are in more than two of the sets, and in how many. Takes the sets
+    out of the list: most shingles are rare, and all of them are held only once."""
+    every = np.concatenate([np.zeros(0, U64), *sets])
+    sets.clear()
+    every.sort()
+    third = every[2:]
+    often = np.unique(third[third == every[:-2]])
+    return often, np.searchsorted(every, often, "right") - np.searchsorted(every, often)
+
+
 _SUMMARY = ["row", "doc_id", "n_shingles", "class", "bits", "shingle", "times"]
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row, doc_id, n_shingles, class, bits) and, apart, (shingle, times) that a batch
     repeats."""
+    release()
     for batch in batches:
         counts, classes, bits, new, seen = [], [], [], [], set()
         for shingles in sets_of(batch.column("text")):
@@ -105,14 +118,11 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [batch.column("row"), batch.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64()),
              pa.array(classes, pa.int64()), pa.array(bits, pa.binary()), nothing, nothing], _SUMMARY)
-        every = np.sort(np.concatenate([np.zeros(0, U64), *new]))
-        if len(every):
-            begin = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
-            times = np.diff(np.concatenate((begin, [len(every)])))
-            often = times > 2
-            nothing = pa.nulls(int(often.sum()), pa.int64())
+        often, times = repeated(new)
+        if len(often):
+            nothing = pa.nulls(len(often), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [nothing] * 4 + [pa.nulls(len(nothing), pa.binary()), _signed(every[begin[often]]), pa.array(times[often].astype(np.int64))], _SUMMARY)
+                [nothing] * 4 + [pa.nulls(len(nothing), pa.binary()), _signed(often), pa.array(times)], _SUMMARY)
 
 
 def _slots(repeated: DataFrame) -> np.ndarray:
@@ -151,6 +161,7 @@ def first_shingles(shingles: np.ndarray, slots: np.ndarray) -> np.ndarray:
 def _meetings(slots):
     """(shingle, class, size, salt) for the first shingles of every class of a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         table, seen = slots.value, set()
         for batch in batches:
             for first in range(0, batch.num_rows, 2000):
@@ -444,6 +455,8 @@ def classes_joined(texts: DataFrame, classes: DataFrame, repeated: DataFrame) ->
     slots = texts.sparkSession.sparkContext.broadcast(_slots(repeated))
     meetings = texts.mapInArrow(_meetings(slots), "shingle long, class long, size int, salt int")
     met = written(_stars(meetings, "shingle", "salt"), "jaccard-met")
+    # Workers need not keep the table for the steps and stages to come.
+    slots.unpersist()
     links = _links(_best_leads(met), texts, classes)
     # Where classes met in parts, the parts meet now, by one class of each component.
     parted = met.where("salt >= 0").select("shingle", "class", "size")

@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from trafficlens.llm.kept import release
 from trafficlens.session import written
 
 #: The most labelled rows that the model is fitted on.
@@ -150,6 +151,7 @@ def examples(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFr
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(gram, toxic documents, clean documents) of each batch."""
+    release()
     for batch in batches:
         for first in range(0, batch.num_rows, 1000):
             piece = batch.slice(first, 1000)
@@ -251,6 +253,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     schema = docs.select(*kept).schema.add(name, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         automaton = model.automaton()
         for batch in batches:
             scores = [score_text(model, automaton, t.as_py()) for t in batch.column("text")]
